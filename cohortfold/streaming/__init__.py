@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The original job reads bounded tables only and has no streaming operators
+(no watermarks, windows or state), so nothing is built here. A cohort job
+over a growing table is re-run as a batch job.
+"""
