@@ -52,13 +52,13 @@ def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
     predicate_leaves = [(k, l) for k, l in leaves.items() if l.codes is None]
     code_leaves = [(k, l) for k, l in leaves.items() if l.codes is not None]
 
-    parts: list[Column] = []
-    if predicate_leaves:
-        parts.append(
-            F.array_compact(
-                F.array(*[F.when(l.condition(), F.lit(k)) for k, l in predicate_leaves])
-            )
-        )
+    empty = F.array().cast("array<string>")
+    # One small array per leaf, empty when the test fails or is NULL, joined
+    # with concat: unlike array_compact (a lambda filter), every piece here is
+    # code-generated.
+    parts: list[Column] = [
+        F.when(l.condition(), F.array(F.lit(k))).otherwise(empty) for k, l in predicate_leaves
+    ]
 
     df = records
     by_column: dict[str, list[tuple[str, Leaf]]] = {}
@@ -70,10 +70,10 @@ def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
             F.col("code").alias(f"_code_{i}"), F.col("criteria").alias(hits)
         )
         df = df.join(lookup, df[code_col] == lookup[f"_code_{i}"], "left").drop(f"_code_{i}")
-        parts.append(F.coalesce(F.col(hits), F.array().cast("array<string>")))
+        parts.append(F.coalesce(F.col(hits), empty))
 
     if not parts:
-        matched = F.array().cast("array<string>")
+        matched = empty
     elif len(parts) == 1:
         matched = parts[0]
     else:

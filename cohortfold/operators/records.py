@@ -110,6 +110,22 @@ def rebalance(records: DataFrame, num_partitions: int | None = None) -> DataFram
     return records.hint("rebalance")
 
 
+def spread_narrow_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a *plain file scan* that arrives in too few splits.
+
+    A file written as one row group is read by one task, so heavy per-row
+    work after it (tokenising text) would run on one core. When the scan has
+    fewer partitions than the cluster's default parallelism, spread it first;
+    otherwise (the normal case at scale: thousands of splits) return it
+    untouched, so no extra shuffle is paid. Call it on a scan only: counting
+    partitions of a plan with exchanges would execute them.
+    """
+    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() < target:
+        return scan.repartition(target)
+    return scan
+
+
 def select_sources(
     sources: Sequence[RecordSource], enabled: Iterable[str] | None
 ) -> list[RecordSource]:

@@ -25,6 +25,7 @@ be read more than once).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -134,7 +135,17 @@ def attach_evidence(evidence: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def score_leaves(
+def leaf_base(records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long") -> DataFrame:
+    """The lazy intermediate table of one (source, type); see the module notes."""
+    if plan == "long":
+        return tagged_counts(records, leaves)
+    if plan == "wide":
+        return _wide_patient_counts(records, leaves)
+    raise ValueError("plan must be 'long' or 'wide'")
+
+
+def score_from_base(
+    base: DataFrame,
     records: DataFrame,
     leaves: Mapping[str, Leaf],
     *,
@@ -142,21 +153,17 @@ def score_leaves(
     entity_type: str = "",
     scorer: Scorer | None = None,
     plan: str = "long",
-    materialize: str | None = "write",
+    release: list[Callable[[], None]] | None = None,
 ) -> LeafScores:
-    """Score every leaf of one entity type against one source's records."""
+    """Scores and evidence from an (already shared) intermediate table."""
     scorer = scorer or BM25()
-    release: list[Callable[[], None]] = []
     if plan == "long":
-        base = _share(tagged_counts(records, leaves), materialize, "tagged_counts", release)
         doc_len = st.doc_lengths(base)
         tf = st.term_frequencies(base)
         evidence_long = st.evidence_rows(base)
-    elif plan == "wide":
-        doc_len, tf = _wide_counts(records, leaves, materialize, release)
-        evidence_long = criteria_matches(records, leaves).dropDuplicates()
     else:
-        raise ValueError("plan must be 'long' or 'wide'")
+        doc_len, tf = _wide_to_long(base, list(leaves))
+        evidence_long = criteria_matches(records, leaves).dropDuplicates()
     stats = st.collection_stats(doc_len)
     doc_freq = st.doc_frequencies(tf)
     scores = _score_frame(join_term_stats(tf, doc_freq, doc_len, stats), scorer, source_id, entity_type)
@@ -169,19 +176,58 @@ def score_leaves(
     )
     evidence = attach_evidence(tagged_evidence, scores)
     return LeafScores(
-        source_id, entity_type, scores, evidence, doc_len, stats, tf, doc_freq, release
+        source_id, entity_type, scores, evidence, doc_len, stats, tf, doc_freq, release or []
+    )
+
+
+def score_leaves(
+    records: DataFrame,
+    leaves: Mapping[str, Leaf],
+    *,
+    source_id: str = "",
+    entity_type: str = "",
+    scorer: Scorer | None = None,
+    plan: str = "long",
+    materialize: str | None = "write",
+) -> LeafScores:
+    """Score every leaf of one entity type against one source's records."""
+    release: list[Callable[[], None]] = []
+    base = _share(leaf_base(records, leaves, plan), materialize, f"{plan}_base", release)
+    return score_from_base(
+        base, records, leaves, source_id=source_id, entity_type=entity_type,
+        scorer=scorer, plan=plan, release=release,
     )
 
 
-def _wide_counts(
-    records: DataFrame, leaves: Mapping[str, Leaf], materialize: str | None, release: list
-) -> tuple[DataFrame, DataFrame]:
+def share_bases(
+    bases: list[DataFrame], materialize: str | None, release: list[Callable[[], None]]
+) -> list[DataFrame]:
+    """Share several intermediate tables; written ones are written concurrently.
+
+    Each write is a separate Spark job; submitting them together lets small
+    sources fill the cores a large one leaves idle.
+    """
+    if materialize != "write" or len(bases) < 2:
+        return [_share(b, materialize, f"base_{i}", release) for i, b in enumerate(bases)]
+    with ThreadPoolExecutor(max_workers=min(len(bases), 8)) as pool:
+        written = list(pool.map(lambda ib: write_intermediate(ib[1], f"base_{ib[0]}"), enumerate(bases)))
+    for (df, path), orig in zip(written, bases):
+        release.append(lambda p=path, s=orig.sparkSession: delete_path(s, p))
+    return [df for df, _ in written]
+
+
+def _wide_patient_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
+    """(patient_uid, doc_len, _tf0 .. _tfK-1): one aggregate row per patient."""
     if any(l.codes is not None for l in leaves.values()):
         raise ValueError("the wide plan takes predicate leaves only")
-    keys = list(leaves)
-    counts = [F.count_if(F.coalesce(leaves[k].condition(), F.lit(False))).alias(f"_tf{i}") for i, k in enumerate(keys)]
-    per_patient = records.groupBy(PATIENT).agg(F.count(F.lit(1)).alias("doc_len"), *counts)
-    per_patient = _share(per_patient, materialize, "patient_counts", release)
+    counts = [
+        F.count_if(F.coalesce(leaf.condition(), F.lit(False))).alias(f"_tf{i}")
+        for i, leaf in enumerate(leaves.values())
+    ]
+    return records.groupBy(PATIENT).agg(F.count(F.lit(1)).alias("doc_len"), *counts)
+
+
+def _wide_to_long(per_patient: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     doc_len = per_patient.select(PATIENT, "doc_len")
     if not keys:
         empty = per_patient.select(

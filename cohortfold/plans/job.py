@@ -26,7 +26,7 @@ from cohortfold.functions.ids import normalize_uid
 from cohortfold.operators.matching import CRITERION
 from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cohort_scores, union_all
 from cohortfold.operators.records import PATIENT, RECORD, RecordSource, select_sources
-from cohortfold.operators.scoring import LeafScores, score_leaves
+from cohortfold.operators.scoring import LeafScores, leaf_base, score_from_base, share_bases
 from cohortfold.plans.criteria import Criterion, leaves_by_type
 
 COHORT_SCHEMA = T.StructType(
@@ -114,22 +114,25 @@ def run_cohort_job(
 ) -> CohortResult:
     """Score ``tree`` over ``sources`` (X5; ``enabled_sources=None`` is X6)."""
     chosen = select_sources(sources, enabled_sources)
-    parts: list[LeafScores] = []
-    for entity_type, leaves in leaves_by_type(tree).items():
-        for src in chosen:
-            if src.entity_type != entity_type:
-                continue
-            parts.append(
-                score_leaves(
-                    src.records,
-                    leaves,
-                    source_id=src.source_id,
-                    entity_type=entity_type,
-                    scorer=scorer,
-                    plan=plan,
-                    materialize=materialize,
-                )
-            )
+    specs = [
+        (src, entity_type, leaves)
+        for entity_type, leaves in leaves_by_type(tree).items()
+        for src in chosen
+        if src.entity_type == entity_type
+    ]
+    release: list = []
+    bases = share_bases(
+        [leaf_base(src.records, leaves, plan) for src, _, leaves in specs], materialize, release
+    )
+    parts: list[LeafScores] = [
+        score_from_base(
+            base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
+            scorer=scorer, plan=plan,
+        )
+        for base, (src, entity_type, leaves) in zip(bases, specs)
+    ]
+    if parts:
+        parts[0]._release.extend(release)
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
     evidence_long = union_all(spark, [p.evidence for p in parts], EVIDENCE_LONG_SCHEMA)
     cohort = cohort_output(cohort_scores(leaf_scores, tree, leaf_value), job_uid)
