@@ -61,6 +61,7 @@ class LeafScores:
     entity_type: str
     scores: DataFrame  # SCORE_COLUMNS
     evidence: DataFrame  # source_id, entity_type, criterion_uid, patient_uid, record_uid, score
+    evidence_rows: DataFrame  # the same without the score
     doc_len: DataFrame  # patient_uid, doc_len
     stats: DataFrame  # one row: n_docs, avg_doc_len
     tf: DataFrame  # criterion_uid, patient_uid, tf
@@ -176,10 +177,18 @@ def score_from_base(
     )
     evidence = attach_evidence(tagged_evidence, scores)
     return LeafScores(
-        source_id, entity_type, scores, evidence, doc_len, stats, tf, doc_freq, release or []
+        source_id, entity_type, scores, evidence, tagged_evidence, doc_len, stats, tf, doc_freq,
+        release or [],
     )
 
 
+def with_shared_scores(part: LeafScores, scores: DataFrame) -> LeafScores:
+    """Point a part at a materialised copy of its scores (evidence joins it too)."""
+    part.scores = scores
+    part.evidence = attach_evidence(part.evidence_rows, scores)
+    return part
+
+
 def score_leaves(
     records: DataFrame,
     leaves: Mapping[str, Leaf],
@@ -200,7 +209,10 @@ def score_leaves(
 
 
 def share_bases(
-    bases: list[DataFrame], materialize: str | None, release: list[Callable[[], None]]
+    bases: list[DataFrame],
+    materialize: str | None,
+    release: list[Callable[[], None]],
+    name: str = "base",
 ) -> list[DataFrame]:
     """Share several intermediate tables; written ones are written concurrently.
 
@@ -208,9 +220,11 @@ def share_bases(
     sources fill the cores a large one leaves idle.
     """
     if materialize != "write" or len(bases) < 2:
-        return [_share(b, materialize, f"base_{i}", release) for i, b in enumerate(bases)]
+        return [_share(b, materialize, f"{name}_{i}", release) for i, b in enumerate(bases)]
     with ThreadPoolExecutor(max_workers=min(len(bases), 8)) as pool:
-        written = list(pool.map(lambda ib: write_intermediate(ib[1], f"base_{ib[0]}"), enumerate(bases)))
+        written = list(
+            pool.map(lambda ib: write_intermediate(ib[1], f"{name}_{ib[0]}"), enumerate(bases))
+        )
     for (df, path), orig in zip(written, bases):
         release.append(lambda p=path, s=orig.sparkSession: delete_path(s, p))
     return [df for df, _ in written]

@@ -25,11 +25,14 @@ from cohortfold.operators.records import PATIENT, RECORD
 
 
 def length_rows(base: DataFrame) -> DataFrame:
-    return base.where(F.col(CRITERION).isNull())
+    return base.where(F.col(CRITERION).isNull() & F.col(PATIENT).isNotNull())
 
 
 def match_rows(base: DataFrame) -> DataFrame:
-    return base.where(F.col(CRITERION).isNotNull())
+    # The patient test is implied (ids are validated) but spelled out: joins
+    # on the patient would infer it on one branch only, and the tf exchange
+    # used by both the join and the df count would then not be reused.
+    return base.where(F.col(CRITERION).isNotNull() & F.col(PATIENT).isNotNull())
 
 
 def doc_lengths(base: DataFrame) -> DataFrame:

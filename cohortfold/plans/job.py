@@ -3,7 +3,9 @@
 Steps, all lazy DataFrame calls until a write:
 
 1. group the tree's leaves by entity type (last leaf wins for a repeated id);
-2. score each (type, enabled source offering that type) with ``score_leaves``;
+2. score each (type, enabled source offering that type): one intermediate
+   table per pair (written concurrently), then its scores (also shared, as
+   both outputs read them);
 3. union the leaf scores (U1);
 4. merge sources and fold the tree per patient -> cohort (A8, A9, X2);
 5. evidence: one row per (source, criterion, patient, record id) with that
@@ -26,7 +28,13 @@ from cohortfold.functions.ids import normalize_uid
 from cohortfold.operators.matching import CRITERION
 from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cohort_scores, union_all
 from cohortfold.operators.records import PATIENT, RECORD, RecordSource, select_sources
-from cohortfold.operators.scoring import LeafScores, leaf_base, score_from_base, share_bases
+from cohortfold.operators.scoring import (
+    LeafScores,
+    leaf_base,
+    score_from_base,
+    share_bases,
+    with_shared_scores,
+)
 from cohortfold.plans.criteria import Criterion, leaves_by_type
 
 COHORT_SCHEMA = T.StructType(
@@ -131,6 +139,11 @@ def run_cohort_job(
         )
         for base, (src, entity_type, leaves) in zip(bases, specs)
     ]
+    # Both outputs need every part's scores: compute them once. They hold one
+    # row per matched (criterion, patient), small next to the records.
+    if materialize is not None:
+        shared = share_bases([p.scores for p in parts], materialize, release, name="scores")
+        parts = [with_shared_scores(p, s) for p, s in zip(parts, shared)]
     if parts:
         parts[0]._release.extend(release)
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
