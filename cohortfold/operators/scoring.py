@@ -17,9 +17,11 @@ results:
 
 The intermediate table (tagged counts or patient rows) is used several times;
 ``materialize`` decides how it is shared: ``"write"`` stores it as parquet in
-the checkpoint folder (cuts lineage, survives executor loss, default),
-``"persist"`` caches it, ``None`` leaves the plan as is (the source may then
-be read more than once).
+the checkpoint folder (cuts lineage: a lost executor never forces a rescan of
+the source; the job's default), ``"persist"`` caches it (recomputed from the
+source if lost; the default for a standalone ``score_leaves``), ``None``
+leaves the plan as is (the source may then be read more than once, because
+filters pushed into each branch keep Spark from reusing the exchange).
 """
 
 from __future__ import annotations
@@ -123,17 +125,62 @@ def _score_frame(
     )
 
 
-def attach_evidence(evidence: DataFrame, scores: DataFrame) -> DataFrame:
+# A (criterion, patient) pair is hot when it holds more than this share of all
+# match rows of its source. Since the shares add up to 1, there are fewer than
+# 1 / HOT_SHARE hot pairs: a proven bound, so the hot-pair table is broadcast.
+HOT_SHARE = 1e-3
+
+
+EVIDENCE_KEYS = ["source_id", "entity_type", CRITERION, PATIENT]
+
+
+def salt_hot_pairs(
+    evidence: DataFrame, scores: DataFrame, hot_share: float = HOT_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``_salt`` to both join sides so that hot pairs spread over tasks.
+
+    Hot pairs are found from ``tf`` (already on the score rows). A hot pair's
+    evidence rows take a salt from their record id's hash, and its one score
+    row is repeated once per salt value; every other pair keeps salt 0. Only
+    hot pairs are repeated, at most about 2 / ``hot_share`` rows in all.
+    """
+    keys = EVIDENCE_KEYS
+    total = scores.agg(F.sum("tf").cast("double").alias("_total"))
+    per_split = F.col("_total") * F.lit(hot_share)
+    hot = (
+        scores.crossJoin(F.broadcast(total))
+        .where(F.col("tf") > per_split)
+        .select(*keys, F.ceil(F.col("tf") / per_split).cast("int").alias("_splits"))
+    )
+    salted_evidence = evidence.join(F.broadcast(hot), keys, "left").select(
+        *evidence.columns,
+        F.when(F.col("_splits").isNull(), F.lit(0))
+        .otherwise(F.pmod(F.xxhash64(F.col(RECORD)), F.col("_splits")))
+        .cast("int")
+        .alias("_salt"),
+    )
+    salted_scores = (
+        scores.select(*keys, "score")
+        .join(F.broadcast(hot), keys, "left")
+        .select(
+            *keys,
+            "score",
+            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)).alias("_salt"),
+        )
+    )
+    return salted_evidence, salted_scores
+
+
+def attach_evidence(evidence: DataFrame, scores: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     """Evidence rows with their (criterion, patient) score.
 
     Both sides come from the same match rows, so every evidence row finds
-    exactly one score row. A patient with a huge evidence set makes one join
-    key hot; AQE's skew-join handling splits that partition.
+    exactly one score row. One patient may own a large share of all matching
+    records, which would send its evidence to one join task; such hot pairs
+    are split first (``salt_hot_pairs``).
     """
-    return evidence.join(
-        scores.select("source_id", "entity_type", CRITERION, PATIENT, "score"),
-        ["source_id", "entity_type", CRITERION, PATIENT],
-    )
+    salted_evidence, salted_scores = salt_hot_pairs(evidence, scores, hot_share)
+    return salted_evidence.join(salted_scores, [*EVIDENCE_KEYS, "_salt"]).drop("_salt")
 
 
 def leaf_base(records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long") -> DataFrame:
@@ -197,9 +244,13 @@ def score_leaves(
     entity_type: str = "",
     scorer: Scorer | None = None,
     plan: str = "long",
-    materialize: str | None = "write",
+    materialize: str | None = "persist",
 ) -> LeafScores:
-    """Score every leaf of one entity type against one source's records."""
+    """Score every leaf of one entity type against one source's records.
+
+    The intermediate table is cached by default (call ``release()`` after
+    use); ``run_cohort_job`` writes it to the checkpoint folder instead.
+    """
     release: list[Callable[[], None]] = []
     base = _share(leaf_base(records, leaves, plan), materialize, f"{plan}_base", release)
     return score_from_base(

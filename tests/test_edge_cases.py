@@ -134,3 +134,27 @@ def test_typed_projection_missing_column(spark):
         typed_projection(df, T.StructType([T.StructField("c", T.StringType())]))
     out = typed_projection(df, T.StructType([T.StructField("A", T.StringType())]))
     assert out.collect()[0][0] == "1"
+
+
+def test_hot_patient_evidence_is_salted(spark):
+    from cohortfold.operators.scoring import attach_evidence, salt_hot_pairs
+
+    # One patient owns most matching records; others own one each.
+    rows = [("hot", f"h{i}", "A") for i in range(3000)]
+    rows += [(f"p{i}", f"r{i}", "A") for i in range(200)]
+    rows += [(f"p{i}", f"x{i}", "z") for i in range(200)]
+    part = score_leaves(recs(spark, rows), {"A": Leaf("A", "x", "code = 'A'")})
+    ev = part.evidence
+    plan = ev._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "xxhash64" in plan
+    got = ev.groupBy("patient_uid").agg(F.count("*").alias("n"), F.countDistinct("score").alias("s")).collect()
+    counts = {r.patient_uid: (r.n, r.s) for r in got}
+    assert counts["hot"] == (3000, 1) and len(counts) == 201
+    # The hot pair is split over many salts (3000 / (3200 * 0.01) -> 94);
+    # the others keep salt 0, and only the hot score row is repeated.
+    ev_s, sc_s = salt_hot_pairs(part.evidence_rows, part.scores, hot_share=0.01)
+    salts = {r.patient_uid: r.n for r in ev_s.groupBy("patient_uid").agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert salts["hot"] == 94 and max(v for k, v in salts.items() if k != "hot") == 1
+    assert sc_s.count() == 200 + 94
+    assert attach_evidence(part.evidence_rows, part.scores, hot_share=0.01).count() == 3200
+    part.release()
