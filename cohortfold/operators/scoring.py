@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -147,8 +148,12 @@ def salt_hot_pairs(
     keys = EVIDENCE_KEYS
     total = scores.agg(F.sum("tf").cast("double").alias("_total"))
     per_split = F.col("_total") * F.lit(hot_share)
+    # Key columns are never NULL; saying so keeps both uses of ``hot`` equal,
+    # so Spark builds and broadcasts it once.
+    not_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     hot = (
-        scores.crossJoin(F.broadcast(total))
+        scores.where(not_null)
+        .crossJoin(F.broadcast(total))
         .where(F.col("tf") > per_split)
         .select(*keys, F.ceil(F.col("tf") / per_split).cast("int").alias("_splits"))
     )

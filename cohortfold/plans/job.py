@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cohort_scores, union_a
 from cohortfold.operators.records import PATIENT, RECORD, RecordSource, select_sources
 from cohortfold.operators.scoring import (
     LeafScores,
+    attach_evidence,
     leaf_base,
     score_from_base,
     share_bases,
@@ -147,7 +149,14 @@ def run_cohort_job(
     if parts:
         parts[0]._release.extend(release)
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
-    evidence_long = union_all(spark, [p.evidence for p in parts], EVIDENCE_LONG_SCHEMA)
+    # One evidence join for all sources (the keys carry source and type): one
+    # hot-pair table and one shuffle instead of one per source.
+    if parts:
+        evidence_long = attach_evidence(
+            reduce(lambda a, b: a.unionByName(b), [p.evidence_rows for p in parts]), leaf_scores
+        )
+    else:
+        evidence_long = spark.createDataFrame([], EVIDENCE_LONG_SCHEMA)
     cohort = cohort_output(cohort_scores(leaf_scores, tree, leaf_value), job_uid)
     evidence = evidence_output(evidence_long, job_uid)
     return CohortResult(normalize_uid(job_uid), leaf_scores, cohort, evidence, parts)
