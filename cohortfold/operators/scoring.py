@@ -63,13 +63,20 @@ class LeafScores:
     source_id: str
     entity_type: str
     scores: DataFrame  # SCORE_COLUMNS
-    evidence: DataFrame  # source_id, entity_type, criterion_uid, patient_uid, record_uid, score
-    evidence_rows: DataFrame  # the same without the score
+    evidence_rows: DataFrame  # source_id, entity_type, criterion_uid, patient_uid, record_uid
     doc_len: DataFrame  # patient_uid, doc_len
     stats: DataFrame  # one row: n_docs, avg_doc_len
     tf: DataFrame  # criterion_uid, patient_uid, tf
     doc_freq: DataFrame  # criterion_uid, doc_freq
     _release: list[Callable[[], None]] = field(default_factory=list)
+    _evidence: DataFrame | None = None
+
+    @property
+    def evidence(self) -> DataFrame:
+        """Evidence rows with their score; built on first use."""
+        if self._evidence is None:
+            self._evidence = attach_evidence(self.evidence_rows, self.scores)
+        return self._evidence
 
     def release(self) -> None:
         """Drop cached or written intermediates."""
@@ -227,17 +234,15 @@ def score_from_base(
         PATIENT,
         RECORD,
     )
-    evidence = attach_evidence(tagged_evidence, scores)
     return LeafScores(
-        source_id, entity_type, scores, evidence, tagged_evidence, doc_len, stats, tf, doc_freq,
-        release or [],
+        source_id, entity_type, scores, tagged_evidence, doc_len, stats, tf, doc_freq, release or []
     )
 
 
 def with_shared_scores(part: LeafScores, scores: DataFrame) -> LeafScores:
     """Point a part at a materialised copy of its scores (evidence joins it too)."""
     part.scores = scores
-    part.evidence = attach_evidence(part.evidence_rows, scores)
+    part._evidence = None
     return part
 
 
