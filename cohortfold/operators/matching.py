@@ -1,8 +1,8 @@
 """Record-versus-criteria matching (inventory P4, P5, E2).
 
 All leaves of one entity type are tested in a single projection: each leaf
-contributes ``when(test, uid)`` to an array, NULLs are dropped, and the array
-is exploded. A record that matches nothing yields no match row; a NULL test
+contributes its index to an array when its test holds, and the array is
+exploded. A record that matches nothing yields no match row; a NULL test
 counts as no match. Code-list leaves (P5) are answered by one left join
 against a small ``code -> [criterion ids]`` table, so a record matches each
 criterion at most once however many of its codes are listed.
@@ -28,18 +28,18 @@ MATCHES = "_matched_criteria"
 MAX_BROADCAST_CODES = 1_000_000
 
 
-def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[str, Leaf]]) -> DataFrame:
-    """(code, criteria ARRAY<STRING>) for the given code-list leaves."""
-    by_code: dict[str, list[str]] = {}
-    for key, leaf in leaves:
+def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[int, Leaf]]) -> DataFrame:
+    """(code, criteria ARRAY<INT>) for the given code-list leaves (leaf indexes)."""
+    by_code: dict[str, list[int]] = {}
+    for idx, leaf in leaves:
         for code in leaf.codes or ():
             hits = by_code.setdefault(code, [])
-            if key not in hits:
-                hits.append(key)
+            if idx not in hits:
+                hits.append(idx)
     schema = T.StructType(
         [
             T.StructField("code", T.StringType(), False),
-            T.StructField("criteria", T.ArrayType(T.StringType(), False), False),
+            T.StructField("criteria", T.ArrayType(T.IntegerType(), False), False),
         ]
     )
     rows = [(code, hits) for code, hits in by_code.items()]
@@ -47,29 +47,43 @@ def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[str, Leaf]]) -> Dat
     return F.broadcast(lookup) if len(rows) <= MAX_BROADCAST_CODES else lookup
 
 
+def decode_criterion(idx: Column, keys: Sequence[str]) -> Column:
+    """Leaf index -> criterion id (a lookup in a literal array; NULL stays NULL).
+
+    The NULL test is explicit: ``element_at`` over a literal array was seen to
+    return the last element for a NULL index.
+    """
+    return F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(k) for k in keys]), idx + F.lit(1)))
+
+
 def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
-    """Add ``_matched_criteria ARRAY<STRING>``: the ids of every leaf the record meets."""
-    predicate_leaves = [(k, l) for k, l in leaves.items() if l.codes is None]
-    code_leaves = [(k, l) for k, l in leaves.items() if l.codes is not None]
+    """Add ``_matched_criteria ARRAY<INT>``: indexes (into ``list(leaves)``) of every leaf the record meets.
 
-    empty = F.array().cast("array<string>")
+    Leaves are carried as small integers through the shuffles and decoded to
+    their ids afterwards: a 4-byte key instead of a 36-character one.
+    """
+    indexed = list(enumerate(leaves.values()))
+    predicate_leaves = [(i, l) for i, l in indexed if l.codes is None]
+    code_leaves = [(i, l) for i, l in indexed if l.codes is not None]
+
+    empty = F.array().cast("array<int>")
     # One small array per leaf, empty when the test fails or is NULL, joined
     # with concat: unlike array_compact (a lambda filter), every piece here is
     # code-generated.
     parts: list[Column] = [
-        F.when(l.condition(), F.array(F.lit(k))).otherwise(empty) for k, l in predicate_leaves
+        F.when(l.condition(), F.array(F.lit(i))).otherwise(empty) for i, l in predicate_leaves
     ]
 
     df = records
-    by_column: dict[str, list[tuple[str, Leaf]]] = {}
-    for k, l in code_leaves:
-        by_column.setdefault(l.code_column, []).append((k, l))
-    for i, (code_col, group) in enumerate(by_column.items()):
-        hits = f"_code_hits_{i}"
+    by_column: dict[str, list[tuple[int, Leaf]]] = {}
+    for i, l in code_leaves:
+        by_column.setdefault(l.code_column, []).append((i, l))
+    for j, (code_col, group) in enumerate(by_column.items()):
+        hits = f"_code_hits_{j}"
         lookup = _code_lookup(records.sparkSession, group).select(
-            F.col("code").alias(f"_code_{i}"), F.col("criteria").alias(hits)
+            F.col("code").alias(f"_code_{j}"), F.col("criteria").alias(hits)
         )
-        df = df.join(lookup, df[code_col] == lookup[f"_code_{i}"], "left").drop(f"_code_{i}")
+        df = df.join(lookup, df[code_col] == lookup[f"_code_{j}"], "left").drop(f"_code_{j}")
         parts.append(F.coalesce(F.col(hits), empty))
 
     if not parts:
@@ -87,7 +101,9 @@ def criteria_matches(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
     Repeated record ids stay repeated; that is what term frequency counts.
     """
     df = with_match_array(records, leaves)
-    return df.select(F.explode(MATCHES).alias(CRITERION), PATIENT, RECORD)
+    keys = list(leaves)
+    exploded = df.select(F.explode(MATCHES).alias("_idx"), PATIENT, RECORD)
+    return exploded.select(decode_criterion(F.col("_idx"), keys).alias(CRITERION), PATIENT, RECORD)
 
 
 def match_codes(
@@ -125,10 +141,13 @@ def tagged_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
     its match rows stay spread over partitions by record id.
     """
     df = with_match_array(records, leaves)
-    tags = F.concat(F.array(F.lit(None).cast("string")), F.col(MATCHES))
-    exploded = df.select(PATIENT, RECORD, F.explode(tags).alias(CRITERION)).select(
+    tags = F.concat(F.array(F.lit(None).cast("int")), F.col(MATCHES))
+    exploded = df.select(PATIENT, RECORD, F.explode(tags).alias("_idx")).select(
         PATIENT,
-        CRITERION,
-        F.when(F.col(CRITERION).isNotNull(), F.col(RECORD)).alias(RECORD),
+        "_idx",
+        F.when(F.col("_idx").isNotNull(), F.col(RECORD)).alias(RECORD),
+    )
+    counted = exploded.groupBy(PATIENT, "_idx", RECORD).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        PATIENT, decode_criterion(F.col("_idx"), list(leaves)).alias(CRITERION), RECORD, "n"
     )
-    return exploded.groupBy(PATIENT, CRITERION, RECORD).agg(F.count(F.lit(1)).alias("n"))

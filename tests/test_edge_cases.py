@@ -158,3 +158,17 @@ def test_hot_patient_evidence_is_salted(spark):
     assert sc_s.count() == 200 + 94
     assert attach_evidence(part.evidence_rows, part.scores, hot_share=0.01).count() == 3200
     part.release()
+
+
+def test_decode_keeps_null_index_null(spark):
+    # element_at over a literal array returns its last element for a NULL
+    # index in this Spark version; the length rows depend on NULL staying NULL.
+    from cohortfold.operators.matching import decode_criterion, tagged_counts
+
+    df = spark.createDataFrame([(None,), (0,), (1,)], "i int")
+    got = [r[0] for r in df.select(decode_criterion(F.col("i"), ["A", "B"])).collect()]
+    assert got == [None, "A", "B"]
+    base = tagged_counts(recs(spark, [("p1", "r1", "A"), ("p1", "r2", "B")]),
+                         {"A": Leaf("A", "x", "code = 'A'"), "B": Leaf("B", "x", "code = 'B'")})
+    rows = {(r.criterion_uid, r.record_uid): r.n for r in base.collect()}
+    assert rows == {(None, None): 2, ("A", "r1"): 1, ("B", "r2"): 1}
