@@ -50,6 +50,15 @@ TOKEN_LEAVES = [
     for i, w in enumerate(TOKEN_WORDS)
 ]
 
+# A wide tree (more than 64 leaves takes the per-patient map path): leaf k
+# tests value > 5000 * k, for k = 0 .. 79.
+WIDE_STEP = 5000
+WIDE_LEAVES = [
+    Leaf(f"3a1d0000-0000-4000-8000-{k:012d}", "order", f"value > {WIDE_STEP * k}")
+    for k in range(80)
+]
+TREE_WIDE = AtLeast(10, *WIDE_LEAVES)
+
 TREE = AllOf(L1, AnyOf(L2, L3))
 TREE_MIXED = AnyOf(AllOf(L1, Not(L3)), AtLeast(2, L2, L3, L4))
 ENABLED = ["a"]
@@ -314,6 +323,10 @@ def q_cohort_scores_mixed(spark, sf_dir):
     return _job(spark, sf_dir, TREE_MIXED).cohort.select("person_uid", _r6("score"))
 
 
+def q_cohort_scores_wide_tree(spark, sf_dir):
+    return _job(spark, sf_dir, TREE_WIDE).cohort.select("person_uid", _r6("score"))
+
+
 def q_cohort_output(spark, sf_dir):
     return _job(spark, sf_dir).cohort.select("job_uid", "person_uid", _r6("score"))
 
@@ -373,6 +386,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "custom_scorer": q_custom_scorer,
         "cohort_scores": q_cohort_scores,
         "cohort_scores_mixed": q_cohort_scores_mixed,
+        "cohort_scores_wide_tree": q_cohort_scores_wide_tree,
         "cohort_output": q_cohort_output,
         "evidence_output": q_evidence_output,
         "cohort_job_filtered": q_cohort_job_filtered,
@@ -431,6 +445,7 @@ COND = {
     CODES_1: "code IN ('1-URGENT', '2-HIGH')",
     CODES_2: "code IN ('2-HIGH', '3-MEDIUM')",
     **{leaf: f"code = '{w}'" for leaf, w in zip(TOKEN_LEAVES, TOKEN_WORDS)},
+    **{leaf: f"val > {WIDE_STEP * k}" for k, leaf in enumerate(WIDE_LEAVES)},
 }
 
 
@@ -563,6 +578,14 @@ FROM s WHERE src = 'a'""",
         "cohort_scores_mixed": tree(
             mixed, _MIXED_SCORE, f"p AS person_uid, round({_MIXED_SCORE}, 6) AS score"
         ),
+        "cohort_scores_wide_tree": tree(
+            WIDE_LEAVES, None,
+            "p AS person_uid, round(CASE WHEN ("
+            + " + ".join(f"CAST(v{i} IS NOT NULL AS INT)" for i in range(len(WIDE_LEAVES)))
+            + ") >= 10 THEN "
+            + " + ".join(f"s{i}" for i in range(len(WIDE_LEAVES)))
+            + " ELSE 0 END, 6) AS score",
+        ),
         "cohort_output": tree(
             main, _TREE_SCORE,
             f"'{job}' AS job_uid, p AS person_uid, round({_TREE_SCORE}, 6) AS score",
