@@ -18,6 +18,7 @@ Job and node ids are upper-cased in both outputs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -101,9 +102,19 @@ class CohortResult:
     parts: list[LeafScores] = field(default_factory=list)
 
     def write(self, connection, cohort_table: str = "cohort", evidence_table: str = "evidence") -> None:
-        """Write both tables through a connection (see ``cohortfold.sources``)."""
-        connection.write(cohort_table, self.cohort)
-        connection.write(evidence_table, self.evidence)
+        """Write both tables through a connection (see ``cohortfold.sources``).
+
+        The two writes only read the shared intermediates, so they are
+        submitted together: the small cohort write does not wait behind the
+        evidence write.
+        """
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            jobs = [
+                pool.submit(connection.write, cohort_table, self.cohort),
+                pool.submit(connection.write, evidence_table, self.evidence),
+            ]
+            for job in jobs:
+                job.result()
 
     def release(self) -> None:
         for part in self.parts:

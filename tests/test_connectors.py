@@ -109,3 +109,19 @@ def test_rebalance_and_spread(spark):
     assert spread_narrow_scan(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), 4).rdd.getNumPartitions() == 4
     wide = spark.range(0, 100, 1, 16)
     assert spread_narrow_scan(wide, 4) is wide
+
+
+def test_release_deletes_intermediates(spark):
+    from cohortfold.session import checkpoint_dir
+
+    conn = derby(spark, partitions=2)
+    seed_table(spark, conn, rows=30)
+    records = map_records(conn.read(spark, "SELECT * FROM recs"), RecordMapping("PAT", "RID", {"code": "CODE"}))
+    root = checkpoint_dir(spark).replace("file:", "") + "/cohortfold"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    res = run_cohort_job(spark, [RecordSource("ehr", "x", records)], Leaf("A", "x", "code = 'A'"), "job")
+    created = set(os.listdir(root)) - before
+    assert len(created) == 2  # the tagged counts and the scores
+    assert res.cohort.count() == 7
+    res.release()
+    assert all(not os.listdir(os.path.join(root, d)) for d in created)
