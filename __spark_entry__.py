@@ -21,7 +21,7 @@ from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cross_source_merge, un
 from cohortfold.operators.records import patient_keys, select_sources, tag_sources, typed_projection
 from cohortfold.operators.scoring import LeafScores, score_leaves
 from cohortfold.plans.criteria import AllOf, AnyOf, AtLeast, Leaf, Not, leaves_by_type
-from cohortfold.plans.job import evidence_output, run_cohort_job
+from cohortfold.plans.job import run_cohort_job
 from cohortfold.sources.files import FileConnection
 from cohortfold.sources.tables import (
     clinical_sources,

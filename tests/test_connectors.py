@@ -5,7 +5,6 @@ import os
 import tempfile
 import uuid
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

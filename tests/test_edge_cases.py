@@ -1,13 +1,11 @@
 """Edge cases of SURVEY section 5 item 4, code lists (P5) and the criteria tree."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cohortfold import AllOf, AnyOf, AtLeast, Leaf, Not, RecordSource, run_cohort_job, score_leaves
 from cohortfold.operators.matching import criteria_matches, match_codes
-from cohortfold.operators.merge import cohort_scores
-from cohortfold.operators.records import RecordMapping, map_records, typed_projection, validate_ids
+from cohortfold.operators.records import RecordMapping, map_records, typed_projection
 from cohortfold.plans.criteria import compile_tree, leaves_by_type
 
 SCHEMA = "p string, r string, code string"

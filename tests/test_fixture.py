@@ -1,9 +1,6 @@
 """The hand-worked two-source fixture (FIXTURES.md section 2)."""
 
-import math
-
 import pytest
-from pyspark.sql import functions as F
 
 from cohortfold import AllOf, AnyOf, Leaf, Not, RecordSource, run_cohort_job, score_leaves
 from cohortfold.operators.records import RecordMapping, map_records
