@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from cohortfold.operators.records import typed_projection
 
 
+# Formats without an embedded schema.
+SCHEMA_ON_READ = {"csv", "json", "text"}
+
+
 @dataclass
 class FileConnection:
     path: str = ""
@@ -42,7 +46,12 @@ class FileConnection:
         filters are pushed into it. ``id_column`` is unused: file splits
         already parallelise the scan.
         """
-        df = spark.read.format(self.format).options(**self.read_options).load(self.location(query))
+        reader = spark.read.format(self.format).options(**self.read_options)
+        if schema is not None and self.format in SCHEMA_ON_READ:
+            # Text formats: give the schema up front instead of inferring it
+            # with an extra pass over the data.
+            reader = reader.schema(schema)
+        df = reader.load(self.location(query))
         return typed_projection(df, schema) if schema is not None else df
 
     def write(self, table: str, df: DataFrame) -> None:

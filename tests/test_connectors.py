@@ -124,3 +124,11 @@ def test_release_deletes_intermediates(spark):
     assert res.cohort.count() == 7
     res.release()
     assert all(not os.listdir(os.path.join(root, d)) for d in created)
+
+
+def test_csv_read_with_declared_schema(spark):
+    base = tempfile.mkdtemp(prefix="cf-csv-") + "/"
+    spark.createDataFrame([(1, "a"), (2, None)], "id long, s string").write.csv(base + "t")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])
+    back = FileConnection(path=base, format="csv").read(spark, "t", schema)
+    assert sorted(back.collect()) == [(1, "a"), (2, None)]

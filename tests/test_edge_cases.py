@@ -170,3 +170,10 @@ def test_decode_keeps_null_index_null(spark):
                          {"A": Leaf("A", "x", "code = 'A'"), "B": Leaf("B", "x", "code = 'B'")})
     rows = {(r.criterion_uid, r.record_uid): r.n for r in base.collect()}
     assert rows == {(None, None): 2, ("A", "r1"): 1, ("B", "r2"): 1}
+
+
+def test_job_without_sources_is_empty(spark):
+    res = run_cohort_job(spark, [], AnyOf(Leaf("A", "x", "true")), "job")
+    assert res.cohort.count() == 0 and res.evidence.count() == 0
+    assert res.cohort.columns == ["job_uid", "person_uid", "score"]
+    assert res.evidence.columns == ["job_uid", "node_uid", "person_uid", "evidence_uid", "score"]
