@@ -18,7 +18,13 @@ from cohortfold.functions.bm25 import BM25, TfIdf
 from cohortfold.operators import statistics as st
 from cohortfold.operators.matching import criteria_matches
 from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cross_source_merge, union_all
-from cohortfold.operators.records import patient_keys, select_sources, tag_sources, typed_projection
+from cohortfold.operators.records import (
+    patient_keys,
+    rebalance,
+    select_sources,
+    tag_sources,
+    typed_projection,
+)
 from cohortfold.operators.scoring import LeafScores, score_leaves
 from cohortfold.plans.criteria import AllOf, AnyOf, AtLeast, Leaf, Not, leaves_by_type
 from cohortfold.plans.job import run_cohort_job
@@ -171,6 +177,13 @@ def q_patient_keying(spark, sf_dir):
     return patient_keys(event_records_a(spark, sf_dir))
 
 
+def q_rebalance(spark, sf_dir):
+    # An explicit round-robin spread; rows must come through unchanged.
+    return rebalance(order_records_a(spark, sf_dir), 16).select(
+        "patient_uid", "record_uid", "code", "status", "value"
+    )
+
+
 def q_criteria_match(spark, sf_dir):
     return criteria_matches(order_records_b(spark, sf_dir), _leaves(L1, L2))
 
@@ -361,6 +374,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_generic": q_scan_generic,
         "records_projection": q_records_projection,
         "patient_keying": q_patient_keying,
+        "rebalance": q_rebalance,
         "criteria_match": q_criteria_match,
         "criteria_match_codes": q_criteria_match_codes,
         "source_filter": q_source_filter,
@@ -519,6 +533,8 @@ FROM orders""",
 SELECT p AS patient_uid, r AS record_uid, code, status, val AS value FROM rec WHERE src = 'b'""",
         "patient_keying": """
 SELECT CAST(user_id AS VARCHAR) AS patient_uid, CAST(event_id AS VARCHAR) AS record_uid FROM events""",
+        "rebalance": "WITH " + _REC.strip() + """
+SELECT p AS patient_uid, r AS record_uid, code, status, val AS value FROM rec WHERE src = 'a' AND t = 'order'""",
         "criteria_match": b_with
         + "SELECT c AS criterion_uid, p AS patient_uid, r AS record_uid FROM m WHERE src = 'b'",
         "criteria_match_codes": _with([CODES_1, CODES_2])
