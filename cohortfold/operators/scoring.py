@@ -27,7 +27,6 @@ filters pushed into each branch keep Spark from reusing the exchange).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -84,7 +83,8 @@ class LeafScores:
             self._release.pop()()
 
 
-def _share(df: DataFrame, materialize: str | None, name: str, release: list) -> DataFrame:
+def share(df: DataFrame, materialize: str | None, name: str, release: list) -> DataFrame:
+    """Share ``df`` between several consumers as ``materialize`` says."""
     if materialize is None:
         return df
     if materialize == "persist":
@@ -235,7 +235,8 @@ def score_from_base(
         RECORD,
     )
     return LeafScores(
-        source_id, entity_type, scores, tagged_evidence, doc_len, stats, tf, doc_freq, release or []
+        source_id, entity_type, scores, tagged_evidence, doc_len, stats, tf, doc_freq,
+        release if release is not None else [],
     )
 
 
@@ -262,35 +263,13 @@ def score_leaves(
     use); ``run_cohort_job`` writes it to the checkpoint folder instead.
     """
     release: list[Callable[[], None]] = []
-    base = _share(leaf_base(records, leaves, plan), materialize, f"{plan}_base", release)
+    base = share(leaf_base(records, leaves, plan), materialize, f"{plan}_base", release)
     return score_from_base(
         base, records, leaves, source_id=source_id, entity_type=entity_type,
         scorer=scorer, plan=plan, release=release,
     )
 
 
-def share_bases(
-    bases: list[DataFrame],
-    materialize: str | None,
-    release: list[Callable[[], None]],
-    name: str = "base",
-) -> list[DataFrame]:
-    """Share several intermediate tables; written ones are written concurrently.
-
-    Each write is a separate Spark job; submitting them together lets small
-    sources fill the cores a large one leaves idle.
-    """
-    if materialize != "write" or len(bases) < 2:
-        return [_share(b, materialize, f"{name}_{i}", release) for i, b in enumerate(bases)]
-    with ThreadPoolExecutor(max_workers=min(len(bases), 8)) as pool:
-        written = list(
-            pool.map(lambda ib: write_intermediate(ib[1], f"{name}_{ib[0]}"), enumerate(bases))
-        )
-    for (df, path), orig in zip(written, bases):
-        release.append(lambda p=path, s=orig.sparkSession: delete_path(s, p))
-    return [df for df, _ in written]
-
-
 def _wide_patient_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
     """(patient_uid, doc_len, _tf0 .. _tfK-1): one aggregate row per patient."""
     if any(l.codes is not None for l in leaves.values()):

@@ -4,8 +4,8 @@ Steps, all lazy DataFrame calls until a write:
 
 1. group the tree's leaves by entity type (last leaf wins for a repeated id);
 2. score each (type, enabled source offering that type): one intermediate
-   table per pair (written concurrently), then its scores (also shared, as
-   both outputs read them);
+   table per pair, then its scores (also shared, as both outputs read them);
+   the pairs' pipelines run side by side;
 3. union the leaf scores (U1);
 4. merge sources and fold the tree per patient -> cohort (A8, A9, X2);
 5. evidence: one row per (source, criterion, patient, record id) with that
@@ -35,7 +35,7 @@ from cohortfold.operators.scoring import (
     attach_evidence,
     leaf_base,
     score_from_base,
-    share_bases,
+    share,
     with_shared_scores,
 )
 from cohortfold.plans.criteria import Criterion, leaves_by_type
@@ -141,24 +141,28 @@ def run_cohort_job(
         for src in chosen
         if src.entity_type == entity_type
     ]
-    release: list = []
-    bases = share_bases(
-        [leaf_base(src.records, leaves, plan) for src, _, leaves in specs], materialize, release
-    )
-    parts: list[LeafScores] = [
-        score_from_base(
+
+    def build(spec: tuple[RecordSource, str, dict]) -> LeafScores:
+        # One source's whole pipeline: its intermediate table, then its
+        # scores, both shared (both outputs read the scores).
+        src, entity_type, leaves = spec
+        release: list = []
+        base = share(leaf_base(src.records, leaves, plan), materialize, f"{plan}_base", release)
+        part = score_from_base(
             base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
-            scorer=scorer, plan=plan,
+            scorer=scorer, plan=plan, release=release,
         )
-        for base, (src, entity_type, leaves) in zip(bases, specs)
-    ]
-    # Both outputs need every part's scores: compute them once. They hold one
-    # row per matched (criterion, patient), small next to the records.
-    if materialize is not None:
-        shared = share_bases([p.scores for p in parts], materialize, release, name="scores")
-        parts = [with_shared_scores(p, s) for p, s in zip(parts, shared)]
-    if parts:
-        parts[0]._release.extend(release)
+        if materialize is not None:
+            part = with_shared_scores(part, share(part.scores, materialize, "scores", release))
+        return part
+
+    if materialize == "write" and len(specs) > 1:
+        # Sources are independent: run their pipelines side by side, so a
+        # small source never waits behind the largest one.
+        with ThreadPoolExecutor(max_workers=min(len(specs), 8)) as pool:
+            parts: list[LeafScores] = list(pool.map(build, specs))
+    else:
+        parts = [build(spec) for spec in specs]
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
     # One evidence join for all sources (the keys carry source and type): one
     # hot-pair table and one shuffle instead of one per source.
