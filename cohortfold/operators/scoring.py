@@ -10,8 +10,8 @@ results:
     rows too. Any number of leaves.
 
 ``wide``
-    One scan per patient row: ``count(*)`` and one ``count_if(test_k)`` per
-    leaf in a single ``groupBy(patient)``. Cheapest for a handful of
+    One aggregate row per patient: ``count(*)`` and one ``count_if(test_k)``
+    per leaf in a single ``groupBy(patient)``. Cheapest for a handful of
     predicate leaves when no evidence is needed; evidence needs a second,
     filtered scan. Code-list leaves are not supported here.
 
@@ -133,9 +133,10 @@ def _score_frame(
     )
 
 
-# A (criterion, patient) pair is hot when it holds more than this share of all
-# match rows of its source. Since the shares add up to 1, there are fewer than
-# 1 / HOT_SHARE hot pairs: a proven bound, so the hot-pair table is broadcast.
+# A (source, type, criterion, patient) pair is hot when it holds more than this
+# share of all match rows being joined (the job joins all sources at once).
+# Since the shares add up to 1, there are fewer than 1 / HOT_SHARE hot pairs:
+# a proven bound, so the hot-pair table is broadcast.
 HOT_SHARE = 1e-3
 
 
