@@ -4,7 +4,7 @@ All leaves of one entity type are tested in a single projection: each leaf
 contributes its index to an array when its test holds, and the array is
 exploded. A record that matches nothing yields no match row; a NULL test
 counts as no match. Code-list leaves (P5) are answered by one left join
-against a small ``code -> [criterion ids]`` table, so a record matches each
+against a small ``code -> [leaf indexes]`` table, so a record matches each
 criterion at most once however many of its codes are listed.
 """
 
