@@ -147,20 +147,33 @@ def run_cohort_job(
         # scores, both shared (both outputs read the scores).
         src, entity_type, leaves = spec
         release: list = []
-        base = share(leaf_base(src.records, leaves, plan), materialize, f"{plan}_base", release)
-        part = score_from_base(
-            base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
-            scorer=scorer, plan=plan, release=release,
-        )
-        if materialize is not None:
-            part = with_shared_scores(part, share(part.scores, materialize, "scores", release))
-        return part
+        try:
+            base = share(leaf_base(src.records, leaves, plan), materialize, f"{plan}_base", release)
+            part = score_from_base(
+                base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
+                scorer=scorer, plan=plan, release=release,
+            )
+            if materialize is not None:
+                part = with_shared_scores(part, share(part.scores, materialize, "scores", release))
+            return part
+        except BaseException:
+            for undo in reversed(release):
+                undo()
+            raise
 
     if materialize == "write" and len(specs) > 1:
         # Sources are independent: run their pipelines side by side, so a
         # small source never waits behind the largest one.
         with ThreadPoolExecutor(max_workers=min(len(specs), 8)) as pool:
-            parts: list[LeafScores] = list(pool.map(build, specs))
+            futures = [pool.submit(build, spec) for spec in specs]
+        failed = [f for f in futures if f.exception() is not None]
+        if failed:
+            # Drop what the other sources wrote before reporting the error.
+            for f in futures:
+                if f.exception() is None:
+                    f.result().release()
+            raise failed[0].exception()
+        parts: list[LeafScores] = [f.result() for f in futures]
     else:
         parts = [build(spec) for spec in specs]
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)

@@ -5,6 +5,7 @@ import os
 import tempfile
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,3 +133,18 @@ def test_csv_read_with_declared_schema(spark):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])
     back = FileConnection(path=base, format="csv").read(spark, "t", schema)
     assert sorted(back.collect()) == [(1, "a"), (2, None)]
+
+
+def test_failed_job_leaves_no_intermediates(spark):
+    from cohortfold.session import checkpoint_dir
+
+    good = map_records(spark.createDataFrame([("p1", "r1", "A")], "p string, r string, code string"),
+                       RecordMapping("p", "r", {"code": "code"}))
+    bad = map_records(spark.createDataFrame([(None, "r2", "A")], "p string, r string, code string"),
+                      RecordMapping("p", "r", {"code": "code"}))
+    root = checkpoint_dir(spark).replace("file:", "") + "/cohortfold"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with pytest.raises(Exception, match="NULL patient_uid"):
+        run_cohort_job(spark, [RecordSource("g", "x", good), RecordSource("b", "x", bad)], Leaf("A", "x", "code = 'A'"), "job")
+    created = set(os.listdir(root)) - before if os.path.isdir(root) else set()
+    assert all(not os.listdir(os.path.join(root, d)) for d in created)
