@@ -46,3 +46,25 @@ def test_standalone_scoring_reads_once(spark):
     part.evidence.count()
     assert acc.value == tables.order_records_a(spark, SF).count()
     part.release()
+
+
+def test_job_invariant_to_partitioning_and_aqe(spark):
+    def run():
+        res = run_cohort_job(spark, tables.clinical_sources(spark, SF), entry.TREE_MIXED, entry.JOB_UID)
+        cohort = sorted((r.person_uid, round(r.score, 9)) for r in res.cohort.collect())
+        evidence = sorted((r.node_uid, r.person_uid, r.evidence_uid, round(r.score, 9)) for r in res.evidence.collect())
+        res.release()
+        return cohort, evidence
+
+    conf = spark.conf
+    saved = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        baseline = run()
+        for parts, aqe in (("3", "true"), ("17", "false")):
+            conf.set("spark.sql.shuffle.partitions", parts)
+            conf.set("spark.sql.adaptive.enabled", aqe)
+            assert run() == baseline
+    finally:
+        for k, v in saved.items():
+            conf.set(k, v)
+    assert len(baseline[0]) > 0 and len(baseline[1]) > 0
