@@ -125,7 +125,9 @@ def match_codes(
     )
 
 
-def tagged_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
+def tagged_counts(
+    records: DataFrame, leaves: Mapping[str, Leaf], keep_records: bool = True
+) -> DataFrame:
     """The one aggregate everything else is derived from; one scan, one shuffle.
 
     Each record is exploded into a *length tag* (criterion NULL) plus one tag
@@ -139,13 +141,22 @@ def tagged_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
 
     A hot patient collapses to one length row per map task before the shuffle;
     its match rows stay spread over partitions by record id.
+
+    ``keep_records=False`` (scores without evidence) counts per (patient,
+    criterion) instead: ``record_uid`` is always NULL and ``n`` of a match row
+    is already the patient's tf, so the shuffle carries one row per matched
+    pair rather than one per matching record.
     """
     df = with_match_array(records, leaves)
     tags = F.concat(F.array(F.lit(None).cast("int")), F.col(MATCHES))
     exploded = df.select(PATIENT, RECORD, F.explode(tags).alias("_idx")).select(
         PATIENT,
         "_idx",
-        F.when(F.col("_idx").isNotNull(), F.col(RECORD)).alias(RECORD),
+        (
+            F.when(F.col("_idx").isNotNull(), F.col(RECORD))
+            if keep_records
+            else F.lit(None).cast("string")
+        ).alias(RECORD),
     )
     counted = exploded.groupBy(PATIENT, "_idx", RECORD).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(

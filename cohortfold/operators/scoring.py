@@ -62,7 +62,7 @@ class LeafScores:
     source_id: str
     entity_type: str
     scores: DataFrame  # SCORE_COLUMNS
-    evidence_rows: DataFrame  # source_id, entity_type, criterion_uid, patient_uid, record_uid
+    evidence_rows: DataFrame | None  # source_id, entity_type, criterion_uid, patient_uid, record_uid
     doc_len: DataFrame  # patient_uid, doc_len
     stats: DataFrame  # one row: n_docs, avg_doc_len
     tf: DataFrame  # criterion_uid, patient_uid, tf
@@ -73,6 +73,8 @@ class LeafScores:
     @property
     def evidence(self) -> DataFrame:
         """Evidence rows with their score; built on first use."""
+        if self.evidence_rows is None:
+            raise ValueError("scored with evidence=False: no record ids were kept")
         if self._evidence is None:
             self._evidence = attach_evidence(self.evidence_rows, self.scores)
         return self._evidence
@@ -196,10 +198,35 @@ def attach_evidence(evidence: DataFrame, scores: DataFrame, hot_share: float = H
     return salted_evidence.join(salted_scores, [*EVIDENCE_KEYS, "_salt"]).drop("_salt")
 
 
-def leaf_base(records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long") -> DataFrame:
+# Most leaves for which ``plan="auto"`` picks the wide plan. Its per-patient
+# row holds one counter per leaf whether or not the patient matches, so it
+# only pays off for a handful of leaves.
+WIDE_PLAN_MAX_LEAVES = 8
+
+
+def choose_plan(leaves: Mapping[str, Leaf], evidence: bool) -> str:
+    """``wide`` for scores only over a few predicate leaves, else ``long``.
+
+    With evidence the long plan is the one-scan plan. Without it, the wide
+    plan's per-patient table stays partitioned by patient, so the document
+    length join needs no shuffle; it measured 1.4 s against 2.9 s for two
+    leaves on sf0.1 orders.
+    """
+    if (
+        not evidence
+        and 0 < len(leaves) <= WIDE_PLAN_MAX_LEAVES
+        and all(leaf.codes is None for leaf in leaves.values())
+    ):
+        return "wide"
+    return "long"
+
+
+def leaf_base(
+    records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long", evidence: bool = True
+) -> DataFrame:
     """The lazy intermediate table of one (source, type); see the module notes."""
     if plan == "long":
-        return tagged_counts(records, leaves)
+        return tagged_counts(records, leaves, keep_records=evidence)
     if plan == "wide":
         return _wide_patient_counts(records, leaves)
     raise ValueError("plan must be 'long' or 'wide'")
@@ -215,25 +242,35 @@ def score_from_base(
     scorer: Scorer | None = None,
     plan: str = "long",
     release: list[Callable[[], None]] | None = None,
+    evidence: bool = True,
 ) -> LeafScores:
     """Scores and evidence from an (already shared) intermediate table."""
     scorer = scorer or BM25()
     if plan == "long":
         doc_len = st.doc_lengths(base)
-        tf = st.term_frequencies(base)
-        evidence_long = st.evidence_rows(base)
+        if evidence:
+            tf = st.term_frequencies(base)
+            evidence_long = st.evidence_rows(base)
+        else:
+            # Counted per (patient, criterion) already: match rows are tf rows.
+            tf = st.match_rows(base).select(CRITERION, PATIENT, F.col("n").cast("bigint").alias("tf"))
+            evidence_long = None
     else:
         doc_len, tf = _wide_to_long(base, list(leaves))
-        evidence_long = criteria_matches(records, leaves).dropDuplicates()
+        evidence_long = criteria_matches(records, leaves).dropDuplicates() if evidence else None
     stats = st.collection_stats(doc_len)
     doc_freq = st.doc_frequencies(tf)
     scores = _score_frame(join_term_stats(tf, doc_freq, doc_len, stats), scorer, source_id, entity_type)
-    tagged_evidence = evidence_long.select(
-        F.lit(source_id).alias("source_id"),
-        F.lit(entity_type).alias("entity_type"),
-        CRITERION,
-        PATIENT,
-        RECORD,
+    tagged_evidence = (
+        evidence_long.select(
+            F.lit(source_id).alias("source_id"),
+            F.lit(entity_type).alias("entity_type"),
+            CRITERION,
+            PATIENT,
+            RECORD,
+        )
+        if evidence_long is not None
+        else None
     )
     return LeafScores(
         source_id, entity_type, scores, tagged_evidence, doc_len, stats, tf, doc_freq,
@@ -255,19 +292,25 @@ def score_leaves(
     source_id: str = "",
     entity_type: str = "",
     scorer: Scorer | None = None,
-    plan: str = "long",
+    plan: str = "auto",
     materialize: str | None = "persist",
+    evidence: bool = True,
 ) -> LeafScores:
     """Score every leaf of one entity type against one source's records.
 
     The intermediate table is cached by default (call ``release()`` after
     use); ``run_cohort_job`` writes it to the checkpoint folder instead.
+    ``evidence=False`` keeps no record ids: the shuffle then carries one row
+    per matched (criterion, patient) instead of one per matching record, and
+    ``.evidence`` is unavailable. ``plan="auto"`` then uses the wide plan for
+    up to ``WIDE_PLAN_MAX_LEAVES`` predicate leaves (see ``choose_plan``).
     """
+    plan = choose_plan(leaves, evidence) if plan == "auto" else plan
     release: list[Callable[[], None]] = []
-    base = share(leaf_base(records, leaves, plan), materialize, f"{plan}_base", release)
+    base = share(leaf_base(records, leaves, plan, evidence), materialize, f"{plan}_base", release)
     return score_from_base(
         base, records, leaves, source_id=source_id, entity_type=entity_type,
-        scorer=scorer, plan=plan, release=release,
+        scorer=scorer, plan=plan, release=release, evidence=evidence,
     )
 
 

@@ -151,3 +151,28 @@ def test_parameters_and_custom_scorer(spark):
         tf = expected[(r.criterion_uid, r.patient_uid)][0]
         idf = math.log((n - df[r.criterion_uid] + 0.5) / (df[r.criterion_uid] + 0.5) + 1)
         assert r.score == pytest.approx(idf * tf * 3.0 / (tf + 2.0))
+
+
+@pytest.mark.parametrize("k", [2, 30])
+def test_scores_without_evidence_equal(spark, k):
+    rows = random_rows(9, n_rows=500)
+    leaves, _ = leaves_and_tests(k)
+    records = frame(spark, rows)
+    cols = ["criterion_uid", "patient_uid", "tf", "doc_len", F.round("score", 9).alias("s")]
+    full = score_leaves(records, leaves, materialize=None).scores.select(cols).collect()
+    lean = score_leaves(records, leaves, materialize=None, evidence=False)
+    assert sorted(lean.scores.select(cols).collect()) == sorted(full)
+    with pytest.raises(ValueError, match="evidence=False"):
+        lean.evidence
+
+
+def test_auto_plan_choice():
+    from cohortfold.operators.scoring import choose_plan
+
+    few, _ = leaves_and_tests(3)
+    many, _ = leaves_and_tests(9)
+    codes = {"C": Leaf("C", "x", codes=["a"])}
+    assert choose_plan(few, evidence=True) == "long"
+    assert choose_plan(few, evidence=False) == "wide"
+    assert choose_plan(many, evidence=False) == "long"
+    assert choose_plan(codes, evidence=False) == "long"
