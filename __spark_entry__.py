@@ -130,6 +130,15 @@ def q_bm25_leaf_scores_tokens(spark, sf_dir):
     return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
 
 
+def q_bm25_leaf_scores_no_evidence(spark, sf_dir):
+    # Scores only, 80 leaves: the long plan counted per (patient, leaf).
+    part = score_leaves(
+        order_records_a(spark, sf_dir), _leaves(*WIDE_LEAVES), source_id="a",
+        entity_type="order", evidence=False,
+    )
+    return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
+
+
 def q_bm25_code_leaf_scores(spark, sf_dir):
     part = score_leaves(
         order_records_b(spark, sf_dir), _leaves(CODES_1, CODES_2), source_id="b",
@@ -396,6 +405,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_leaf_scores": q_bm25_leaf_scores,
         "bm25_leaf_scores_wide": q_bm25_leaf_scores_wide,
         "bm25_leaf_scores_tokens": q_bm25_leaf_scores_tokens,
+        "bm25_leaf_scores_no_evidence": q_bm25_leaf_scores_no_evidence,
         "bm25_code_leaf_scores": q_bm25_code_leaf_scores,
         "custom_scorer": q_custom_scorer,
         "cohort_scores": q_cohort_scores,
@@ -584,6 +594,9 @@ FROM (SELECT DISTINCT src, t, c, p, r FROM m) JOIN s USING (src, t, c, p) WHERE
         "bm25_leaf_scores_tokens": _with(TOKEN_LEAVES, rec=_TOKEN_REC)
         + """SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score
 FROM s""",
+        "bm25_leaf_scores_no_evidence": _with(WIDE_LEAVES)
+        + """SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score
+FROM s WHERE src = 'a'""",
         "bm25_code_leaf_scores": _with([CODES_1, CODES_2])
         + """SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score
 FROM s WHERE src = 'b'""",
