@@ -8,6 +8,7 @@ order is not fixed.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -377,7 +378,34 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_cohort_output(spark, FLAGSHIP_SF)
 
 
+def _llm():
+    """The training-data queries, if their subpackage is there."""
+    if importlib.util.find_spec("cohortfold.llm") is None or importlib.util.find_spec("cohortfold.llm.queries") is None:
+        return None
+    from cohortfold.llm import queries as llm_queries
+
+    return llm_queries
+
+
+def _pipeline():
+    """The corpus pipeline, if it is there."""
+    if _llm() is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    import corpus_pipeline
+
+    return corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = dict(_core_queries())
+    if (llm := _llm()) is not None:
+        found.update(llm.QUERIES)
+    if (pipeline := _pipeline()) is not None:
+        found["pipeline"] = pipeline.run
+    return found
+
+
+def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "typed_projection": q_typed_projection,
         "scan_generic": q_scan_generic,
@@ -524,6 +552,15 @@ rec AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    found = dict(_core_oracles())
+    if (llm := _llm()) is not None:
+        found.update(llm.ORACLES)
+    if (pipeline := _pipeline()) is not None and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
+def _core_oracles() -> dict[str, str]:
     job = JOB_UID.upper()
     main = [L1, L2, L3]
     mixed = [L1, L2, L3, L4]

@@ -21,7 +21,7 @@ SUBSET = [
     "evidence_output",
     "cohort_job_filtered",
 ]
-KEYS = list(entry.queries()) if os.environ.get("ORACLE_ALL") else SUBSET
+KEYS = list(entry._core_queries()) if os.environ.get("ORACLE_ALL") else SUBSET
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry._core_queries()) == set(entry._core_oracles())
 
 
 @pytest.mark.parametrize("key", KEYS)
