@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortfold.llm import mixing, templates, url_rules
+from cohortfold.llm import mixing, near_dup, quality, templates, token_files, url_rules
+from cohortfold.llm.shared import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _crc(doc_id) -> F.Column:
+    """crc32 of the doc_id as text."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def op2_near_dup(spark, sf_dir):
+    return near_dup.find_groups(_read(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -25,6 +35,33 @@ def op4_url_filters(spark, sf_dir):
     return url_rules.apply_rules(_read(spark, sf_dir, "pages"), rules)
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_files(spark, sf_dir):
+    path = Scratch(spark).path("tokens")
+    token_files.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_file())
+    return token_files.checksums(spark, path)
+
+
+QUALITY_AT = 0.3
+
+
+def quality_model(docs, labels):
+    return quality.fit(docs, labels, _crc(F.col("doc_id")) % 5 != 0)
+
+
+def op8_quality(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, _read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted")
+    )
+
+
 #: Domains of the given documents: ranges of their sources' numbers.
 DOMAINS = {"web": (0, 4), "books": (5, 9), "code": (10, 14)}
 MIX_WEIGHTS = {
@@ -50,7 +87,10 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_near_dup": op2_near_dup,
     "op4_url_filters": op4_url_filters,
+    "op5_token_files": op5_token_files,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }

@@ -1,10 +1,16 @@
-"""Written intermediate tables in the cluster's shared folder."""
+"""Written intermediate tables, and Python code on the executors."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortfold.session import delete_path, write_intermediate
+import cohortfold
+from cohortfold.session import checkpoint_dir, delete_path, write_intermediate
 
 
 class Scratch:
@@ -22,6 +28,12 @@ class Scratch:
         out, self._paths[name] = write_intermediate(df, name)
         return out
 
+    def path(self, name: str) -> str:
+        """A new folder for files that are written otherwise."""
+        out = f"{checkpoint_dir(self.spark).rstrip('/')}/cohortfold/{uuid.uuid4().hex}/{name}"
+        self._paths[name] = out
+        return out
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
@@ -38,3 +50,26 @@ class Scratch:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(cohortfold.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="cohortfold-")) / "cohortfold.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
