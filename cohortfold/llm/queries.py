@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortfold.llm import mixing, near_dup, quality, templates, token_files, url_rules
+from cohortfold.llm import ann, mixing, near_dup, quality, repeats, templates, token_files, url_rules
 from cohortfold.llm.shared import Scratch
 
 
@@ -22,6 +22,14 @@ def op2_near_dup(spark, sf_dir):
     return near_dup.find_groups(_read(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op3_repeats(spark, sf_dir):
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), size=20)
+
+
+def op6_nearest(spark, sf_dir):
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -88,8 +96,10 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op2_near_dup": op2_near_dup,
+    "op3_repeats": op3_repeats,
     "op4_url_filters": op4_url_filters,
     "op5_token_files": op5_token_files,
+    "op6_nearest": op6_nearest,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
