@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortfold.llm import ann, mixing, near_dup, quality, repeats, templates, token_files, url_rules
+from cohortfold.llm import ann, html_crf, language, mixing, near_dup, quality, repeats, templates, token_files, url_rules
 from cohortfold.llm.shared import Scratch
 
 
@@ -18,6 +18,11 @@ def _crc(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def op1_html_text(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.fit(pages))
+
+
 def op2_near_dup(spark, sf_dir):
     return near_dup.find_groups(_read(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
@@ -55,6 +60,13 @@ def op5_token_files(spark, sf_dir):
     return token_files.checksums(spark, path)
 
 
+def op7_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = _crc(F.col("doc_id")) % 3 == 1
+    predicted = language.predict(docs, language.fit(docs, ~held_out))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUALITY_AT = 0.3
 
 
@@ -95,11 +107,13 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_near_dup": op2_near_dup,
     "op3_repeats": op3_repeats,
     "op4_url_filters": op4_url_filters,
     "op5_token_files": op5_token_files,
     "op6_nearest": op6_nearest,
+    "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
