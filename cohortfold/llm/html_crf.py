@@ -102,18 +102,22 @@ def lay_out(main: list[str], other: list[str], rng: np.random.Generator) -> tupl
 
     def content() -> str:
         outer = pick(["article", "main", "div", "div", "section"])
-        parts = []
-        for i, text in enumerate(main):
+        parts, bare = [], False
+        short = 0.05 if rng.random() < 0.85 else 0.9
+        for i, text in enumerate(main if rng.random() < 0.85 else main[:1]):
+            if rng.random() < short:
+                text = " ".join(text.split()[: int(rng.integers(1, 4))])
             tag = "h1" if i == 0 and rng.random() < 0.5 else pick(["p"] * 8 + ["h2", "li", "blockquote", "pre", "td", "div"])
-            parts.append(f"<{tag}>{html.escape(text)}</{tag}>")
+            bare = not bare and rng.random() < 0.1  # text between elements; two in a row would be one block
+            parts.append(html.escape(text) if bare else f"<{tag}>{html.escape(text)}</{tag}>")
             labels.append(1)
             if rng.random() < 0.08:
                 parts.append(aside())
         return f"<{outer}{attributes(MAIN_NAMES, outer == 'div')}>{''.join(parts)}</{outer}>"
 
-    page = "".join(aside() for _ in range(int(rng.integers(1, 4))))
+    page = "".join(aside() for _ in range(int(rng.integers(0, 4))))
     page += content()
-    page += "".join(aside() for _ in range(int(rng.integers(1, 5))))
+    page += "".join(aside() for _ in range(int(rng.integers(0, 5))))
     if rng.random() < 0.5:
         page = f"<div{attributes(['container', 'wrapper', 'page', 'site', 'root'], False)}>{page}</div>"
     return f"<html><body>{page}</body></html>", labels

@@ -1,0 +1,47 @@
+import brute
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from cohortfold.llm import queries  # noqa: E402
+from cohortfold.llm.shared import Scratch  # noqa: E402
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages_against_brute_force(spark):
+    docs, scratch = spark.read.parquet(f"{SF}/documents.parquet").limit(260), Scratch(spark)
+    tables = [docs := scratch.write(docs, "in")]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = scratch.write(stage(spark, docs, SF), str(k))
+        tables.append(docs)
+    rows = [{r.doc_id: r.text for r in t.collect()} for t in tables[:5]]
+    assert all(t.columns == tables[0].columns for t in tables[:5])
+    assert all(set(b.items()) <= set(a.items()) and len(b) < len(a) for a, b in zip(rows, rows[1:]))
+    groups = brute.near_dup(list(rows[1].items()), 5, 80)
+    assert set(rows[2]) == {d for d, (_, g) in groups.items() if d == g}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    gone = {d for d, _ in brute.shared_runs(list(rows[2].items()), items, 13)}
+    assert gone and set(rows[3]) == set(rows[2]) - gone
+    words = lambda t: sum(len(brute.WORD.findall(x)) for x in t.values())
+    assert 0.88 < words(rows[4]) / words(rows[3]) < 1  # the last document of each prefix stays whole
+    from cohortfold.llm.token_files import Encoder
+
+    tokenizer, start, want = Encoder(queries.tokenizer_file()).tokenizer, 0, []
+    for d, text in sorted(rows[4].items()):
+        n = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+        want.append((d, start, n))
+        start += n
+    assert sorted(tuple(r)[:3] for r in tables[5].collect()) == want
+
+
+def test_edges(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, _gone string"
+    empty = spark.createDataFrame([], schema)
+    more = spark.createDataFrame([(1, None, None, None, None, "s", 1, "g"), (2, "", "en", "a", 0, "s", 1, "g"), (3, "some words", "en", "a", 10, None, None, None), (3, "some words", "en", "a", 10, None, None, None), (None, "other words", "en", "b", 11, "s", 1, "g")], schema)
+    for docs, left in ((empty, 0), (more, 2)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            if k < 4:
+                columns = docs.columns
+            docs = Scratch(spark).write(stage(spark, docs, "/root/testdata/sf0.001"), "t")
+            assert k == 4 or docs.columns == columns
+        assert docs.count() == left
