@@ -1,12 +1,11 @@
 """Combining leaf scores across sources and up the criteria tree.
 
-The cross-source merge and the tree fold happen in one ``groupBy(patient)``:
-for each leaf k the aggregate keeps sum(score) and sum(data_source_count)
-over the rows of criterion k, with partial aggregation before the shuffle.
-A patient has at most (#leaves x #sources) leaf-score rows, so no group grows
-with the data. Very wide trees (more than ``WIDE_TREE_LIMIT`` leaves) merge
-per (patient, criterion) first and look leaf values up in a per-patient map,
-which again holds at most one entry per leaf.
+Leaf scores are partitioned by patient once. Sources are merged per (patient,
+criterion), then the tree is folded a level at a time: each level groups the
+matched children of a patient by their parent, which the partitioning by
+patient already serves, so no level shuffles again. A level's expressions look
+up a node's rule in constant arrays; their size does not grow with the tree.
+A patient has at most (#leaves x #sources) rows, so no group grows with the data.
 """
 
 from __future__ import annotations
@@ -20,9 +19,7 @@ from pyspark.sql import types as T
 
 from cohortfold.operators.matching import CRITERION
 from cohortfold.operators.records import PATIENT
-from cohortfold.plans.criteria import Criterion, compile_tree, leaf_keys
-
-WIDE_TREE_LIMIT = 64
+from cohortfold.plans.criteria import Criterion, FoldLevel, fold_levels
 
 LEAF_SCORE_SCHEMA = T.StructType(
     [
@@ -61,48 +58,47 @@ def _leaf_value(score_sum: Column, count_sum: Column, leaf_value: str) -> Column
     raise ValueError("leaf_value must be 'mean' or 'sum'")
 
 
+def _at(values: Sequence[int], place: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(place) + F.lit(1))
+
+
+def _fold(rows: DataFrame, level: FoldLevel) -> DataFrame:
+    """(patient, node, matched, score) of a level's nodes from those of their children.
+
+    A node has a row if one of its leaves has; children without a row count as
+    their default says (``Not`` is matched where its child has no row).
+    """
+    children = rows.select(
+        PATIENT, _at(level.parent, "node").alias("node"), (F.col("matched") - _at(level.default, "node")).alias("more"), "score"
+    )
+    nodes = children.groupBy(PATIENT, "node").agg(F.sum("more").alias("more"), F.sum("score").alias("score"))
+    count = F.col("more") + _at(level.base, "node")
+    nodes = nodes.withColumn("matched", count.between(_at(level.least, "node"), _at(level.most, "node")).cast("int"))
+    keep = (F.col("matched") == 1) & (_at(level.scored, "node") == 1)
+    return nodes.select(PATIENT, "node", "matched", F.when(keep, F.col("score")).otherwise(F.lit(0.0)).alias("score"))
+
+
 def cohort_scores(
     leaf_scores: DataFrame, tree: Criterion, leaf_value: str = "mean"
 ) -> DataFrame:
     """(person_uid, score): one row per patient with at least one leaf score.
 
     ``leaf_value="mean"`` divides a leaf's summed score by the number of
-    sources that scored it; ``"sum"`` keeps the plain sum.
+    sources that scored it; ``"sum"`` keeps the plain sum. Rows of criteria
+    outside the tree still make their patient a cohort row.
     """
-    keys = leaf_keys(tree)
-    crit = F.col(CRITERION)
-    if len(keys) <= WIDE_TREE_LIMIT:
-        aggs = []
-        for i, k in enumerate(keys):
-            hit = crit == F.lit(k)
-            aggs.append(F.sum(F.when(hit, F.col("score"))).alias(f"_s{i}"))
-            aggs.append(F.sum(F.when(hit, F.col("data_source_count"))).alias(f"_c{i}"))
-        # Rows of criteria outside the tree still make their patient a cohort row.
-        aggs.append(F.count(F.lit(1)).alias("_rows"))
-        per_patient = leaf_scores.groupBy(PATIENT).agg(*aggs)
-        index = {k: i for i, k in enumerate(keys)}
-
-        def value_of(k: str) -> Column:
-            i = index[k]
-            return _leaf_value(F.col(f"_s{i}"), F.col(f"_c{i}"), leaf_value)
-
-    else:
-        merged = cross_source_merge(leaf_scores)
-        per_patient = merged.groupBy(PATIENT).agg(
-            F.map_from_entries(
-                F.collect_list(
-                    F.struct(
-                        crit,
-                        _leaf_value(F.col("score_sum"), F.col("data_source_count"), leaf_value),
-                    )
-                )
-            ).alias("_values")
-        )
-
-        def value_of(k: str) -> Column:
-            return F.try_element_at(F.col("_values"), F.lit(k))
-
-    _, score = compile_tree(tree, value_of)
-    return per_patient.select(
-        F.col(PATIENT).alias("person_uid"), score.cast("double").alias("score")
+    places, levels = fold_levels(tree)
+    leaves = leaf_scores.sparkSession.createDataFrame(places, f"{CRITERION} string, node int")
+    value = _leaf_value(F.col("score_sum"), F.col("data_source_count"), leaf_value)
+    merged = cross_source_merge(leaf_scores.repartition(F.col(PATIENT)))
+    rows = merged.join(F.broadcast(leaves), CRITERION, "left")  # a row for each leaf of the tree
+    inside = F.col("node").isNotNull() & value.isNotNull()
+    rows = rows.select(
+        PATIENT,
+        F.coalesce("node", F.lit(len(places))).alias("node"),
+        inside.cast("int").alias("matched"),
+        F.when(inside, value).otherwise(F.lit(0.0)).alias("score"),
     )
+    for level in levels:
+        rows = _fold(rows, level)
+    return rows.select(F.col(PATIENT).alias("person_uid"), F.col("score").cast("double").alias("score"))

@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortfold.functions.ids import normalize_uid
@@ -45,7 +46,8 @@ class Leaf(Criterion):
 
     ``predicate``: SQL text or a Column over the canonical record columns;
     NULL counts as no match. ``codes``: alternatively, a code list; a record
-    matches when its ``code_column`` value is in the list.
+    matches when its ``code_column`` value is in the list. ``code_table``: the
+    same with a DataFrame, whose first column holds the codes.
     """
 
     def __init__(
@@ -55,16 +57,22 @@ class Leaf(Criterion):
         predicate: str | Column | None = None,
         *,
         codes: Iterable[str] | None = None,
+        code_table: DataFrame | None = None,
         code_column: str = "code",
     ) -> None:
-        if (predicate is None) == (codes is None):
-            raise ValueError("a leaf needs exactly one of predicate or codes")
+        if sum(x is not None for x in (predicate, codes, code_table)) != 1:
+            raise ValueError("a leaf needs exactly one of predicate, codes or code_table")
         self.uid = str(uid)
         self.entity_type = entity_type
         self.predicate = predicate
         self.codes = tuple(dict.fromkeys(codes)) if codes is not None else None
+        self.code_table = code_table
         self.code_column = code_column
 
+    @property
+    def by_code(self) -> bool:
+        return self.predicate is None
+
     def condition(self) -> Column:
         """Boolean Column for a predicate leaf."""
         if self.predicate is None:
@@ -74,7 +82,7 @@ class Leaf(Criterion):
         return self.predicate
 
     def __repr__(self) -> str:
-        test = self.predicate if self.codes is None else f"codes[{len(self.codes)}]"
+        test = self.predicate if not self.by_code else "code table" if self.codes is None else f"codes[{len(self.codes)}]"
         return f"Leaf({self.uid!r}, {self.entity_type!r}, {test!r})"
 
 
@@ -142,6 +150,64 @@ def leaf_keys(tree: Criterion) -> list[str]:
     return list(dict.fromkeys(leaf.key for leaf in iter_leaves(tree)))
 
 
+@dataclass
+class FoldLevel:
+    """One level of a tree fold: how its nodes (by place) combine their children.
+
+    ``parent`` and ``default`` are by child place: the node it belongs to, and
+    1 if the child is matched where none of its leaves is. ``base`` counts such
+    children of a node; a node is matched when its number of matched children
+    lies in ``least .. most``, and then scores their sum if ``scored``. The last
+    child and the last node are void: rows that belong to no leaf of the tree.
+    """
+
+    parent: list[int]
+    default: list[int]
+    base: list[int]
+    least: list[int]
+    most: list[int]
+    scored: list[int]
+
+
+def fold_levels(tree: Criterion) -> tuple[list[tuple[str, int]], list[FoldLevel]]:
+    """(leaf id, place) pairs of the deepest level, and the levels from there to the root.
+
+    Leaves above the deepest level are carried down to it, so each level has
+    one kind of row.
+    """
+    levels: list[list[Criterion]] = [[tree]]
+    parents: list[list[int]] = []
+    while not parents or any(not isinstance(n, Leaf) for n in levels[-1]):
+        below: list[Criterion] = []
+        parent: list[int] = []
+        for i, node in enumerate(levels[-1]):
+            children = [node] if isinstance(node, Leaf) else list(node.children)
+            below += children
+            parent += [i] * len(children)
+        levels.append(below)
+        parents.append(parent)
+
+    default = [0] * len(levels[-1])
+    out: list[FoldLevel] = []
+    for depth in range(len(parents) - 1, -1, -1):
+        nodes, parent = levels[depth], parents[depth]
+        size, base = [0] * len(nodes), [0] * len(nodes)
+        for child, up in enumerate(parent):
+            size[up] += 1
+            base[up] += default[child]
+        least, most, scored = [], [], []
+        for node, n in zip(nodes, size):
+            if isinstance(node, Not):
+                least, most, scored = [*least, 0], [*most, 0], [*scored, 0]
+            else:
+                need = n if isinstance(node, AllOf) else node.k if isinstance(node, AtLeast) else 1
+                least, most, scored = [*least, need], [*most, n], [*scored, 1]
+        void = len(nodes) if depth else 0
+        out.append(FoldLevel([*parent, void], [*default, 0], [*base, 0], [*least, 1], [*most, 0], [*scored, 0]))
+        default = [int(lo <= b <= hi) for b, lo, hi in zip(base, least, most)]
+    return [(leaf.key, i) for i, leaf in enumerate(levels[-1])], out
+
+
 def balanced(items: Sequence[Column], op: Callable[[Column, Column], Column]) -> Column:
     """Fold ``items`` pairwise so the expression depth is log2(len)."""
     items = list(items)

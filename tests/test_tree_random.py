@@ -89,3 +89,32 @@ def test_leaf_value_sum(spark):
     per_source = {r.source_id: r.score for r in mean.leaf_scores.collect()}
     assert mean.cohort.first().score == pytest.approx(sum(per_source.values()) / 2)
     assert total.cohort.first().score == pytest.approx(sum(per_source.values()))
+
+
+def _largest_method(spark, df):
+    """Bytes of the largest method generated for the plan of ``df``, without AQE."""
+    package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    stages = getattr(package, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max([stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())])
+
+
+@pytest.mark.parametrize("n", [2, 80, 500])
+def test_fold_code_does_not_grow_with_the_tree(spark, n):
+    from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cohort_scores
+
+    keys = [f"K{i:03d}" for i in range(n)]
+    rows = [("s", "x", k, f"p{j}", 1, 1, 1.0 + j, 1) for i, k in enumerate(keys) for j in range(5) if i % (j + 1) == 0]
+    rows.append(("s", "x", "OUT", "only outside the tree", 1, 1, 9.0, 1))
+    leaves = [Leaf(k, "x", "true") for k in keys]
+    tree = AnyOf(AllOf(*leaves), AllOf(AtLeast(max(1, n // 3), *leaves), Not(leaves[0])), Not(AnyOf(*leaves)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = cohort_scores(spark.createDataFrame(rows, LEAF_SCORE_SCHEMA), tree)
+        got = {r.person_uid: r.score for r in df.collect()}
+        assert _largest_method(spark, df) < 8000
+        exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+        assert len(exchanges) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got.pop("only outside the tree") == 0.0
+    assert got == {f"p{j}": (1.0 + j) * n if j == 0 else 0.0 for j in range(5) if any(i % (j + 1) == 0 for i in range(n))}
