@@ -26,5 +26,8 @@ def normalize_uid(value: str | _uuid.UUID) -> str:
 
 
 def normalize_uid_col(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.upper(c)
+    """``normalize_uid`` of a column: hyphens are set and braces dropped in UUIDs."""
+    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    digits = F.regexp_replace(F.regexp_replace(c, "^(urn:)?(uuid:)?", ""), "[{}-]", "")
+    grouped = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.upper(F.when(digits.rlike("^[0-9a-fA-F]{32}$"), grouped).otherwise(c))

@@ -8,13 +8,17 @@ equal strings from two sources are the same patient.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from cohortfold.sources.connection import Connection
+
 PATIENT = "patient_uid"
 RECORD = "record_uid"
 
@@ -32,13 +36,22 @@ class RecordMapping:
     attributes: Mapping[str, str] = field(default_factory=dict)
 
 
-@dataclass(eq=False)
 class RecordSource:
-    """Records of one entity type from one data source."""
+    """Records of one entity type from one data source.
+
+    ``records`` is a DataFrame, or a function that makes one: then nothing is
+    read, not even a schema, before a job that has the source enabled asks.
+    """
 
-    source_id: str
-    entity_type: str
-    records: DataFrame
+    def __init__(self, source_id: str, entity_type: str, records: DataFrame | Callable[[], DataFrame]):
+        self.source_id, self.entity_type = source_id, entity_type
+        self._records = records
+
+    @property
+    def records(self) -> DataFrame:
+        if not isinstance(self._records, DataFrame):
+            self._records = self._records()
+        return self._records
 
     def __repr__(self) -> str:
         return f"RecordSource({self.source_id!r}, {self.entity_type!r})"
@@ -98,6 +111,19 @@ def typed_projection(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def parsed_projection(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``typed_projection`` of text cells: one that does not parse fails its task."""
+
+    def parsed(f: T.StructField) -> Column:
+        cell = F.col(f"`{f.name}`")
+        value = cell.try_cast(f.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"cohortfold: {f.name} does not parse: "), cell)).cast(f.dataType)
+        return F.when(cell.isNotNull() & value.isNull(), bad).otherwise(value).alias(f.name)
+
+    names = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    return typed_projection(df, names).select(*[parsed(f) for f in schema.fields])
+
+
 def rebalance(records: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Spread a badly partitioned source, e.g. a one-partition JDBC read.
 
@@ -110,20 +136,22 @@ def rebalance(records: DataFrame, num_partitions: int | None = None) -> DataFram
     return records.hint("rebalance")
 
 
-def spread_narrow_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a *plain file scan* that arrives in too few splits.
-
-    A file written as one row group is read by one task, so heavy per-row
-    work after it (tokenising text) would run on one core. When the scan has
-    fewer partitions than the cluster's default parallelism, spread it first;
-    otherwise (the normal case at scale: thousands of splits) return it
-    untouched, so no extra shuffle is paid. Call it on a scan only: counting
-    partitions of a plan with exchanges would execute them.
-    """
-    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() < target:
-        return scan.repartition(target)
-    return scan
+def provided_source(
+    spark: SparkSession,
+    source_id: str,
+    entity_type: str,
+    connection: Connection,
+    query: str,
+    mapping: RecordMapping,
+    schema: T.StructType | None = None,
+    id_column: str | None = None,
+    on_null: str = "raise",
+) -> RecordSource:
+    """A source that reads ``query`` through ``connection`` on first use."""
+    return RecordSource(
+        source_id, entity_type,
+        lambda: map_records(connection.read(spark, query, schema, id_column), mapping, on_null),
+    )
 
 
 def select_sources(

@@ -1,10 +1,10 @@
 """File-based reads and writes (inventory S3, S4).
 
-``FileConnection`` reads any Spark data source format by path or table name
-(the generic scan that stands in for warehouse connectors whose jars are not
-on the classpath) and writes delimited text, one folder per table under
-``path + table``. Spark quotes values that contain the delimiter and writes
-NULL as an empty field, where the original joined raw values with commas.
+``FileConnection`` reads any Spark data source format by path and writes
+delimited text, one folder per table under ``path + table``. Spark quotes
+values that contain the delimiter and writes NULL as an empty field, where the
+original joined raw values with commas. ``CatalogConnection`` reads query text
+over the session's tables and views and appends to its tables.
 """
 
 from __future__ import annotations
@@ -14,11 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cohortfold.operators.records import typed_projection
-
-
-# Formats without an embedded schema.
-SCHEMA_ON_READ = {"csv", "json", "text"}
+from cohortfold.operators.records import parsed_projection, typed_projection
 
 
 @dataclass
@@ -45,12 +41,21 @@ class FileConnection:
         Only the schema's columns reach the scan (column pruning), and later
         filters are pushed into it. ``id_column`` is unused: file splits
         already parallelise the scan.
+
+        Text formats never guess. CSV with a header takes the names from it
+        and the schema's columns by name, in any order; without one the schema
+        must be the whole file's. JSON goes by name. A cell that does not
+        parse, or a CSV row of another width, fails its task.
         """
         reader = spark.read.format(self.format).options(**self.read_options)
-        if schema is not None and self.format in SCHEMA_ON_READ:
-            # Text formats: give the schema up front instead of inferring it
-            # with an extra pass over the data.
-            reader = reader.schema(schema)
+        if schema is not None and self.format == "csv":
+            reader = reader.option("mode", "FAILFAST").option("columnPruning", "false")
+            header = str({k.lower(): v for k, v in self.read_options.items()}.get("header", "")).lower() == "true"
+            if header:
+                return parsed_projection(reader.load(self.location(query)), schema)
+            return reader.schema(schema).load(self.location(query))
+        if schema is not None and self.format == "json":
+            return reader.option("mode", "FAILFAST").schema(schema).load(self.location(query))
         df = reader.load(self.location(query))
         return typed_projection(df, schema) if schema is not None else df
 
@@ -59,3 +64,25 @@ class FileConnection:
         if self.write_format == "csv":
             writer = writer.option("header", "false").option("sep", self.delimiter)
         writer.save(self.location(table))
+
+
+@dataclass
+class CatalogConnection:
+    """Query text over catalog tables and views; appends to catalog tables."""
+
+    write_mode: str = "append"
+
+    def read(
+        self,
+        spark: SparkSession,
+        query: str,
+        schema: T.StructType | None = None,
+        id_column: str | None = None,
+    ) -> DataFrame:
+        """The query's rows, projected to ``schema`` if given. ``id_column`` is
+        unused: the tables' own splits parallelise the scan."""
+        df = spark.sql(query)
+        return typed_projection(df, schema) if schema is not None else df
+
+    def write(self, table: str, df: DataFrame) -> None:
+        df.write.mode(self.write_mode).saveAsTable(table)

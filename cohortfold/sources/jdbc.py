@@ -2,8 +2,10 @@
 
 Reads wrap the source query as a derived table and, given a numeric id
 column, split it into ``partitions`` id ranges read in parallel. The range
-bounds come from a one-row ``min/max`` query on the same database. Writes
-append through Spark's JDBC writer, batched per partition.
+bounds come from a one-row ``min/max`` query on the same database. A read that
+stays one range is spread afterwards. Rows are fetched ``fetch_size`` at a
+time. Writes append through Spark's JDBC writer, batched per partition, over at
+most ``write_connections`` connections.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cohortfold.operators.records import typed_projection
+from cohortfold.operators.records import rebalance, typed_projection
 
 
 @dataclass
@@ -23,12 +25,16 @@ class JdbcConnection:
     user: str | None = None
     password: str | None = None
     partitions: int = 1
+    fetch_size: int = 10_000
+    write_connections: int = 16
+    # Partitions that a one-range read is dealt out to; None leaves it in one.
+    spread: int | None = None
     # Derived-table alias; some databases (Oracle) reject the "AS" keyword.
     alias_clause: str = "AS subq"
     options: dict[str, str] = field(default_factory=dict)
 
     def _base_options(self) -> dict[str, str]:
-        opts = {"url": self.url}
+        opts = {"url": self.url, "fetchsize": str(self.fetch_size)}
         if self.driver:
             opts["driver"] = self.driver
         if self.user is not None:
@@ -64,9 +70,11 @@ class JdbcConnection:
     ) -> DataFrame:
         reader = spark.read.format("jdbc").options(**self._base_options())
         reader = reader.option("dbtable", self._derived(query))
+        split = False
         if id_column and self.partitions > 1:
             bounds = self.id_bounds(spark, query, id_column)
             if bounds is not None:
+                split = True
                 reader = (
                     reader.option("partitionColumn", id_column)
                     .option("lowerBound", str(bounds[0]))
@@ -74,9 +82,10 @@ class JdbcConnection:
                     .option("numPartitions", str(self.partitions))
                 )
         df = reader.load()
+        if self.spread and not split:
+            df = rebalance(df, self.spread)
         return typed_projection(df, schema) if schema is not None else df
 
     def write(self, table: str, df: DataFrame) -> None:
-        df.write.format("jdbc").options(**self._base_options()).option("dbtable", table).mode(
-            "append"
-        ).save()
+        writer = df.write.format("jdbc").options(**self._base_options())
+        writer.option("dbtable", table).option("numPartitions", str(self.write_connections)).mode("append").save()

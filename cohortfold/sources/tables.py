@@ -23,7 +23,7 @@ from cohortfold.operators.records import (
     RecordMapping,
     RecordSource,
     map_records,
-    spread_narrow_scan,
+    rebalance,
 )
 
 # Fixed value: word boundary used for the token source (letters and digits
@@ -36,15 +36,6 @@ def load_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def scan_for_records(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """Scan only ``columns`` of a table; spread it if it has too few splits.
-
-    Records feed per-row matching and a partial aggregate; a one-row-group
-    file would otherwise push all of that through a single task.
-    """
-    return spread_narrow_scan(load_table(spark, sf_dir, name, columns))
-
-
 ORDER_A = RecordMapping(
     patient="o_custkey",
     record="o_orderkey",
@@ -87,11 +78,11 @@ TOKEN = RecordMapping(
 
 def order_records_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate"]
-    return map_records(scan_for_records(spark, sf_dir, "orders", cols), ORDER_A)
+    return map_records(load_table(spark, sf_dir, "orders", cols), ORDER_A)
 
 
 def order_records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = scan_for_records(
+    lines = load_table(
         spark, sf_dir, "lineitem",
         ["l_orderkey", "l_linenumber", "l_linestatus", "l_extendedprice", "l_shipdate"],
     )
@@ -103,13 +94,18 @@ def order_records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_records_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["event_id", "user_id", "event_type", "value", "ts"]
-    return map_records(scan_for_records(spark, sf_dir, "events", cols), EVENT_A)
+    return map_records(load_table(spark, sf_dir, "events", cols), EVENT_A)
+
 
+def token_records(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """One record per word of each whole document; position is 0-based.
 
-def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per word of each whole document; position is 0-based."""
-    # Tokenising is the heavy per-row step: make sure it runs on every core.
-    docs = scan_for_records(spark, sf_dir, "documents", ["doc_id", "text"])
+    ``partitions``: spread the documents first (P3), for a table that is one
+    unsplittable row group.
+    """
+    docs = load_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    if partitions:
+        docs = rebalance(docs, partitions)
     words = docs.select(
         "doc_id",
         F.posexplode(F.split(F.lower(F.col("text")), TOKEN_SPLIT)).alias("pos", "token"),
@@ -126,5 +122,5 @@ def clinical_sources(spark: SparkSession, sf_dir: str) -> list[RecordSource]:
     ]
 
 
-def token_source(spark: SparkSession, sf_dir: str) -> RecordSource:
-    return RecordSource("docs", "token", token_records(spark, sf_dir))
+def token_source(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> RecordSource:
+    return RecordSource("docs", "token", token_records(spark, sf_dir, partitions))

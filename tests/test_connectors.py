@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortfold import AllOf, Leaf, RecordSource, run_cohort_job
-from cohortfold.operators.records import RecordMapping, map_records, rebalance, spread_narrow_scan
+from cohortfold.operators.records import RecordMapping, map_records, provided_source, rebalance
 from cohortfold.sources.connection import Connection
-from cohortfold.sources.files import FileConnection
+from cohortfold.sources.files import CatalogConnection, FileConnection
 from cohortfold.sources.jdbc import JdbcConnection
 
 
@@ -103,12 +103,50 @@ def test_generic_read_prunes_columns(spark):
     assert df.count() == 1500
 
 
-def test_rebalance_and_spread(spark):
-    one = spark.range(100).coalesce(1)
-    assert rebalance(one, 4).rdd.getNumPartitions() == 4
-    assert spread_narrow_scan(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), 4).rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 16)
-    assert spread_narrow_scan(wide, 4) is wide
+def test_rebalance(spark):
+    assert rebalance(spark.range(100).coalesce(1), 4).rdd.getNumPartitions() == 4
+
+
+def test_catalog_read_and_append(spark):
+    conn = CatalogConnection()
+    spark.range(10).selectExpr("id", "id % 3 AS k").createOrReplaceTempView("cf_numbers")
+    schema = T.StructType([T.StructField("total", T.StringType()), T.StructField("k", T.LongType())])
+    df = conn.read(spark, "SELECT k, sum(id) AS total, count(*) AS n FROM cf_numbers GROUP BY k", schema)
+    assert sorted(df.collect()) == [("12", 1), ("15", 2), ("18", 0)]
+    name = f"cf_sink_{uuid.uuid4().hex[:8]}"
+    for _ in range(2):
+        conn.write(name, df)
+    assert spark.table(name).count() == 6
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_disabled_sources_are_never_read(spark):
+    class Recording(CatalogConnection):
+        def read(self, spark, query, schema=None, id_column=None):
+            asked.append(query)
+            return super().read(spark, query, schema, id_column)
+
+    asked = []
+    mapping = RecordMapping("p", "r", {"code": "c"})
+    sources = [
+        provided_source(spark, name, kind, Recording(), f"SELECT 'p1' AS p, '{name}' AS r, 'A' AS c", mapping)
+        for name, kind in (("on", "x"), ("off", "x"), ("other", "y"))
+    ]
+    assert asked == []
+    res = run_cohort_job(spark, sources, Leaf("A", "x", "code = 'A'"), "job", enabled_sources=["on", "other"], materialize=None)
+    assert res.cohort.count() == 1 and asked == ["SELECT 'p1' AS p, 'on' AS r, 'A' AS c"]
+
+
+def test_jdbc_options(spark):
+    conn = derby(spark)
+    conn.spread = 3
+    assert conn._base_options()["fetchsize"] == "10000"
+    seed_table(spark, conn, rows=40)
+    assert conn.read(spark, "SELECT * FROM recs").rdd.getNumPartitions() == 3
+    assert conn.read(spark, "SELECT * FROM recs", id_column="rid").rdd.getNumPartitions() == 4
+    conn.write_connections = 2
+    seed_table(spark, conn, rows=60)
+    assert conn.read(spark, "SELECT * FROM recs").count() == 100
 
 
 def test_release_deletes_intermediates(spark):
@@ -124,7 +162,7 @@ def test_release_deletes_intermediates(spark):
     assert len(created) == 2  # the tagged counts and the scores
     assert res.cohort.count() == 7
     res.release()
-    assert all(not os.listdir(os.path.join(root, d)) for d in created)
+    assert not created & set(os.listdir(root))
 
 
 def test_csv_read_with_declared_schema(spark):
@@ -135,6 +173,32 @@ def test_csv_read_with_declared_schema(spark):
     assert sorted(back.collect()) == [(1, "a"), (2, None)]
 
 
+@pytest.mark.parametrize("names", [["id", "s", "d"], ["s", "d"], ["d", "s", "id"], ["D"]])
+def test_csv_with_a_header_goes_by_name(spark, names):
+    base = tempfile.mkdtemp(prefix="cf-csv-") + "/"
+    spark.createDataFrame([(1, "a", 2.5), (2, "b", 3.5)], "id long, s string, d double").write.option("header", "true").csv(base + "t")
+    kinds = {"id": T.LongType(), "s": T.StringType(), "d": T.DoubleType()}
+    schema = T.StructType([T.StructField(n, kinds[n.lower()]) for n in names])
+    back = FileConnection(path=base, format="csv", read_options={"header": "true"}).read(spark, "t", schema)
+    rows = {"id": [1, 2], "s": ["a", "b"], "d": [2.5, 3.5]}
+    assert sorted(map(tuple, back.collect())) == sorted(zip(*(rows[n.lower()] for n in names)))
+
+
+def test_csv_never_guesses(spark):
+    base = tempfile.mkdtemp(prefix="cf-csv-") + "/"
+    spark.createDataFrame([("1", "a"), ("x", "b")], "id string, s string").write.option("header", "true").csv(base + "bad")
+    spark.createDataFrame([(1, "a", 2.5)], "id long, s string, d double").write.csv(base + "wide")
+    ids = T.StructType([T.StructField("id", T.LongType())])
+    with pytest.raises(Exception, match="id does not parse: x"):
+        FileConnection(path=base, format="csv", read_options={"header": "true"}).read(spark, "bad", ids).collect()
+    with pytest.raises(ValueError, match="missing"):
+        FileConnection(path=base, format="csv", read_options={"header": "true"}).read(
+            spark, "bad", T.StructType([T.StructField("zz", T.LongType())])
+        )
+    with pytest.raises(Exception, match="(?i)malformed"):
+        FileConnection(path=base, format="csv").read(spark, "wide", T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])).collect()
+
+
 def test_failed_job_leaves_no_intermediates(spark):
     from cohortfold.session import checkpoint_dir
 
