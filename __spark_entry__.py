@@ -9,6 +9,7 @@ order is not fixed.
 from __future__ import annotations
 
 import importlib.util
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ from cohortfold.operators.records import (
 from cohortfold.operators.scoring import LeafScores, score_leaves
 from cohortfold.plans.criteria import AllOf, AnyOf, AtLeast, Leaf, Not, leaves_by_type
 from cohortfold.plans.job import run_cohort_job
-from cohortfold.sources.files import FileConnection
+from cohortfold.session import checkpoint_dir
+from cohortfold.sources.files import CatalogConnection, FileConnection
 from cohortfold.sources.tables import (
     clinical_sources,
     event_records_a,
@@ -51,20 +53,28 @@ SLICE_A = Leaf("11111111-2222-4333-8444-55555555AAAA", "order", "code = '1-URGEN
 SLICE_B = Leaf("66666666-7777-4888-9999-AAAAAAAABBBB", "order", "status = 'F' AND value > 200000")
 CODES_1 = Leaf("c0de0001-aaaa-4bbb-8ccc-ddddeeeeffff", "order", codes=["1-URGENT", "2-HIGH"])
 CODES_2 = Leaf("c0de0002-aaaa-4bbb-8ccc-ddddeeeeffff", "order", codes=["2-HIGH", "3-MEDIUM"])
+# The first two get their codes from tables, see q_bm25_code_table_scores.
+CODES_DEAR = Leaf("c0de7ab1-0001-4bbb-8ccc-ddddeeeeffff", "order", codes=[])
+CODES_EARLY = Leaf("c0de7ab1-0002-4bbb-8ccc-ddddeeeeffff", "order", codes=[])
+CODES_LOW = Leaf("c0de7ab1-0003-4bbb-8ccc-ddddeeeeffff", "order", codes=["5-LOW", "no such code"])
 TOKEN_WORDS = ["the", "der", "license", "de"]
 TOKEN_LEAVES = [
     Leaf(f"70ce0000-0000-4000-8000-{i:012d}", "token", f"code = '{w}'")
     for i, w in enumerate(TOKEN_WORDS)
 ]
 
-# A wide tree (more than 64 leaves takes the per-patient map path): leaf k
-# tests value > 5000 * k, for k = 0 .. 79.
+# Wide trees: leaf k tests value > step * k.
 WIDE_STEP = 5000
-WIDE_LEAVES = [
-    Leaf(f"3a1d0000-0000-4000-8000-{k:012d}", "order", f"value > {WIDE_STEP * k}")
-    for k in range(80)
-]
+
+
+def _wide_leaves(n: int, step: int) -> list[Leaf]:
+    return [Leaf(f"3a1d0000-0000-4000-8000-{k:012d}", "order", f"value > {step * k}") for k in range(n)]
+
+
+WIDE_LEAVES = _wide_leaves(80, WIDE_STEP)
 TREE_WIDE = AtLeast(10, *WIDE_LEAVES)
+WIDEST_LEAVES = _wide_leaves(200, 2000)
+TREE_WIDEST = AtLeast(25, *WIDEST_LEAVES)
 
 TREE = AllOf(L1, AnyOf(L2, L3))
 TREE_MIXED = AnyOf(AllOf(L1, Not(L3)), AtLeast(2, L2, L3, L4))
@@ -114,7 +124,7 @@ def _tagged(parts: list[LeafScores], attr: str) -> DataFrame:
 def q_bm25_leaf_scores(spark, sf_dir, plan="long"):
     part = score_leaves(
         order_records_a(spark, sf_dir), _leaves(SLICE_A, SLICE_B), source_id="a",
-        entity_type="order", plan=plan,
+        entity_type="order", plan=plan, evidence=False,
     )
     return part.scores.select("criterion_uid", "patient_uid", "tf", _r6("score"))
 
@@ -126,7 +136,7 @@ def q_bm25_leaf_scores_wide(spark, sf_dir):
 def q_bm25_leaf_scores_tokens(spark, sf_dir):
     src = token_source(spark, sf_dir)
     part = score_leaves(
-        src.records, _leaves(*TOKEN_LEAVES), source_id=src.source_id, entity_type="token"
+        src.records, _leaves(*TOKEN_LEAVES), source_id=src.source_id, entity_type="token", evidence=False
     )
     return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
 
@@ -143,11 +153,60 @@ def q_bm25_leaf_scores_no_evidence(spark, sf_dir):
 def q_bm25_code_leaf_scores(spark, sf_dir):
     part = score_leaves(
         order_records_b(spark, sf_dir), _leaves(CODES_1, CODES_2), source_id="b",
-        entity_type="order",
+        entity_type="order", evidence=False,
+    )
+    return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
+
+
+def q_bm25_code_table_scores(spark, sf_dir):
+    # Codes held in Spark: the priorities of the dearest and of the earliest orders.
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    dear = orders.where("o_totalprice > 499900").select("o_orderpriority")
+    early = orders.where("o_orderdate < DATE '1995-01-02'").select(F.col("o_orderpriority").alias("p"))
+    leaves = _leaves(
+        Leaf(CODES_DEAR.uid, "order", code_table=dear), Leaf(CODES_EARLY.uid, "order", code_table=early), CODES_LOW
+    )
+    part = score_leaves(
+        order_records_b(spark, sf_dir), leaves, source_id="b", entity_type="order", evidence=False
     )
     return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
 
 
+SCAN_SQL = """
+SELECT o_custkey, count(*) AS n_orders, max(o_orderkey) AS last_key, count(DISTINCT o_orderpriority) AS n_priorities
+FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
+
+
+def q_scan_sql(spark, sf_dir):
+    # S3: query text over catalog views, projected to a declared schema.
+    view = f"cohortfold_orders_{uuid.uuid4().hex[:12]}"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView(view)
+    declared = T.StructType(
+        [T.StructField("n_orders", T.IntegerType()), T.StructField("o_custkey", T.StringType()), T.StructField("last_key", T.LongType())]
+    )
+    return CatalogConnection().read(spark, SCAN_SQL.format(orders=view), declared)
+
+
+def q_csv_round_trip(spark, sf_dir):
+    # Written to the shared folder as CSV with a header, read back by name in another order.
+    base = f"{checkpoint_dir(spark).rstrip('/')}/cohortfold/{uuid.uuid4().hex}/"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_linestatus", F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("flag"),
+    )
+    lines.write.option("header", "true").csv(f"{base}lines")
+    declared = T.StructType(
+        [
+            T.StructField("price", T.DecimalType(15, 2)),
+            T.StructField("flag", T.StringType()),
+            T.StructField("l_linenumber", T.IntegerType()),
+            T.StructField("l_orderkey", T.LongType()),
+        ]
+    )
+    conn = FileConnection(path=base, format="csv", read_options={"header": "true"})
+    return conn.read(spark, "lines", declared).withColumn("price", F.col("price").cast("double"))
+
+
 ORDERS_DECLARED = T.StructType(
     [
         T.StructField("o_orderkey", T.LongType()),
@@ -207,9 +266,9 @@ def q_source_filter(spark, sf_dir):
     return tag_sources(chosen, ["patient_uid", "record_uid"])
 
 
-def _stats_parts(spark, sf_dir):
-    # Statistics only: nothing is reused, so no intermediate is written.
-    return _score_all(spark, sf_dir, materialize=None)
+def _stats_parts(spark, sf_dir, materialize=None):
+    # Where only one statistic is read, no intermediate is written.
+    return _score_all(spark, sf_dir, materialize=materialize, evidence=False)
 
 
 def q_collection_size(spark, sf_dir):
@@ -257,7 +316,7 @@ def _source_a(spark, sf_dir, **kw):
 def q_idf(spark, sf_dir):
     from cohortfold.functions.bm25 import idf
 
-    parts = _stats_parts(spark, sf_dir)
+    parts = _stats_parts(spark, sf_dir, "write")  # df and N both read it
     frames = [
         p.doc_freq.crossJoin(F.broadcast(p.stats)).select(
             F.lit(p.source_id).alias("source_id"),
@@ -332,9 +391,9 @@ def q_cross_source_merge(spark, sf_dir):
     )
 
 
-def _job(spark, sf_dir, tree=TREE, enabled=None):
+def _job(spark, sf_dir, tree=TREE, enabled=None, evidence=False):
     return run_cohort_job(
-        spark, clinical_sources(spark, sf_dir), tree, JOB_UID, enabled_sources=enabled
+        spark, clinical_sources(spark, sf_dir), tree, JOB_UID, enabled_sources=enabled, evidence=evidence
     )
 
 
@@ -350,12 +409,16 @@ def q_cohort_scores_wide_tree(spark, sf_dir):
     return _job(spark, sf_dir, TREE_WIDE).cohort.select("person_uid", _r6("score"))
 
 
+def q_cohort_scores_widest_tree(spark, sf_dir):
+    return _job(spark, sf_dir, TREE_WIDEST).cohort.select("person_uid", _r6("score"))
+
+
 def q_cohort_output(spark, sf_dir):
     return _job(spark, sf_dir).cohort.select("job_uid", "person_uid", _r6("score"))
 
 
 def q_evidence_output(spark, sf_dir):
-    ev = _job(spark, sf_dir).evidence
+    ev = _job(spark, sf_dir, evidence=True).evidence
     return ev.select("job_uid", "node_uid", "person_uid", "evidence_uid", _r6("score"))
 
 
@@ -369,7 +432,7 @@ def q_cohort_job_all(spark, sf_dir):
 
 
 def q_cohort_job_all_evidence(spark, sf_dir):
-    ev = _job(spark, sf_dir, TREE_MIXED).evidence
+    ev = _job(spark, sf_dir, TREE_MIXED, evidence=True).evidence
     return ev.select("job_uid", "node_uid", "person_uid", "evidence_uid", _r6("score"))
 
 
@@ -435,10 +498,14 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_leaf_scores_tokens": q_bm25_leaf_scores_tokens,
         "bm25_leaf_scores_no_evidence": q_bm25_leaf_scores_no_evidence,
         "bm25_code_leaf_scores": q_bm25_code_leaf_scores,
+        "bm25_code_table_scores": q_bm25_code_table_scores,
+        "scan_sql": q_scan_sql,
+        "csv_round_trip": q_csv_round_trip,
         "custom_scorer": q_custom_scorer,
         "cohort_scores": q_cohort_scores,
         "cohort_scores_mixed": q_cohort_scores_mixed,
         "cohort_scores_wide_tree": q_cohort_scores_wide_tree,
+        "cohort_scores_widest_tree": q_cohort_scores_widest_tree,
         "cohort_output": q_cohort_output,
         "evidence_output": q_evidence_output,
         "cohort_job_filtered": q_cohort_job_filtered,
@@ -498,6 +565,10 @@ COND = {
     CODES_2: "code IN ('2-HIGH', '3-MEDIUM')",
     **{leaf: f"code = '{w}'" for leaf, w in zip(TOKEN_LEAVES, TOKEN_WORDS)},
     **{leaf: f"val > {WIDE_STEP * k}" for k, leaf in enumerate(WIDE_LEAVES)},
+    **{leaf: f"val > {2000 * k}" for k, leaf in enumerate(WIDEST_LEAVES)},
+    CODES_DEAR: "code IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 499900)",
+    CODES_EARLY: "code IN (SELECT o_orderpriority FROM orders WHERE o_orderdate < DATE '1995-01-02')",
+    CODES_LOW: "code IN ('5-LOW', 'no such code')",
 }
 
 
@@ -534,6 +605,15 @@ SELECT {select_cols} FROM w2"""
     )
 
 
+def _at_least_sql(leaves: list[Leaf], k: int) -> str:
+    """One AtLeast node over ``leaves``."""
+    matched = ", ".join(f"('{leaf.key}')" for leaf in leaves)
+    return _with(leaves) + f""", mg AS (SELECT p, c, sum(s) / count(*) AS v FROM s GROUP BY ALL),
+lf(c) AS (VALUES {matched})
+SELECT p AS person_uid, round(CASE WHEN count(lf.c) >= {k} THEN sum(v) ELSE 0 END, 6) AS score
+FROM mg LEFT JOIN lf USING (c) GROUP BY p"""
+
+
 _TREE_SCORE = "CASE WHEN v0 IS NOT NULL AND (v1 IS NOT NULL OR v2 IS NOT NULL) THEN s0 + s1 + s2 ELSE 0 END"
 _MIXED_SCORE = (
     "(CASE WHEN v0 IS NOT NULL AND NOT (v2 IS NOT NULL) THEN s0 ELSE 0 END)"
@@ -637,6 +717,13 @@ FROM s WHERE src = 'a'""",
         "bm25_code_leaf_scores": _with([CODES_1, CODES_2])
         + """SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score
 FROM s WHERE src = 'b'""",
+        "bm25_code_table_scores": _with([CODES_DEAR, CODES_EARLY, CODES_LOW])
+        + """SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score
+FROM s WHERE src = 'b'""",
+        "scan_sql": f"""SELECT CAST(n_orders AS INT) AS n_orders, CAST(o_custkey AS VARCHAR) AS o_custkey, last_key
+FROM ({SCAN_SQL.format(orders="orders")})""",
+        "csv_round_trip": """SELECT CAST(CAST(l_extendedprice AS DECIMAL(15, 2)) AS DOUBLE) AS price,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS flag, l_linenumber, l_orderkey FROM lineitem""",
         "custom_scorer": _with([L1, L2])
         + """SELECT c AS criterion_uid, p AS patient_uid, round(tf * ln(1 + n / df), 6) AS score
 FROM s WHERE src = 'a'""",
@@ -644,14 +731,8 @@ FROM s WHERE src = 'a'""",
         "cohort_scores_mixed": tree(
             mixed, _MIXED_SCORE, f"p AS person_uid, round({_MIXED_SCORE}, 6) AS score"
         ),
-        "cohort_scores_wide_tree": tree(
-            WIDE_LEAVES, None,
-            "p AS person_uid, round(CASE WHEN ("
-            + " + ".join(f"CAST(v{i} IS NOT NULL AS INT)" for i in range(len(WIDE_LEAVES)))
-            + ") >= 10 THEN "
-            + " + ".join(f"s{i}" for i in range(len(WIDE_LEAVES)))
-            + " ELSE 0 END, 6) AS score",
-        ),
+        "cohort_scores_wide_tree": _at_least_sql(WIDE_LEAVES, 10),
+        "cohort_scores_widest_tree": _at_least_sql(WIDEST_LEAVES, 25),
         "cohort_output": tree(
             main, _TREE_SCORE,
             f"'{job}' AS job_uid, p AS person_uid, round({_TREE_SCORE}, 6) AS score",

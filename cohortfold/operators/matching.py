@@ -3,48 +3,56 @@
 All leaves of one entity type are tested in a single projection: each leaf
 contributes its index to an array when its test holds, and the array is
 exploded. A record that matches nothing yields no match row; a NULL test
-counts as no match. Code-list leaves (P5) are answered by one left join
-against a small ``code -> [leaf indexes]`` table, so a record matches each
+counts as no match. Code leaves (P5: lists or tables) are answered by one left
+join against a ``code -> [leaf indexes]`` table, so a record matches each
 criterion at most once however many of its codes are listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortfold.functions.ids import normalize_uid_col
 from cohortfold.operators.records import PATIENT, RECORD
 from cohortfold.plans.criteria import Leaf
 
 CRITERION = "criterion_uid"
 MATCHES = "_matched_criteria"
 
-# Largest lookup table we broadcast without asking Spark. A code list is held
-# on the driver, so its size is known exactly before the plan is built; above
-# this bound the join is left to the planner (shuffle join, AQE skew split).
-MAX_BROADCAST_CODES = 1_000_000
+#: Places that records without a code are spread over in a join on codes.
+NULL_CODE_SPREAD = 1024
 
 
 def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[int, Leaf]]) -> DataFrame:
-    """(code, criteria ARRAY<INT>) for the given code-list leaves (leaf indexes)."""
-    by_code: dict[str, list[int]] = {}
-    for idx, leaf in leaves:
-        for code in leaf.codes or ():
-            hits = by_code.setdefault(code, [])
-            if idx not in hits:
-                hits.append(idx)
-    schema = T.StructType(
-        [
-            T.StructField("code", T.StringType(), False),
-            T.StructField("criteria", T.ArrayType(T.IntegerType(), False), False),
-        ]
-    )
-    rows = [(code, hits) for code, hits in by_code.items()]
-    lookup = spark.createDataFrame(rows, schema)
-    return F.broadcast(lookup) if len(rows) <= MAX_BROADCAST_CODES else lookup
+    """(code, criteria ARRAY<INT>) for the given code leaves (leaf indexes).
+
+    Code lists come from the driver, code tables stay in Spark; either way the
+    join's strategy is Spark's choice by measured size.
+    """
+    schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("_leaf", T.IntegerType(), False)])
+    listed = [(code, i) for i, leaf in leaves for code in leaf.codes or ()]
+    parts = [spark.createDataFrame(listed, schema)] if listed else []
+    for i, leaf in leaves:
+        if leaf.code_table is not None:
+            column = leaf.code_table.columns[0]
+            parts.append(leaf.code_table.select(F.col(f"`{column}`").cast("string").alias("code"), F.lit(i).alias("_leaf")))
+    pairs = reduce(lambda a, b: a.unionByName(b), parts)
+    return pairs.where(F.col("code").isNotNull()).groupBy("code").agg(F.collect_set("_leaf").alias("criteria"))
+
+
+def _join_codes(df: DataFrame, code_column: str, lookup: DataFrame, how: str) -> DataFrame:
+    """Join on the code. A code on a large share of the rows is split by AQE's
+    skew join (the lookup has one row per code); rows without a code, which
+    match nothing, are spread over keys of their own."""
+    code = F.col(f"`{code_column}`").cast("string")
+    nowhere = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(PATIENT, RECORD), F.lit(NULL_CODE_SPREAD)).cast("string"))
+    keyed = df.withColumn("_code_key", F.coalesce(code, nowhere))
+    return keyed.join(lookup.withColumnRenamed("code", "_code_key"), "_code_key", how).drop("_code_key")
 
 
 def decode_criterion(idx: Column, keys: Sequence[str]) -> Column:
@@ -63,8 +71,8 @@ def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
     their ids afterwards: a 4-byte key instead of a 36-character one.
     """
     indexed = list(enumerate(leaves.values()))
-    predicate_leaves = [(i, l) for i, l in indexed if l.codes is None]
-    code_leaves = [(i, l) for i, l in indexed if l.codes is not None]
+    predicate_leaves = [(i, l) for i, l in indexed if not l.by_code]
+    code_leaves = [(i, l) for i, l in indexed if l.by_code]
 
     empty = F.array().cast("array<int>")
     # One small array per leaf, empty when the test fails or is NULL, joined
@@ -80,10 +88,8 @@ def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
         by_column.setdefault(l.code_column, []).append((i, l))
     for j, (code_col, group) in enumerate(by_column.items()):
         hits = f"_code_hits_{j}"
-        lookup = _code_lookup(records.sparkSession, group).select(
-            F.col("code").alias(f"_code_{j}"), F.col("criteria").alias(hits)
-        )
-        df = df.join(lookup, df[code_col] == lookup[f"_code_{j}"], "left").drop(f"_code_{j}")
+        lookup = _code_lookup(records.sparkSession, group).withColumnRenamed("criteria", hits)
+        df = _join_codes(df, code_col, lookup, "left")
         parts.append(F.coalesce(F.col(hits), empty))
 
     if not parts:
@@ -106,23 +112,17 @@ def criteria_matches(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
     return exploded.select(decode_criterion(F.col("_idx"), keys).alias(CRITERION), PATIENT, RECORD)
 
 
-def match_codes(
-    records: DataFrame,
-    codes: DataFrame,
-    code_column: str = "code",
-    max_broadcast_rows: int = MAX_BROADCAST_CODES,
-) -> DataFrame:
-    """P5 against a code table held in Spark: records join codes(criterion_uid, code).
+def match_codes(records: DataFrame, codes: DataFrame, code_column: str = "code") -> DataFrame:
+    """P5 against a code table of many criteria held in Spark: codes(criterion_uid, code).
 
-    The table is deduplicated first. It is broadcast only after its row count
-    is checked (one small action); a bigger table takes a shuffle join.
+    One row per (record, criterion that lists its code). A criterion's table as
+    a leaf of a tree: ``Leaf(..., code_table=...)``.
     """
-    pairs = codes.select(F.upper(CRITERION).alias(CRITERION), F.col("code")).dropDuplicates()
-    if pairs.count() <= max_broadcast_rows:
-        pairs = F.broadcast(pairs)
-    return records.join(pairs, records[code_column] == pairs["code"], "inner").select(
-        CRITERION, PATIENT, RECORD
+    ids = codes.where(F.col("code").isNotNull()).groupBy("code").agg(
+        F.collect_set(normalize_uid_col(CRITERION)).alias("_criteria")
     )
+    found = _join_codes(records, code_column, ids, "inner")
+    return found.select(F.explode("_criteria").alias(CRITERION), PATIENT, RECORD)
 
 
 def tagged_counts(

@@ -16,10 +16,10 @@ results:
     filtered scan. Code-list leaves are not supported here.
 
 The intermediate table (tagged counts or patient rows) is used several times;
-``materialize`` decides how it is shared: ``"write"`` stores it as parquet in
-the checkpoint folder (cuts lineage: a lost executor never forces a rescan of
-the source; the job's default), ``"persist"`` caches it (recomputed from the
-source if lost; the default for a standalone ``score_leaves``), ``None``
+``materialize`` decides how it is shared: ``"write"`` (the default) stores it
+as parquet in the checkpoint folder (cuts lineage: a lost executor never forces
+a rescan of the source), ``"persist"`` caches it (recomputed from the source if
+lost), ``None``
 leaves the plan as is (the source may then be read more than once, because
 filters pushed into each branch keep Spark from reusing the exchange).
 """
@@ -135,29 +135,30 @@ def _score_frame(
     )
 
 
-# A (source, type, criterion, patient) pair is hot when it holds more than this
-# share of all match rows being joined (the job joins all sources at once).
-# Since the shares add up to 1, there are fewer than 1 / HOT_SHARE hot pairs:
-# a proven bound, so the hot-pair table is broadcast.
-HOT_SHARE = 1e-3
+# A (source, type, criterion, patient) pair is hot when it holds more rows than
+# an even share of a shuffle partition. The pairs' rows add up to the total, so
+# there are fewer hot pairs than shuffle partitions: a proven bound, so the
+# hot-pair table is broadcast.
 
 
 EVIDENCE_KEYS = ["source_id", "entity_type", CRITERION, PATIENT]
 
 
 def salt_hot_pairs(
-    evidence: DataFrame, scores: DataFrame, hot_share: float = HOT_SHARE
+    evidence: DataFrame, scores: DataFrame, partitions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``_salt`` to both join sides so that hot pairs spread over tasks.
 
     Hot pairs are found from ``tf`` (already on the score rows). A hot pair's
     evidence rows take a salt from their record id's hash, and its one score
     row is repeated once per salt value; every other pair keeps salt 0. Only
-    hot pairs are repeated, at most about 2 / ``hot_share`` rows in all.
+    hot pairs are repeated, at most about 2 * ``partitions`` rows in all
+    (default: the session's shuffle partitions).
     """
+    partitions = partitions or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = EVIDENCE_KEYS
     total = scores.agg(F.sum("tf").cast("double").alias("_total"))
-    per_split = F.col("_total") * F.lit(hot_share)
+    per_split = F.greatest(F.col("_total") / F.lit(partitions), F.lit(1.0))
     # Key columns are never NULL; saying so keeps both uses of ``hot`` equal,
     # so Spark builds and broadcasts it once.
     not_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -186,7 +187,7 @@ def salt_hot_pairs(
     return salted_evidence, salted_scores
 
 
-def attach_evidence(evidence: DataFrame, scores: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def attach_evidence(evidence: DataFrame, scores: DataFrame, partitions: int | None = None) -> DataFrame:
     """Evidence rows with their (criterion, patient) score.
 
     Both sides come from the same match rows, so every evidence row finds
@@ -194,33 +195,10 @@ def attach_evidence(evidence: DataFrame, scores: DataFrame, hot_share: float = H
     records, which would send its evidence to one join task; such hot pairs
     are split first (``salt_hot_pairs``).
     """
-    salted_evidence, salted_scores = salt_hot_pairs(evidence, scores, hot_share)
+    salted_evidence, salted_scores = salt_hot_pairs(evidence, scores, partitions)
     return salted_evidence.join(salted_scores, [*EVIDENCE_KEYS, "_salt"]).drop("_salt")
 
 
-# Most leaves for which ``plan="auto"`` picks the wide plan. Its per-patient
-# row holds one counter per leaf whether or not the patient matches, so it
-# only pays off for a handful of leaves.
-WIDE_PLAN_MAX_LEAVES = 8
-
-
-def choose_plan(leaves: Mapping[str, Leaf], evidence: bool) -> str:
-    """``wide`` for scores only over a few predicate leaves, else ``long``.
-
-    With evidence the long plan is the one-scan plan. Without it, the wide
-    plan's per-patient table stays partitioned by patient, so the document
-    length join needs no shuffle; it measured 1.4 s against 2.9 s for two
-    leaves on sf0.1 orders.
-    """
-    if (
-        not evidence
-        and 0 < len(leaves) <= WIDE_PLAN_MAX_LEAVES
-        and all(leaf.codes is None for leaf in leaves.values())
-    ):
-        return "wide"
-    return "long"
-
-
 def leaf_base(
     records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long", evidence: bool = True
 ) -> DataFrame:
@@ -292,20 +270,18 @@ def score_leaves(
     source_id: str = "",
     entity_type: str = "",
     scorer: Scorer | None = None,
-    plan: str = "auto",
-    materialize: str | None = "persist",
+    plan: str = "long",
+    materialize: str | None = "write",
     evidence: bool = True,
 ) -> LeafScores:
     """Score every leaf of one entity type against one source's records.
 
-    The intermediate table is cached by default (call ``release()`` after
-    use); ``run_cohort_job`` writes it to the checkpoint folder instead.
-    ``evidence=False`` keeps no record ids: the shuffle then carries one row
-    per matched (criterion, patient) instead of one per matching record, and
-    ``.evidence`` is unavailable. ``plan="auto"`` then uses the wide plan for
-    up to ``WIDE_PLAN_MAX_LEAVES`` predicate leaves (see ``choose_plan``).
+    The intermediate table is written to the shared folder by default (call
+    ``release()`` after use). ``evidence=False`` keeps no record ids: the
+    shuffle then carries one row per matched (criterion, patient) instead of
+    one per matching record, and ``.evidence`` is unavailable.
+    ``plan="wide"`` is the caller's choice for a handful of predicate leaves.
     """
-    plan = choose_plan(leaves, evidence) if plan == "auto" else plan
     release: list[Callable[[], None]] = []
     base = share(leaf_base(records, leaves, plan, evidence), materialize, f"{plan}_base", release)
     return score_from_base(
@@ -316,7 +292,7 @@ def score_leaves(
 
 def _wide_patient_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
     """(patient_uid, doc_len, _tf0 .. _tfK-1): one aggregate row per patient."""
-    if any(l.codes is not None for l in leaves.values()):
+    if any(l.by_code for l in leaves.values()):
         raise ValueError("the wide plan takes predicate leaves only")
     counts = [
         F.count_if(F.coalesce(leaf.condition(), F.lit(False))).alias(f"_tf{i}")

@@ -17,8 +17,9 @@ Job and node ids are upper-cased in both outputs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -75,7 +76,7 @@ def cohort_output(cohort: DataFrame, job_uid: str) -> DataFrame:
     )
 
 
-def evidence_output(evidence: DataFrame, job_uid: str, include_source: bool = False) -> DataFrame:
+def evidence_output(evidence: DataFrame, job_uid: str) -> DataFrame:
     """Evidence table rows: job_uid, node_uid, person_uid, evidence_uid, score.
 
     ``evidence`` holds per-source rows before the merge, so each row carries
@@ -88,8 +89,6 @@ def evidence_output(evidence: DataFrame, job_uid: str, include_source: bool = Fa
         F.col(RECORD).alias("evidence_uid"),
         F.col("score"),
     ]
-    if include_source:
-        cols.insert(1, F.col("source_id"))
     return evidence.select(*cols)
 
 
@@ -98,23 +97,28 @@ class CohortResult:
     job_uid: str
     leaf_scores: DataFrame  # union of per-source leaf scores
     cohort: DataFrame  # job_uid, person_uid, score
-    evidence: DataFrame  # job_uid, node_uid, person_uid, evidence_uid, score
+    evidence: DataFrame | None  # job_uid, node_uid, person_uid, evidence_uid, score
     parts: list[LeafScores] = field(default_factory=list)
 
-    def write(self, connection, cohort_table: str = "cohort", evidence_table: str = "evidence") -> None:
+    def write(
+        self, connection, cohort_table: str = "cohort", evidence_table: str = "evidence", only: Iterable[str] | None = None
+    ) -> None:
         """Write both tables through a connection (see ``cohortfold.sources``).
 
         The two writes only read the shared intermediates, so they are
         submitted together: the small cohort write does not wait behind the
-        evidence write.
+        evidence write. An append of two tables is not one transaction: if one
+        write fails, the error names the table that was written, so that a
+        retry can leave it out (``only``).
         """
+        tables = {cohort_table: self.cohort, evidence_table: self.evidence}
+        wanted = {t: df for t, df in tables.items() if df is not None and (only is None or t in only)}
         with ThreadPoolExecutor(max_workers=2) as pool:
-            jobs = [
-                pool.submit(connection.write, cohort_table, self.cohort),
-                pool.submit(connection.write, evidence_table, self.evidence),
-            ]
-            for job in jobs:
-                job.result()
+            jobs = {t: pool.submit(connection.write, t, df) for t, df in wanted.items()}
+        failed = {t: j.exception() for t, j in jobs.items() if j.exception() is not None}
+        if failed:
+            done = sorted(set(jobs) - set(failed))
+            raise RuntimeError(f"not written: {sorted(failed)}; written: {done}") from next(iter(failed.values()))
 
     def release(self) -> None:
         for part in self.parts:
@@ -132,8 +136,15 @@ def run_cohort_job(
     plan: str = "long",
     leaf_value: str = "mean",
     materialize: str | None = "write",
+    evidence: bool = True,
+    max_parallel_sources: int = 8,
 ) -> CohortResult:
-    """Score ``tree`` over ``sources`` (X5; ``enabled_sources=None`` is X6)."""
+    """Score ``tree`` over ``sources`` (X5; ``enabled_sources=None`` is X6).
+
+    ``evidence=False`` makes the cohort only: no record id is shuffled or kept.
+    Up to ``max_parallel_sources`` sources are scored at a time; when one fails,
+    the jobs of the others are cancelled.
+    """
     chosen = select_sources(sources, enabled_sources)
     specs = [
         (src, entity_type, leaves)
@@ -148,10 +159,10 @@ def run_cohort_job(
         src, entity_type, leaves = spec
         release: list = []
         try:
-            base = share(leaf_base(src.records, leaves, plan), materialize, f"{plan}_base", release)
+            base = share(leaf_base(src.records, leaves, plan, evidence), materialize, f"{plan}_base", release)
             part = score_from_base(
                 base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
-                scorer=scorer, plan=plan, release=release,
+                scorer=scorer, plan=plan, release=release, evidence=evidence,
             )
             if materialize is not None:
                 part = with_shared_scores(part, share(part.scores, materialize, "scores", release))
@@ -164,27 +175,41 @@ def run_cohort_job(
     if materialize == "write" and len(specs) > 1:
         # Sources are independent: run their pipelines side by side, so a
         # small source never waits behind the largest one.
-        with ThreadPoolExecutor(max_workers=min(len(specs), 8)) as pool:
-            futures = [pool.submit(build, spec) for spec in specs]
-        failed = [f for f in futures if f.exception() is not None]
-        if failed:
+        tag = f"cohortfold-{uuid.uuid4().hex}"
+
+        def tagged(spec: tuple[RecordSource, str, dict]) -> LeafScores:
+            spark.addTag(tag)
+            try:
+                return build(spec)
+            finally:
+                spark.removeTag(tag)
+
+        with ThreadPoolExecutor(max_workers=min(len(specs), max_parallel_sources)) as pool:
+            futures = [pool.submit(tagged, spec) for spec in specs]
+            first = next((f for f in as_completed(futures) if f.exception() is not None), None)
+            if first is not None:
+                for f in futures:
+                    f.cancel()
+                spark.interruptTag(tag)
+        if first is not None:
             # Drop what the other sources wrote before reporting the error.
             for f in futures:
-                if f.exception() is None:
+                if not f.cancelled() and f.exception() is None:
                     f.result().release()
-            raise failed[0].exception()
+            raise first.exception()
         parts: list[LeafScores] = [f.result() for f in futures]
     else:
         parts = [build(spec) for spec in specs]
     leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
     # One evidence join for all sources (the keys carry source and type): one
     # hot-pair table and one shuffle instead of one per source.
-    if parts:
+    evidence_long = None
+    if parts and evidence:
         evidence_long = attach_evidence(
             reduce(lambda a, b: a.unionByName(b), [p.evidence_rows for p in parts]), leaf_scores
         )
-    else:
+    elif evidence:
         evidence_long = spark.createDataFrame([], EVIDENCE_LONG_SCHEMA)
     cohort = cohort_output(cohort_scores(leaf_scores, tree, leaf_value), job_uid)
-    evidence = evidence_output(evidence_long, job_uid)
-    return CohortResult(normalize_uid(job_uid), leaf_scores, cohort, evidence, parts)
+    found = evidence_output(evidence_long, job_uid) if evidence else None
+    return CohortResult(normalize_uid(job_uid), leaf_scores, cohort, found, parts)

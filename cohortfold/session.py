@@ -80,8 +80,12 @@ def write_intermediate(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Recursively delete ``path`` on whatever Hadoop filesystem holds it."""
+    """Recursively delete ``path`` on whatever Hadoop filesystem holds it, and
+    its parent if that was made for it (see ``write_intermediate``)."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(hpath, True)
+    parent = hpath.getParent()
+    if parent.getParent().getName() == "cohortfold" and fs.exists(parent) and not fs.listStatus(parent):
+        fs.delete(parent, False)

@@ -148,13 +148,13 @@ def test_hot_patient_evidence_is_salted(spark):
     got = ev.groupBy("patient_uid").agg(F.count("*").alias("n"), F.countDistinct("score").alias("s")).collect()
     counts = {r.patient_uid: (r.n, r.s) for r in got}
     assert counts["hot"] == (3000, 1) and len(counts) == 201
-    # The hot pair is split over many salts (3000 / (3200 * 0.01) -> 94);
+    # The hot pair is split over many salts (3000 / (3200 / 100) -> 94);
     # the others keep salt 0, and only the hot score row is repeated.
-    ev_s, sc_s = salt_hot_pairs(part.evidence_rows, part.scores, hot_share=0.01)
+    ev_s, sc_s = salt_hot_pairs(part.evidence_rows, part.scores, partitions=100)
     salts = {r.patient_uid: r.n for r in ev_s.groupBy("patient_uid").agg(F.countDistinct("_salt").alias("n")).collect()}
     assert salts["hot"] == 94 and max(v for k, v in salts.items() if k != "hot") == 1
     assert sc_s.count() == 200 + 94
-    assert attach_evidence(part.evidence_rows, part.scores, hot_share=0.01).count() == 3200
+    assert attach_evidence(part.evidence_rows, part.scores, partitions=100).count() == 3200
     part.release()
 
 

@@ -1,10 +1,4 @@
-"""Registered queries against their DuckDB oracles at sf0.01.
-
-By default a representative subset runs; ORACLE_ALL=1 runs every key
-(the same check as tools/oracle_check.py).
-"""
-
-import os
+"""Every registered query against its DuckDB oracle at sf0.01 (the same check as tools/oracle_check.py)."""
 
 import duckdb
 import pytest
@@ -13,15 +7,7 @@ import __spark_entry__ as entry
 from tools.oracle_check import TABLES, compare
 
 SF = "/root/testdata/sf0.01"
-SUBSET = [
-    "bm25_leaf_scores",
-    "bm25_leaf_scores_wide",
-    "criteria_match_codes",
-    "cohort_scores_mixed",
-    "evidence_output",
-    "cohort_job_filtered",
-]
-KEYS = list(entry._core_queries()) if os.environ.get("ORACLE_ALL") else SUBSET
+KEYS = list(entry._core_queries())
 
 
 @pytest.fixture(scope="module")

@@ -164,15 +164,3 @@ def test_scores_without_evidence_equal(spark, k):
     assert sorted(lean.scores.select(cols).collect()) == sorted(full)
     with pytest.raises(ValueError, match="evidence=False"):
         lean.evidence
-
-
-def test_auto_plan_choice():
-    from cohortfold.operators.scoring import choose_plan
-
-    few, _ = leaves_and_tests(3)
-    many, _ = leaves_and_tests(9)
-    codes = {"C": Leaf("C", "x", codes=["a"])}
-    assert choose_plan(few, evidence=True) == "long"
-    assert choose_plan(few, evidence=False) == "wide"
-    assert choose_plan(many, evidence=False) == "long"
-    assert choose_plan(codes, evidence=False) == "long"
