@@ -189,4 +189,56 @@ UNION ALL
 SELECT doc_id, domain, lang, source, full_epochs, least(tokens, rest - before) FROM ordered WHERE before < rest"""
 
 
-ORACLES = {"op4_url_filters": _op4_sql(), "op9_mixing": _op9_sql()}
+def _op10_sql(documents: str = "documents") -> str:
+    """The operator's rule, with windows compared as text and runs found as islands."""
+    space, punctuation = r"[\x20\x09-\x0D]", r"[^\p{L}\p{N}<>\x20\x09-\x0D]+"
+    clean = "translate(coalesce(text, ''), '<>' || chr(1), '   ')"
+    template = f"regexp_replace({clean}, '([\\p{{Ll}},;:]{space}+)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    template = f"lower(regexp_replace({template}, chr(1) || '[^\\x20\\x09-\\x0D]+', '<name>', 'g'))"
+    edge = r"[^\p{L}\p{N}\x20\x09-\x0D]*"
+    for _ in range(2):
+        template = f"regexp_replace({template}, '(^|{space}){edge}[0-9][0-9.,:/]*{edge}($|{space})', '\\1<num>\\2', 'g')"
+    units = "|".join(templates.UNITS)
+    template = f"regexp_replace({template}, '(<num>{space}+)({units})([^\\p{{L}}\\p{{N}}<>\\x20\\x09-\\x0D]*)($|{space})', '\\1<unit>\\4', 'g')"
+    template = f"regexp_replace({template}, '{punctuation}', '', 'g')"
+    values = f"regexp_replace(lower({clean}), '{punctuation}', '', 'g')"
+
+    def words(name, key, table):
+        return f"""
+{name}_p AS (
+  SELECT {key}, list_filter(list_zip(string_split_regex({template}, '{space}'), string_split_regex({values}, '{space}')), lambda q: q[1] <> '') AS p
+  FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)),
+{name} AS (SELECT {key}, len(p) AS size, unnest(range(len(p))) AS pos, unnest(p)[1] AS t, unnest(p)[2] AS v, p FROM {name}_p)"""
+
+    def windows(name, key, step):
+        slice_ = f"list_transform(p[pos + 1:pos + {templates.WINDOW}], lambda x: x[1])"
+        return f"""
+{name}_w AS (
+  SELECT {key}, pos, {slice_} AS w FROM {name}
+  WHERE pos % {step} = 0 AND pos + {templates.WINDOW} <= size
+    AND len(list_filter({slice_}, lambda x: NOT starts_with(x, '<'))) >= {templates.MIN_LITERAL})"""
+
+    least = templates.WINDOW + templates.STRIDE - 1
+    return f"""
+WITH {words('d', 'doc_id', documents)}, {words('b0', 'item_id', 'benchmark')},
+b AS (SELECT * FROM b0 WHERE size > {least}), {windows('d', 'doc_id', templates.STRIDE)}, {windows('b', 'item_id', 1)},
+hits AS (SELECT DISTINCT doc_id, item_id, d_w.pos - b_w.pos AS shift FROM d_w JOIN b_w USING (w)),
+cells AS (
+  SELECT h.doc_id, h.item_id, shift, b.size, b.pos, b.t, b.v AS iv, d.v AS dv, b.t = d.t AS same,
+    row_number() OVER (PARTITION BY h.doc_id, h.item_id, shift ORDER BY b.pos)
+      - row_number() OVER (PARTITION BY h.doc_id, h.item_id, shift, b.t = d.t ORDER BY b.pos) AS island
+  FROM hits h JOIN b USING (item_id) JOIN d ON d.doc_id = h.doc_id AND d.pos = b.pos + shift),
+runs AS (
+  SELECT doc_id, item_id, shift, min(pos) AS begin_, count(*) AS run, any_value(size) AS size,
+    count(*) FILTER (starts_with(t, '<')) AS slots,
+    count(DISTINCT (t, iv, dv)) FILTER (starts_with(t, '<')) AS triples, count(DISTINCT (t, iv)) FILTER (starts_with(t, '<')) AS pairs,
+    coalesce(bool_and(iv = dv) FILTER (starts_with(t, '<')), true) AS same_values
+  FROM cells WHERE same GROUP BY doc_id, item_id, shift, island),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY run DESC, begin_) = 1)
+SELECT doc_id, item_id, max({{'run': run, 'slots': slots, 'same': same_values}}).run AS run_tokens,
+  max({{'run': run, 'slots': slots, 'same': same_values}}).slots AS n_slots, max({{'run': run, 'slots': slots, 'same': same_values}}).same AS same_values
+FROM longest WHERE run >= greatest({least}, least({templates.MIN_RUN}, size - 1)) AND triples = pairs
+GROUP BY doc_id, item_id"""
+
+
+ORACLES = {"op4_url_filters": _op4_sql(), "op9_mixing": _op9_sql(), "op10_decontamination": _op10_sql()}

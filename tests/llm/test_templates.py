@@ -1,6 +1,7 @@
 import brute
+import duckdb
 
-from cohortfold.llm import templates
+from cohortfold.llm import queries, templates
 
 SF = "/root/testdata/sf0.001"
 ITEM = "A farmer has 12 sheep and sells 5 of them to his neighbour Anna for 30 dollars each; how many sheep does the farmer keep after 12 days?"
@@ -20,6 +21,15 @@ def test_query_finds_every_copied_passage(spark):
     assert found == set(want)
 
 
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{table}.parquet')")
+    want = con.sql(queries.ORACLES["op10_decontamination"])
+    rows = queries.op10_decontamination(spark, "/root/testdata/sf0.01").select(want.columns).collect()
+    assert rows and sorted(map(tuple, rows)) == sorted(want.fetchall())
+
+
 def test_reparameterised_questions(spark):
     other = ITEM.replace("12", "40").replace("5 ", "7 ").replace("Anna", "Boris").replace("30 dollars", "25 euros")
     mixed = ITEM.replace("12 sheep", "40 sheep")  # 12 stands for 40 once and for 12 once
