@@ -32,8 +32,8 @@ from cohortfold.llm.shared import map_arrow, parallelism
 from cohortfold.llm.words import slices
 
 END_ID = 0
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 700_000
+#: Distinct words, and pieces of them, whose ids a Python worker remembers.
+REMEMBERED = 800_000
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 _FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -46,9 +46,8 @@ _FILE_OPTIONS = {
 }
 # Fixed value: how byte-level BPE splits a text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-#: The letters that stand for bytes: printable Latin-1 for itself, the rest from 256 on.
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: A word of letters with one of these behind it is two pieces.
+_STOPS = frozenset(".,;:!?")
 #: White space, a space, and white space or the end: there a word's ids depend on its neighbours.
 _JOINED_SPACE = re.compile(r"\s (?:\s|$)")
 
@@ -66,6 +65,24 @@ class _Codes(dict):
         return code
 
 
+class _Ids:
+    """Ids of numbered strings, one after another."""
+
+    def __init__(self):
+        self.size, self.flat, self.at = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, size: np.ndarray, flat: np.ndarray) -> None:
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        self.at = np.cumsum(self.size) - self.size
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes, and all ids in a row, of strings by number."""
+        size = self.size[numbers]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return size, self.flat[np.repeat(self.at[numbers] - upto + size, size) + np.arange(total)]
+
+
 class Encoder:
     """Ids of texts, as the tokenizer gives them, with each word encoded once.
 
@@ -77,55 +94,50 @@ class Encoder:
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes = _Codes()
-        self.pieces: dict[str, list[int]] = {}
-        self.size, self.flat, self.at = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        return ids
+        #: The same merges for pieces that are split already.
+        self._merger = Tokenizer(self.tokenizer.model)
+        self._merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.codes, self.word_ids = _Codes(), _Ids()
+        self.pieces, self.piece_ids = _Codes(), _Ids()
 
     def _learn(self) -> None:
-        known, found = self.pieces, []
-        for word in self.codes.new:
-            pieces = _PIECES(" " + word)
-            ids = known.get(pieces[0]) or self._piece(pieces[0])
-            for p in pieces[1:]:
-                ids = ids + (known.get(p) or self._piece(p))
-            found.append(ids)
+        """Encode the words, and of them the pieces, that are new."""
+        split = [(" " + w,) if w.isalpha() else (" " + w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else _PIECES(" " + w) for w in self.codes.new]
         self.codes.new.clear()
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        self.at = np.cumsum(self.size) - self.size
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        if self.pieces.new:
+            found = self._merger.encode(self.pieces.new, is_pretokenized=True, add_special_tokens=False)
+            size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(self.pieces.new))
+            self.piece_ids.add(size, np.array(found.ids, np.int32))
+            self.pieces.new.clear()
+        size, flat = self.piece_ids.of(numbers)
+        self.word_ids.add(np.add.reduceat(size, np.cumsum(count) - count), flat)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > REMEMBERED:
-            self._forget()
+            self.codes, self.word_ids = _Codes(), _Ids()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.piece_ids = _Codes(), _Ids()
         split = [None if _JOINED_SPACE.search(t) else t.split(" ") for t in texts]
-        of = self.codes.__getitem__
-        codes = [None if s is None else np.fromiter(map(of, s[1:]), np.int64, len(s) - 1) for s in split]
+        number = self.codes.__getitem__
+        codes = [None if s is None else np.fromiter(map(number, s[1:]), np.int64, len(s) - 1) for s in split]
         if self.codes.new:
             self._learn()
         out = []
         for text, words, c in zip(texts, split, codes):
             if words is None:
                 out.append(self._whole(text))
-                continue
-            size = self.size[c]
-            total = int(size.sum())
-            rest = self.flat[np.repeat(self.at[c] - np.cumsum(size) + size, size) + np.arange(total)]
-            out.append(np.concatenate([self._whole(words[0]), rest]) if words[0] else rest)
+            else:
+                rest = self.word_ids.of(c)[1]
+                out.append(np.concatenate([self._whole(words[0]), rest]) if words[0] else rest)
         return out
 
 
