@@ -9,9 +9,10 @@
 3. A pair's signatures are compared a batch of hashes at a time; once the
    posterior probability that the pair reaches the threshold falls below
    ``MISS``, the pair is dropped. Survivors are decided on their full sets.
-4. Links make components. In buckets that still hold several components, pairs
-   of different components are compared too, unless what is known of their
-   overlap with the bucket's centre shows that they cannot be linked.
+4. Links make components. Where buckets connect documents of several components,
+   pairs of different components are compared too, but only those that share
+   one of the rare shingles which their cluster's centre lacks (see
+   ``_open_pairs``): texts whose edits differ can be linked only through others.
 5. Components are made again from all links.
 
 A true link is missed only if no band of the pair agrees (below ``MISS`` by the
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortfold.llm.components import components
@@ -117,19 +118,18 @@ def _setted(size: int):
 
 
 @lru_cache(maxsize=4)
-def _bounds(percent: int) -> list[tuple[int, np.ndarray]]:
-    """For each batch end n: (fewest equal hashes to go on, similarity that is
-    exceeded with probability ``MISS`` only, by number of equal hashes)."""
+def _fewest(percent: int) -> list[int]:
+    """For each batch end, the fewest equal hashes with which a pair goes on:
+    with fewer, the posterior probability that its similarity reaches the
+    threshold (from a uniform prior) is below ``MISS``."""
     grid = np.linspace(0, 1, 4001)[1:-1]
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         m = np.arange(n + 1)[:, None]
         log = m * np.log(grid) + (n - m) * np.log1p(-grid)
         density = np.exp(log - log.max(axis=1, keepdims=True))
-        above = np.cumsum(density[:, ::-1], axis=1)[:, ::-1] / density.sum(axis=1, keepdims=True)
-        reach = above[:, np.searchsorted(grid, percent / 100)]
-        upper = grid[np.minimum((above > MISS).sum(axis=1), len(grid) - 1)]
-        out.append((int(np.argmax(reach > MISS)), upper))
+        reach = density[:, grid >= percent / 100].sum(axis=1) / density.sum(axis=1)
+        out.append(int(np.argmax(reach > MISS)))
     return out
 
 
@@ -141,31 +141,98 @@ def _verified(percent: int):
             matrix = lambda c: np.stack([np.frombuffer(b.as_buffer(), np.uint32) for b in batch.column(c)])
             equal = np.cumsum(matrix("signature_a") == matrix("signature_b"), axis=1, dtype=np.int32)
             na, nb = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
-            low, high = np.zeros(len(na), np.int64), np.minimum(na, nb)
             open_ = np.ones(len(na), bool)
-            for i, (fewest, upper) in enumerate(_bounds(percent)):
-                m = equal[:, (i + 1) * BATCH - 1]
-                dropped = open_ & (m < fewest)
-                u = upper[m[dropped]]
-                high[dropped] = np.minimum(high[dropped], np.ceil(u / (1 + u) * (na + nb)[dropped]).astype(np.int64))
-                open_ &= ~dropped
+            for i, fewest in enumerate(_fewest(percent)):
+                open_ &= equal[:, (i + 1) * BATCH - 1] >= fewest
             a, b = batch.column("shingles_a"), batch.column("shingles_b")
+            linked = np.zeros(len(na), bool)
             for i in np.flatnonzero(open_).tolist():
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                low[i] = high[i] = int((y[at] == x).sum())
-            linked = open_ & (100 * low >= percent * (na + nb - low))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked), pa.array(low), pa.array(high)], names=["a", "b", "linked", "low", "high"])
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
     return verify
 
 
-def _verify(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with linked and bounds low, high of the intersection's size."""
+def _sides(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the size, signature and shingles of both."""
     side = lambda k: candidates.select(*(F.col(c).alias(f"{c}_{k}") for c in ("n", "signature", "shingles")), F.col("doc_id").alias(k))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _verify(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with linked."""
     id_type = dict(pairs.dtypes)["a"]
-    return map_arrow(both, _verified(percent), f"a {id_type}, b {id_type}, linked boolean, low long, high long")
+    return map_arrow(_sides(pairs, candidates), _verified(percent), f"a {id_type}, b {id_type}, linked boolean")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a document has in common with its centre, and its others."""
+    for batch in batches:
+        common, private = [], []
+        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            inside = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            common.append(int(inside.sum()))
+            private.append(x[~inside].view(np.int64))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(private, pa.list_(pa.int64()))],
+                              names=["doc_id", "centre", "common", "private"])
+
+
+def _mixed_clusters(scratch: Scratch, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, centre, label, of_centre) of the documents that buckets connect
+    (``edges``: a, b) where they are of several components so far. The centre
+    of such a cluster is the centre of most of its documents' buckets."""
+    cluster = components(scratch, edges, "clusters")
+    label = F.coalesce("label", "node").alias("label")
+    named = labels.select("node", F.col("label"))
+    member = scratch.write(cluster.withColumnRenamed("label", "cluster").join(named, "node", "left").select("node", "cluster", label), "clustered")
+    mixed = member.groupBy("cluster").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("cluster")
+    member = member.join(mixed, "cluster")
+    degree = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    centre = member.join(degree, "node").groupBy("cluster").agg(F.max(F.struct("degree", "node", "label")).alias("c"))
+    centre = centre.select("cluster", F.col("c.node").alias("centre"), F.col("c.label").alias("of_centre"))
+    return member.join(centre, "cluster").select(F.col("node").alias("doc_id"), "centre", "label", "of_centre")
+
+
+def _open_pairs(scratch: Scratch, member: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``member`` (doc_id, centre, label, of_centre) with one
+    centre and different labels that may be linked.
+
+    The shingles that a pair shares are some that the centre has too, at most
+    the smaller of what each has in common with it, and others. Where the first
+    alone could do, both have nearly all their shingles in the centre. Else
+    they share one of their others, and by the prefix principle one of the
+    first few of each, the rarest in the cluster going first; so they meet in
+    a join on (centre, shingle) that few rows enter. One of the two is not in
+    the centre's component, so a cluster without outsiders gives no pair.
+    """
+    id_type = dict(member.dtypes)["centre"]
+    both = _sides(member.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")), candidates)
+    apart = map_arrow(both, _apart, f"doc_id {id_type}, centre {id_type}, common long, private array<long>")
+    known = member.join(apart, ["doc_id", "centre"]).withColumn("outside", F.col("label") != F.col("of_centre")).drop("of_centre")
+    known = scratch.write(known.withColumn("n", F.col("common") + F.size("private")), "known")
+    # A linked document shares percent of this one's shingles at least, and so many of those that the centre lacks.
+    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100).cast("long") - F.col("common"))
+    row = known.select("doc_id", "centre", "label", "common", "n", "outside", need.alias("need"), F.explode("private").alias("shingle"))
+    rare = row.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("holders"))
+    order = Window.partitionBy("doc_id", "centre").orderBy("holders", "shingle")
+    row = row.join(rare, ["centre", "shingle"]).withColumn("place", F.row_number().over(order))
+    first = row.filter((F.col("place") <= F.col("n") - F.col("common") - F.col("need") + 1) & (F.col("holders") > 1))
+    first = scratch.write(first.drop("need", "holders", "place"), "first_shingles")
+    sizes = F.col("x.n") + F.col("y.n")
+    reach = lambda shared: (100 + percent) * shared >= percent * sizes
+    same = F.col("x.centre") == F.col("y.centre")
+    alike = (F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    inner = F.least("x.common", "y.common")
+    most = inner + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
+    pair = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
+    inside = known.drop("private").filter(f"100 * common >= {percent} * n")
+    small = inside.filter("outside").alias("x").join(inside.alias("y"), same & alike & reach(inner)).select(*pair)
+    meet = same & (F.col("x.shingle") == F.col("y.shingle"))
+    others = first.filter("outside").alias("x").join(first.alias("y"), meet & alike & reach(most)).select(*pair)
+    return small.unionByName(others).distinct()
 
 
 def find_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,18 +276,9 @@ def find_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     links = verified.filter("linked").select("a", "b")
     labels = scratch.write(components(scratch, links, "first"), "labels")
 
-    known = verified.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("centre")).agg(F.max("low").alias("low"), F.max("high").alias("high"))
-    member = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = member.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band")
-    member = member.join(mixed, "band").filter(F.col("doc_id") != F.col("centre")).join(known, ["doc_id", "centre"], "left")
-    member = member.withColumn("low", F.coalesce("low", F.lit(0))).withColumn("high", F.coalesce("high", F.least("n", "n_centre")))
-    member = scratch.write(member.select("band", "doc_id", "n", "label", "low", "high"), "members")
-    x, y = member.alias("x"), member.alias("y")
-    overlap = F.least("x.high", "y.high") + F.least(F.col("x.n") - F.col("x.low"), F.col("y.n") - F.col("y.low"))
-    near = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
-    open_ = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n")) & near
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & open_).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    rest = scratch.write(rest, "rest")
+    edges = shared.filter(F.col("doc_id") != F.col("centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    member = scratch.write(_mixed_clusters(scratch, scratch.write(edges, "edges"), labels), "members")
+    rest = scratch.write(_open_pairs(scratch, member, candidates, percent), "rest")
     if not rest.isEmpty():
         more = scratch.write(_verify(rest, candidates, percent).filter("linked").select("a", "b"), "more")
         if not more.isEmpty():

@@ -1,3 +1,5 @@
+import math
+
 import brute
 import pytest
 
@@ -35,6 +37,20 @@ def test_many_near_copies_and_strangers_of_one_bucket(spark):
     assert groups(spark, docs) == brute.near_dup(docs, 3, 85)
 
 
+def test_links_between_outsiders_only(spark):
+    # Copies of one text with many edits each: outsiders of the centre's component, some of them linked through edits they share.
+    base = [f"b{i}" for i in range(100)]
+
+    def edited(k, places, word):
+        return " ".join(f"{word}{i}" if i in places else w for i, w in enumerate(base))
+
+    docs = [(k, edited(k, {k % 50}, f"e{k}x")) for k in range(40)]
+    docs += [(100 + k, edited(k, set(range(2 * (k % 5), 100, 12)), f"s{k % 5}x") + f" t{k}") for k in range(25)]
+    docs += [(200 + k, " ".join(base[: 84 + k % 4]) + f" u{k}") for k in range(8)]
+    want = brute.near_dup(docs, 3, 85)
+    assert len({g for _, g in want.values()}) > 3 and groups(spark, docs) == want
+
+
 def test_edges(spark):
     long = " ".join(f"word{i % 5000}" for i in range(200_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "two words"), (7, long), (8, long), (8, long), (9, "Two  WORDS"), (10, "É é"), (11, "é É")]
@@ -56,10 +72,11 @@ def test_bayes_bounds_never_drop_pairs_at_the_threshold():
     for percent in (80, 85):
         count, rows = near_dup.bands(percent)
         assert count * rows <= near_dup.HASHES and (1 - (percent / 100) ** rows) ** count <= near_dup.MISS
-        for fewest, upper in near_dup._bounds(percent):
-            assert fewest >= 0 and (upper[:-1] <= upper[1:]).all()
-            if fewest:
-                assert upper[fewest - 1] <= percent / 100 + 1e-3
+        for k, fewest in enumerate(near_dup._fewest(percent)):
+            n = near_dup.BATCH * (k + 1)
+            # A pair at the threshold has fewer equal hashes with a small probability only.
+            below = sum(math.comb(n, m) * (percent / 100) ** m * (1 - percent / 100) ** (n - m) for m in range(fewest))
+            assert below < 20 * near_dup.MISS
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 102), (5, 5)], []])
