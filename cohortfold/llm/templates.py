@@ -7,9 +7,9 @@ and stripped of punctuation. Every document's template is cut into windows of
 place: a shared run of ``WINDOW + STRIDE - 1`` words or more holds one of the
 document's windows whatever its offset, and a document emits a quarter of its
 windows only. Windows are hash-joined; for each document, item and alignment
-that they point at, the shared run is measured on the words themselves, and the
-slots in it are checked: one value of the item must always stand for one value
-of the document.
+that they point at, all shared runs are measured on the words themselves, and
+cut where their slots disagree: one value of the item must always stand for one
+value of the document.
 """
 
 from __future__ import annotations
@@ -74,6 +74,37 @@ def _windows(words: str, step: int) -> Column:
     return F.transform(told, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(F.array_join(s["w"], " ")).alias("hash")))
 
 
+def _judged(aligned: DataFrame) -> DataFrame:
+    """The best consistent stretch of each pair, over all runs of all its alignments.
+
+    ``part`` holds an alignment's words (t, iv, dv, same). Each run of ``need``
+    words is cut where a value of the item stands for another than it did at
+    its last place: no stretch holds both places.
+    """
+    runs = F.expr("""
+        filter(zip_with(filter(sequence(0, size(part) - 1), j -> part[j].same AND (j = 0 OR NOT part[greatest(j - 1, 0)].same)),
+                        filter(sequence(0, size(part) - 1), j -> part[j].same AND (j = size(part) - 1 OR NOT part[least(j + 1, size(part) - 1)].same)),
+                        (a, b) -> struct(a + 1 AS a, b - a + 1 AS n)), r -> r.n >= need)""")
+    runs = aligned.filter(F.size("part") > 0).select("doc_id", "item_id", "need", "part", F.explode(runs).alias("r"))
+    runs = runs.select("doc_id", "item_id", "need", F.expr("slice(part, r.a, r.n)").alias("run"))
+    slots = F.expr("""array_sort(filter(transform(run, (p, i) -> struct(p.t AS t, p.iv AS iv, i AS i, p.dv AS dv)), x -> startswith(x.t, '<')))""")
+    runs = runs.withColumn("slots", slots)
+    cuts = F.expr("""
+        array_append(array_sort(transform(filter(sequence(1, greatest(size(slots) - 1, 1)),
+            k -> k < size(slots) AND slots[k].t = slots[k - 1].t AND slots[k].iv = slots[k - 1].iv AND slots[k].dv <> slots[k - 1].dv),
+            k -> struct(slots[k].i AS end, slots[k - 1].i + 1 AS begin))), struct(size(run) AS end, 0 AS begin))""")
+    runs = runs.withColumn("cuts", cuts)
+    stretches = F.expr("""
+        filter(transform(cuts, (c, k) -> struct(coalesce(array_max(transform(slice(cuts, 1, k), x -> x.begin)), 0) AS a, c.end AS b)),
+               s -> s.b - s.a >= need)""")
+    found = runs.select("doc_id", "item_id", "run", F.explode(stretches).alias("s"))
+    found = found.select("doc_id", "item_id", F.expr("slice(run, s.a + 1, s.b - s.a)").alias("s"))
+    slots = F.filter("s", lambda p: p["t"].startswith("<"))
+    same = F.forall(slots, lambda p: p["iv"] == p["dv"])
+    told = F.struct(F.size("s").cast("long").alias("run_tokens"), F.size(slots).cast("long").alias("n_slots"), same.alias("same_values"))
+    return found.groupBy("doc_id", "item_id").agg(F.max(told).alias("best")).select("doc_id", "item_id", "best.*")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text: str = "text", doc_id: str = "doc_id",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per leaking (doc_id, item_id): run_tokens, n_slots, same_values.
@@ -81,8 +112,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     A document leaks an item if they share a run of template words of at least
     ``min_run`` words, or of all but one word of a shorter item (never under
     ``WINDOW + STRIDE - 1``: shorter items are not searched), and the slots of
-    the run are consistent. ``same_values``: no slot was re-parameterised.
-    The longest run of the pair is told.
+    the run are consistent. A run with slots that are not is judged by its
+    stretches that are, whole verbatim passages among them. ``same_values``: no
+    slot was re-parameterised. The longest such stretch of the pair is told.
 
     Null and empty texts and rows with a null id match nothing; rows that
     repeat an id are told once, with their longest run; other columns are not
@@ -110,16 +142,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
         transform(filter(sequence(0, size(item) - 1), j -> j + shift >= 0 AND j + shift < size(doc)),
                   j -> struct(item[j].t AS t, item[j].v AS iv, doc[j + shift].v AS dv, item[j].t = doc[j + shift].t AS same))""")
     aligned = aligned.select("doc_id", "item_id", F.size("item").alias("item_size"), part.alias("part"))
-    flags = F.array_join(F.transform("part", lambda p: F.when(p["same"], "1").otherwise("0")), "")
-    aligned = aligned.withColumn("flags", flags)
-    runs = F.transform(F.regexp_extract_all("flags", F.lit("(1+)"), 1), lambda r: F.length(r))
-    aligned = aligned.withColumn("run", F.array_max(runs)).filter(
-        F.col("run") >= F.greatest(F.lit(least), F.least(F.lit(min_run), F.col("item_size") - 1))
-    )
-    run = F.slice("part", F.instr("flags", F.expr("repeat('1', run)")), F.col("run"))
-    slots = F.transform(F.filter(run, lambda p: p["t"].startswith("<")), lambda p: F.struct(p["t"], p["iv"], p["dv"]))
-    aligned = aligned.withColumn("slots", slots)
-    consistent = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["iv"]))))
-    same = F.forall("slots", lambda s: s["iv"] == s["dv"])
-    told = F.struct(F.col("run").cast("long").alias("run_tokens"), F.size("slots").cast("long").alias("n_slots"), same.alias("same_values"))
-    return aligned.filter(consistent).groupBy("doc_id", "item_id").agg(F.max(told).alias("best")).select("doc_id", "item_id", "best.*")
+    need = F.greatest(F.lit(least), F.least(F.lit(min_run), F.col("item_size") - 1))
+    return _judged(aligned.select("doc_id", "item_id", need.alias("need"), "part"))

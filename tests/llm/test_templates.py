@@ -62,3 +62,18 @@ def test_clashing_columns(spark):
     out = templates.find_leaks(docs, items)
     assert out.columns == ["doc_id", "item_id", "run_tokens", "n_slots", "same_values"]
     assert [tuple(r)[:3] for r in out.collect()] == [(1, 2, 16)]
+
+
+def test_runs_are_cut_where_slots_disagree(spark):
+    mixed = ITEM.replace("12 sheep", "40 sheep")  # 40 stands for 12 up to "after"; from "sheep" on all is verbatim
+    found = leaks(spark, [(1, mixed), (2, "A farmer has 40 sheep and sells 5 of them")], [(9, ITEM)])
+    assert found == {(1, 9): (26, 5, False)}
+
+
+def test_second_run_of_an_alignment_is_judged(spark):
+    words = lambda c, n: [f"{c}{chr(97 + i)}x" for i in range(n)]
+    numbers = "3 3 3 3".split()
+    item = words("p", 6) + numbers[:2] + words("q", 8) + ["mid"] + words("r", 14)
+    doc = words("p", 6) + ["4", "5"] + words("q", 8) + ["other"] + words("r", 14)
+    found = leaks(spark, [(1, " ".join(doc))], [(2, " ".join(item))])
+    assert found == {(1, 2): (14, 0, True)}
