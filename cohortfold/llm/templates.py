@@ -6,7 +6,8 @@ and stripped of punctuation. Every document's template is cut into windows of
 ``WINDOW`` words at each ``STRIDE``-th place, every benchmark item's at each
 place: a shared run of ``WINDOW + STRIDE - 1`` words or more holds one of the
 document's windows whatever its offset, and a document emits a quarter of its
-windows only. Windows are hash-joined; for each document, item and alignment
+windows only. Shorter items are one window of their own length, which documents
+then emit at each place. Windows are hash-joined; for each document, item and alignment
 that they point at, all shared runs are measured on the words themselves, and
 cut where their slots disagree: one value of the item must always stand for one
 value of the document.
@@ -67,11 +68,30 @@ def _pairs(text: Column) -> Column:
     return F.filter(both, lambda p: p["t"] != "")
 
 
-def _windows(words: str, step: int) -> Column:
-    at = F.expr(f"IF(size({words}) < {WINDOW}, array(), sequence(0, size({words}) - {WINDOW}, {step}))")
-    slices = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(F.col(words), i + 1, WINDOW).alias("w")))
-    told = F.filter(slices, lambda s: F.size(F.filter(s["w"], lambda w: ~w.startswith("<"))) >= MIN_LITERAL)
-    return F.transform(told, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(F.array_join(s["w"], " ")).alias("hash")))
+def _values(text: Column) -> Column:
+    """The lower-case values of the template words."""
+    clean = F.translate(F.coalesce(text, F.lit("")), "<>" + _MARK, "   ")
+    return F.filter(F.split(F.regexp_replace(F.lower(clean), _PUNCTUATION, ""), rf"{_SPACE}+"), lambda w: w != "")
+
+
+def _literals(words: str) -> str:
+    return f"size(filter({words}, w -> NOT startswith(w, '<')))"
+
+
+def _windows(places: str, told: str, words: str = "words", length: int = WINDOW) -> str:
+    """(at, hash) for the places ``i`` at which ``told`` holds of the template words ``w``."""
+    at = f"filter({places}, i -> exists(array(slice(words, i + 1, {length})), w -> {told}))"
+    return f"transform({at}, i -> struct(i AS at, xxhash64(slice({words}, i + 1, {length})) AS hash))"
+
+
+def _places(step: int, length: int = WINDOW) -> str:
+    return f"IF(size(words) < {length}, array(), sequence(0, size(words) - {length}, {step}))"
+
+
+#: Enough words are literal: copies with other values are found.
+_TOLD = f"{_literals('w')} >= {MIN_LITERAL}"
+#: Copies with the same values are found.
+_FEW = f"{_literals('w')} < {MIN_LITERAL}"
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
@@ -111,8 +131,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
 
     A document leaks an item if they share a run of template words of at least
     ``min_run`` words, or of all but one word of a shorter item (never under
-    ``WINDOW + STRIDE - 1``: shorter items are not searched), and the slots of
-    the run are consistent. A run with slots that are not is judged by its
+    ``WINDOW + STRIDE - 1``), or a whole item of no more words than that, and
+    the slots of the run are consistent. Of such an item with fewer than
+    ``MIN_LITERAL`` literal words, only copies with the same values count. A run with slots that are not is judged by its
     stretches that are, whole verbatim passages among them. ``same_values``: no
     slot was re-parameterised. The longest such stretch of the pair is told.
 
@@ -124,14 +145,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     least = WINDOW + STRIDE - 1
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL")
-    items = items.distinct().withColumn("words", template_words(F.col("item_text"))).filter(F.size("words") > least)
-    items = scratch.write(items, "items")
+    items = items.distinct().select("item_id", "item_text", template_words(F.col("item_text")).alias("words"), _values(F.col("item_text")).alias("values"))
+    items = scratch.write(items.filter(F.size("words") > 0), "items")
+    whole = f"array(struct(0 AS at, xxhash64(IF({_literals('words')} >= {MIN_LITERAL}, words, values)) AS hash))"
+    item_windows = F.expr(f"IF(size(words) <= {least}, {whole}, {_windows(_places(1), _TOLD)})")
     item_windows = scratch.write(
-        items.select("item_id", "item_text", F.explode(_windows("words", 1)).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
+        items.select("item_id", F.explode(item_windows).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
         "item_windows",
     )
-    cut = docs.select("doc_id", template_words(F.col("text")).alias("words"))
-    cut = cut.select("doc_id", F.explode(_windows("words", STRIDE)).alias("w")).select("w.hash", "doc_id", F.col("w.at").alias("doc_at"))
+    short = items.filter(F.size("words") <= least).select(F.size("words").alias("n"), F.expr(f"{_literals('words')} >= {MIN_LITERAL}").alias("told"))
+    cuts = [_windows(_places(STRIDE), _TOLD)]
+    for r in short.distinct().collect():  # lengths, so a few rows
+        cuts.append(_windows(_places(1, r.n), _TOLD if r.told else _FEW, "words" if r.told else "values", r.n))
+    cut = docs.select("doc_id", template_words(F.col("text")).alias("words"), _values(F.col("text")).alias("values"))
+    cut = cut.select("doc_id", F.explode(F.expr(f"concat({', '.join(cuts)})")).alias("w")).select("w.hash", "doc_id", F.col("w.at").alias("doc_at"))
     hits = cut.join(item_windows, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = scratch.write(hits, "hits")
     found = scratch.write(docs.join(hits.select("doc_id").distinct(), "doc_id").distinct(), "found_docs")
@@ -142,5 +169,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
         transform(filter(sequence(0, size(item) - 1), j -> j + shift >= 0 AND j + shift < size(doc)),
                   j -> struct(item[j].t AS t, item[j].v AS iv, doc[j + shift].v AS dv, item[j].t = doc[j + shift].t AS same))""")
     aligned = aligned.select("doc_id", "item_id", F.size("item").alias("item_size"), part.alias("part"))
-    need = F.greatest(F.lit(least), F.least(F.lit(min_run), F.col("item_size") - 1))
+    need = F.least(F.col("item_size"), F.greatest(F.lit(least), F.least(F.lit(min_run), F.col("item_size") - 1)))
     return _judged(aligned.select("doc_id", "item_id", need.alias("need"), "part"))

@@ -77,3 +77,12 @@ def test_second_run_of_an_alignment_is_judged(spark):
     doc = words("p", 6) + ["4", "5"] + words("q", 8) + ["other"] + words("r", 14)
     found = leaks(spark, [(1, " ".join(doc))], [(2, " ".join(item))])
     assert found == {(1, 2): (14, 0, True)}
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Which gas do plants take in during photosynthesis?"), (2, "What is 7 times 8?"), (3, "A train runs 60 miles in 2 hours; how fast?"), (4, "Paris")]
+    docs = [(d, "Pad. " * d + f"{text} And on.") for d, text in enumerate([i for _, i in items] * 2)]
+    docs += [(20, "What is 7 times 9?"), (21, "So: a train runs 70 miles in 3 hours; how fast?"), (22, "Which gas do plants take in during the night")]
+    found = leaks(spark, docs, items)
+    assert set(found) >= {(d, d % 4 + 1) for d in range(7) if d % 4 < 3} and found[0, 1] == (8, 0, True) and found[21, 3] == (10, 4, False)
+    assert (3, 4) in found and not {(20, 2), (22, 1)} & set(found)
