@@ -6,7 +6,9 @@ and stripped of punctuation. Every document's template is cut into windows of
 ``WINDOW`` words at each ``STRIDE``-th place, every benchmark item's at each
 place: a shared run of ``WINDOW + STRIDE - 1`` words or more holds one of the
 document's windows whatever its offset, and a document emits a quarter of its
-windows only. Shorter items are one window of their own length, which documents
+windows only. Where such a window has few literal words, the document emits its
+values instead, for verbatim copies, and the windows of that least length around
+it, for others. Shorter items are one window of their own length, which documents
 then emit at each place. Windows are hash-joined; for each document, item and alignment
 that they point at, all shared runs are measured on the words themselves, and
 cut where their slots disagree: one value of the item must always stand for one
@@ -92,6 +94,15 @@ def _places(step: int, length: int = WINDOW) -> str:
 _TOLD = f"{_literals('w')} >= {MIN_LITERAL}"
 #: Copies with the same values are found.
 _FEW = f"{_literals('w')} < {MIN_LITERAL}"
+#: Every run that is told of has so many words or more.
+_LONG = WINDOW + STRIDE - 1
+
+
+def _near(words: str = "words") -> str:
+    """Places of long windows: up to ``STRIDE - 1`` before each ``STRIDE``-th place with few literal words."""
+    few = f"filter({_places(STRIDE)}, i -> {_literals(f'slice({words}, i + 1, {WINDOW})')} < {MIN_LITERAL})"
+    near = f"transform({few}, i -> filter(sequence(greatest(i - {STRIDE - 1}, 0), i), k -> k + {_LONG} <= size({words})))"
+    return f"flatten({near})"
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
@@ -133,7 +144,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     ``min_run`` words, or of all but one word of a shorter item (never under
     ``WINDOW + STRIDE - 1``), or a whole item of no more words than that, and
     the slots of the run are consistent. Of such an item with fewer than
-    ``MIN_LITERAL`` literal words, only copies with the same values count. A run with slots that are not is judged by its
+    ``MIN_LITERAL`` literal words, only copies with the same values count. So it
+    is with a run all of whose windows of ``WINDOW + STRIDE - 1`` words have
+    fewer. A run with slots that are not is judged by its
     stretches that are, whole verbatim passages among them. ``same_values``: no
     slot was re-parameterised. The longest such stretch of the pair is told.
 
@@ -142,19 +155,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     read.
     """
     scratch = Scratch(docs.sparkSession)
-    least = WINDOW + STRIDE - 1
+    least = _LONG
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL")
     items = items.distinct().select("item_id", "item_text", template_words(F.col("item_text")).alias("words"), _values(F.col("item_text")).alias("values"))
     items = scratch.write(items.filter(F.size("words") > 0), "items")
     whole = f"array(struct(0 AS at, xxhash64(IF({_literals('words')} >= {MIN_LITERAL}, words, values)) AS hash))"
-    item_windows = F.expr(f"IF(size(words) <= {least}, {whole}, {_windows(_places(1), _TOLD)})")
+    windows = [_windows(_places(1), _TOLD), _windows(_places(1), _FEW, "values"), _windows(_places(1, least), _TOLD, length=least)]
+    item_windows = F.expr(f"IF(size(words) <= {least}, {whole}, concat({', '.join(windows)}))")
     item_windows = scratch.write(
         items.select("item_id", F.explode(item_windows).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
         "item_windows",
     )
     short = items.filter(F.size("words") <= least).select(F.size("words").alias("n"), F.expr(f"{_literals('words')} >= {MIN_LITERAL}").alias("told"))
-    cuts = [_windows(_places(STRIDE), _TOLD)]
+    cuts = [_windows(_places(STRIDE), _TOLD), _windows(_places(STRIDE), _FEW, "values"), _windows(_near(), _TOLD, length=least)]
     for r in short.distinct().collect():  # lengths, so a few rows
         cuts.append(_windows(_places(1, r.n), _TOLD if r.told else _FEW, "words" if r.told else "values", r.n))
     cut = docs.select("doc_id", template_words(F.col("text")).alias("words"), _values(F.col("text")).alias("values"))

@@ -86,3 +86,14 @@ def test_short_items_are_found_whole(spark):
     found = leaks(spark, docs, items)
     assert set(found) >= {(d, d % 4 + 1) for d in range(7) if d % 4 < 3} and found[0, 1] == (8, 0, True) and found[21, 3] == (10, 4, False)
     assert (3, 4) in found and not {(20, 2), (22, 1)} & set(found)
+
+
+def test_every_offset_of_a_dense_question_is_found(spark):
+    dense = "What is 12 plus 7 minus 3 times 4 plus 9 divided by 2 plus 6?"
+    other = "What is 31 plus 8 minus 5 times 2 plus 6 divided by 4 plus 7?"
+    table = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18"
+    docs = [(10 * n + k, "Pad. " * k + f"{text}") for n, text in enumerate((dense, other, table)) for k in range(8)]
+    docs += [(99, " ".join(str(n) for n in range(41, 59)))]
+    found = leaks(spark, docs, [(1, dense), (2, table)])
+    assert set(found) == {(10 * n + k, i) for n, i in ((0, 1), (1, 1), (2, 2)) for k in range(8)}
+    assert all(v == (16, 7, d < 10) for (d, i), v in found.items() if i == 1)
