@@ -13,6 +13,11 @@ then emit at each place. Windows are hash-joined; for each document, item and al
 that they point at, all shared runs are measured on the words themselves, and
 cut where their slots disagree: one value of the item must always stand for one
 value of the document.
+
+Words that are capitalised where any word is are read both ways, as a word and as
+a name, and words of equal value match in any case: windows of both kinds are
+joined, too. Where the plain template holds no leak of a pair, its runs under
+these readings are judged.
 """
 
 from __future__ import annotations
@@ -40,17 +45,22 @@ UNITS = (
 _MARK = "\u0001"
 _SPACE = r"[\x20\x09-\x0D]"
 _NAME_START = rf"([\p{{Ll}},;:]{_SPACE}+)(\p{{Lu}})"
+_EDGE = r"[^\p{L}\p{N}\x20\x09-\x0D]"
+#: A capital that begins a text or a sentence, or stands behind a quote or bracket.
+_SENTENCE_START = rf"(^{_SPACE}*|[^\p{{L}}\p{{N}},;:\x20\x09-\x0D]{_SPACE}+|{_SPACE}(?={_EDGE}))({_EDGE}*)(\p{{Lu}})"
 _NAME = rf"{_MARK}[^\x20\x09-\x0D]+"
 _NUMBER = rf"(^|{_SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]*[0-9][0-9.,:/]*[^\p{{L}}\p{{N}}\x20\x09-\x0D]*($|{_SPACE})"
-_UNIT = rf"(<num>{_SPACE}+)({'|'.join(UNITS)})([^\p{{L}}\p{{N}}<>\x20\x09-\x0D]*)($|{_SPACE})"
+_UNIT = rf"(<num>{_SPACE}+)>?({'|'.join(UNITS)})([^\p{{L}}\p{{N}}<>\x20\x09-\x0D]*)($|{_SPACE})"
 _PUNCTUATION = r"[^\p{L}\p{N}<>\x20\x09-\x0D]+"
 
 
 def template(text: Column) -> Column:
     """The text with placeholders; its words are those of the text, one for one,
-    but that a word of punctuation only is empty."""
+    but that a word of punctuation only is empty. Words that may be names, for
+    they are capitalised where any word is, have ``>`` before them."""
     text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(F.translate(text, "<>" + _MARK, "   "), _NAME_START, rf"$1{_MARK}$2")
+    text = F.regexp_replace(F.translate(text, "<>" + _MARK, "   "), _SENTENCE_START, "$1>$2$3")
+    text = F.regexp_replace(text, _NAME_START, rf"$1{_MARK}$2")
     text = F.lower(F.regexp_replace(text, _NAME, "<name>"))
     for _ in range(2):  # neighbours share the space between them
         text = F.regexp_replace(text, _NUMBER, "$1<num>$2")
@@ -58,31 +68,29 @@ def template(text: Column) -> Column:
     return F.regexp_replace(text, _PUNCTUATION, "")
 
 
-def template_words(text: Column) -> Column:
-    return F.filter(F.split(template(text), rf"{_SPACE}+"), lambda w: w != "")
-
-
-def _pairs(text: Column) -> Column:
-    """(t, v) for each template word: the word and the lower-cased value that it stands for."""
-    clean = F.translate(F.coalesce(text, F.lit("")), "<>" + _MARK, "   ")
-    values = F.split(F.regexp_replace(F.lower(clean), _PUNCTUATION, ""), _SPACE)
-    both = F.zip_with(F.split(template(text), _SPACE), values, lambda t, v: F.struct(t.alias("t"), v.alias("v")))
-    return F.filter(both, lambda p: p["t"] != "")
-
-
 def _values(text: Column) -> Column:
     """The lower-case values of the template words."""
     clean = F.translate(F.coalesce(text, F.lit("")), "<>" + _MARK, "   ")
     return F.filter(F.split(F.regexp_replace(F.lower(clean), _PUNCTUATION, ""), rf"{_SPACE}+"), lambda w: w != "")
 
 
+def _cut(df: DataFrame, text: str, *others: str) -> DataFrame:
+    """For each template word: words, the same with all that may be names as such (named), and values."""
+    marked = F.filter(F.split(template(F.col(text)), rf"{_SPACE}+"), lambda w: w != "")
+    df = df.select(*others, marked.alias("marked"), _values(F.col(text)).alias("values"))
+    return df.select(
+        *others, "values", F.expr("transform(marked, w -> IF(startswith(w, '>'), substring(w, 2), w))").alias("words"),
+        F.expr("transform(marked, w -> IF(startswith(w, '>'), '<name>', w))").alias("named"),
+    )
+
+
 def _literals(words: str) -> str:
     return f"size(filter({words}, w -> NOT startswith(w, '<')))"
 
 
 def _windows(places: str, told: str, words: str = "words", length: int = WINDOW) -> str:
-    """(at, hash) for the places ``i`` at which ``told`` holds of the template words ``w``."""
-    at = f"filter({places}, i -> exists(array(slice(words, i + 1, {length})), w -> {told}))"
+    """(at, hash) for the places at which ``told`` holds of the words ``w``, whose plain template words are ``t``."""
+    at = f"filter({places}, i -> exists(array(struct(slice({words}, i + 1, {length}) AS w, slice(words, i + 1, {length}) AS t)), x -> {told}))"
     return f"transform({at}, i -> struct(i AS at, xxhash64(slice({words}, i + 1, {length})) AS hash))"
 
 
@@ -91,9 +99,13 @@ def _places(step: int, length: int = WINDOW) -> str:
 
 
 #: Enough words are literal: copies with other values are found.
-_TOLD = f"{_literals('w')} >= {MIN_LITERAL}"
-#: Copies with the same values are found.
-_FEW = f"{_literals('w')} < {MIN_LITERAL}"
+_TOLD = f"{_literals('x.w')} >= {MIN_LITERAL}"
+#: And some word may be a name.
+_NAMED = f"x.w <> x.t AND {_TOLD}"
+#: The window of values is another than that of template words: copies with the same values are found, in any case.
+_SLOTS = "x.w <> x.t"
+
+
 #: Every run that is told of has so many words or more.
 _LONG = WINDOW + STRIDE - 1
 
@@ -106,7 +118,8 @@ def _near(words: str = "words") -> str:
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
-    """The best consistent stretch of each pair, over all runs of all its alignments.
+    """The best consistent stretch of each pair, over all runs of all its alignments,
+    and over those of the ``plain`` reading before others.
 
     ``part`` holds an alignment's words (t, iv, dv, same). Each run of ``need``
     words is cut where a value of the item stands for another than it did at
@@ -116,8 +129,8 @@ def _judged(aligned: DataFrame) -> DataFrame:
         filter(zip_with(filter(sequence(0, size(part) - 1), j -> part[j].same AND (j = 0 OR NOT part[greatest(j - 1, 0)].same)),
                         filter(sequence(0, size(part) - 1), j -> part[j].same AND (j = size(part) - 1 OR NOT part[least(j + 1, size(part) - 1)].same)),
                         (a, b) -> struct(a + 1 AS a, b - a + 1 AS n)), r -> r.n >= need)""")
-    runs = aligned.filter(F.size("part") > 0).select("doc_id", "item_id", "need", "part", F.explode(runs).alias("r"))
-    runs = runs.select("doc_id", "item_id", "need", F.expr("slice(part, r.a, r.n)").alias("run"))
+    runs = aligned.filter(F.size("part") > 0).select("doc_id", "item_id", "plain", "need", "part", F.explode(runs).alias("r"))
+    runs = runs.select("doc_id", "item_id", "plain", "need", F.expr("slice(part, r.a, r.n)").alias("run"))
     slots = F.expr("""array_sort(filter(transform(run, (p, i) -> struct(p.t AS t, p.iv AS iv, i AS i, p.dv AS dv)), x -> startswith(x.t, '<')))""")
     runs = runs.withColumn("slots", slots)
     cuts = F.expr("""
@@ -128,12 +141,12 @@ def _judged(aligned: DataFrame) -> DataFrame:
     stretches = F.expr("""
         filter(transform(cuts, (c, k) -> struct(coalesce(array_max(transform(slice(cuts, 1, k), x -> x.begin)), 0) AS a, c.end AS b)),
                s -> s.b - s.a >= need)""")
-    found = runs.select("doc_id", "item_id", "run", F.explode(stretches).alias("s"))
-    found = found.select("doc_id", "item_id", F.expr("slice(run, s.a + 1, s.b - s.a)").alias("s"))
+    found = runs.select("doc_id", "item_id", "plain", "run", F.explode(stretches).alias("s"))
+    found = found.select("doc_id", "item_id", "plain", F.expr("slice(run, s.a + 1, s.b - s.a)").alias("s"))
     slots = F.filter("s", lambda p: p["t"].startswith("<"))
     same = F.forall(slots, lambda p: p["iv"] == p["dv"])
-    told = F.struct(F.size("s").cast("long").alias("run_tokens"), F.size(slots).cast("long").alias("n_slots"), same.alias("same_values"))
-    return found.groupBy("doc_id", "item_id").agg(F.max(told).alias("best")).select("doc_id", "item_id", "best.*")
+    told = F.struct("plain", F.size("s").cast("long").alias("run_tokens"), F.size(slots).cast("long").alias("n_slots"), same.alias("same_values"))
+    return found.groupBy("doc_id", "item_id").agg(F.max(told).alias("best")).select("doc_id", "item_id", "best.run_tokens", "best.n_slots", "best.same_values")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text: str = "text", doc_id: str = "doc_id",
@@ -148,7 +161,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     is with a run all of whose windows of ``WINDOW + STRIDE - 1`` words have
     fewer. A run with slots that are not is judged by its
     stretches that are, whole verbatim passages among them. ``same_values``: no
-    slot was re-parameterised. The longest such stretch of the pair is told.
+    slot was re-parameterised. The longest such stretch of the pair is told, and
+    of template words alone before those that need the other readings.
 
     Null and empty texts and rows with a null id match nothing; rows that
     repeat an id are told once, with their longest run; other columns are not
@@ -158,30 +172,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     least = _LONG
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL")
-    items = items.distinct().select("item_id", "item_text", template_words(F.col("item_text")).alias("words"), _values(F.col("item_text")).alias("values"))
+    items = _cut(items.distinct(), "item_text", "item_id", "item_text")
     items = scratch.write(items.filter(F.size("words") > 0), "items")
-    whole = f"array(struct(0 AS at, xxhash64(IF({_literals('words')} >= {MIN_LITERAL}, words, values)) AS hash))"
-    windows = [_windows(_places(1), _TOLD), _windows(_places(1), _FEW, "values"), _windows(_places(1, least), _TOLD, length=least)]
+    told = f"{_literals('words')} >= {MIN_LITERAL}"
+    whole = f"transform(IF({told}, array(words, named, values), array(values)), w -> struct(0 AS at, xxhash64(w) AS hash))"
+    windows = [_windows(_places(1, n), _TOLD, words, n) for words in ("words", "named") for n in (WINDOW, least)]
+    windows.append(_windows(_places(1), _SLOTS, "values"))
     item_windows = F.expr(f"IF(size(words) <= {least}, {whole}, concat({', '.join(windows)}))")
     item_windows = scratch.write(
         items.select("item_id", F.explode(item_windows).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
         "item_windows",
     )
-    short = items.filter(F.size("words") <= least).select(F.size("words").alias("n"), F.expr(f"{_literals('words')} >= {MIN_LITERAL}").alias("told"))
-    cuts = [_windows(_places(STRIDE), _TOLD), _windows(_places(STRIDE), _FEW, "values"), _windows(_near(), _TOLD, length=least)]
-    for r in short.distinct().collect():  # lengths, so a few rows
-        cuts.append(_windows(_places(1, r.n), _TOLD if r.told else _FEW, "words" if r.told else "values", r.n))
-    cut = docs.select("doc_id", template_words(F.col("text")).alias("words"), _values(F.col("text")).alias("values"))
+    cuts = [_windows(_places(STRIDE), _SLOTS, "values")]
+    for words, which in (("words", _TOLD), ("named", _NAMED)):
+        cuts += [_windows(_places(STRIDE), which, words), _windows(_near(words), which, words, least)]
+    short = items.filter(F.size("words") <= least).groupBy(F.size("words").alias("n")).agg(F.max(F.expr(told)).alias("told"))
+    for r in short.collect():  # a row for each length
+        cuts.append(_windows(_places(1, r.n), "true", "values", r.n))
+        if r.told:
+            cuts += [_windows(_places(1, r.n), _TOLD, "words", r.n), _windows(_places(1, r.n), _NAMED, "named", r.n)]
+    cut = _cut(docs, "text", "doc_id")
     cut = cut.select("doc_id", F.explode(F.expr(f"concat({', '.join(cuts)})")).alias("w")).select("w.hash", "doc_id", F.col("w.at").alias("doc_at"))
     hits = cut.join(item_windows, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = scratch.write(hits, "hits")
     found = scratch.write(docs.join(hits.select("doc_id").distinct(), "doc_id").distinct(), "found_docs")
-    found = found.select("doc_id", _pairs(F.col("text")).alias("doc"))
-    asked = items.select("item_id", _pairs(F.col("item_text")).alias("item"))
+    found = _cut(found, "text", "doc_id").select("doc_id", F.struct("words", "named", "values").alias("doc"))
+    asked = items.select("item_id", F.struct("words", "named", "values").alias("item"))
     aligned = hits.join(found, "doc_id").join(asked, "item_id")
     part = F.expr("""
-        transform(filter(sequence(0, size(item) - 1), j -> j + shift >= 0 AND j + shift < size(doc)),
-                  j -> struct(item[j].t AS t, item[j].v AS iv, doc[j + shift].v AS dv, item[j].t = doc[j + shift].t AS same))""")
-    aligned = aligned.select("doc_id", "item_id", F.size("item").alias("item_size"), part.alias("part"))
+        transform(filter(sequence(0, size(item.words) - 1), j -> j + shift >= 0 AND j + shift < size(doc.words)),
+                  j -> struct(item.words[j] AS t, doc.words[j + shift] AS dt, item.named[j] AS n, doc.named[j + shift] AS dn,
+                              item.values[j] AS iv, doc.values[j + shift] AS dv))""")
+    aligned = aligned.select("doc_id", "item_id", F.size("item.words").alias("item_size"), part.alias("part"))
+    readings = F.expr("""
+        array(struct(true AS plain, transform(part, p -> struct(p.t AS t, p.iv AS iv, p.dv AS dv, p.t = p.dt AS same)) AS part),
+              struct(false AS plain, transform(part, p -> struct(
+                  IF(p.n = '<name>' OR NOT startswith(p.dt, '<'), p.n, IF(startswith(p.t, '<'), p.t, p.dt)) AS t, p.iv AS iv, p.dv AS dv,
+                  p.t = p.dt OR p.iv = p.dv OR (p.n = '<name>' AND p.dn = '<name>') AS same)) AS part))""")
+    aligned = aligned.select("doc_id", "item_id", "item_size", F.explode(readings).alias("r"))
+    aligned = aligned.select("doc_id", "item_id", "item_size", "r.plain", "r.part")
     need = F.least(F.col("item_size"), F.greatest(F.lit(least), F.least(F.lit(min_run), F.col("item_size") - 1)))
-    return _judged(aligned.select("doc_id", "item_id", need.alias("need"), "part"))
+    return _judged(aligned.select("doc_id", "item_id", "plain", need.alias("need"), "part"))

@@ -97,3 +97,15 @@ def test_every_offset_of_a_dense_question_is_found(spark):
     found = leaks(spark, docs, [(1, dense), (2, table)])
     assert set(found) == {(10 * n + k, i) for n, i in ((0, 1), (1, 1), (2, 2)) for k in range(8)}
     assert all(v == (16, 7, d < 10) for (d, i), v in found.items() if i == 1)
+
+
+def test_names_that_begin_sentences_and_other_case(spark):
+    ann = "Ann has 3 apples. Bob has 5 apples. Carl has 7 apples. How many apples do they have in total?"
+    other = "Dora has 4 apples. Emil has 6 apples. Fay has 2 apples. How many apples do they have in total?"
+    clash = other.replace("Dora", "Emil") + " x"  # one value may stand for two of the item
+    quoted = ann.replace("Ann", "\u201cGus").replace("Bob", "(Hal)")
+    german = "Der alte Bauer trug am Abend einen Korb voller Birnen durch das Dorf zum Haus seiner Schwester"
+    docs = [(1, f"Before. {other} After."), (2, clash), (3, quoted), (4, f"so {ann.lower()}"), (5, german.lower()), (6, f"x {german.upper()}"), (7, "Ann has 3 apples. Bob goes home.")]
+    found = leaks(spark, docs, [(1, ann), (2, german), (3, "Where does Anna live?")])
+    assert set(found) == {(d, 1) for d in (1, 2, 3, 4)} | {(5, 2), (6, 2)}
+    assert found[1, 1][::2] == (20, False) and found[4, 1][::2] == (20, True) and found[5, 2][::2] == (17, True)
