@@ -89,7 +89,8 @@ class Encoder:
     A byte-level BPE splits a text before it merges, and always before a single
     space that a word follows; so a text's ids are those of its words (each
     with its space) in turn, and a word's those of its pieces. Texts with runs
-    of white space that defy this are encoded whole.
+    of white space that defy this are encoded whole, and so are texts that hold
+    an added token, which the tokenizer cuts out before it splits.
     """
 
     def __init__(self, file: str):
@@ -97,7 +98,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are not split at words.
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         #: The same merges for pieces that are split already.
         self._merger = Tokenizer(self.tokenizer.model)
         self._merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -126,7 +129,8 @@ class Encoder:
             self.codes, self.word_ids = _Codes(), _Ids()
         if len(self.pieces) > REMEMBERED:
             self.pieces, self.piece_ids = _Codes(), _Ids()
-        split = [None if _JOINED_SPACE.search(t) else t.split(" ") for t in texts]
+        whole = lambda t: _JOINED_SPACE.search(t) or self._added and self._added.search(t)
+        split = [None if whole(t) else t.split(" ") for t in texts]
         number = self.codes.__getitem__
         codes = [None if s is None else np.fromiter(map(number, s[1:]), np.int64, len(s) - 1) for s in split]
         if self.codes.new:

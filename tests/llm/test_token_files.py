@@ -66,3 +66,12 @@ def test_no_rows(spark, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, FILE)
     assert token_files.checksums(spark, path).count() == 0
+
+
+def test_added_tokens_are_encoded_as_the_unchanged_tokenizer_does():
+    fresh = tokenizers.Tokenizer.from_file(FILE)
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    texts = [text for a in added for text in (a, f"a b {a} c", f"x{a}y z", f"a  {a}{a} \n b", a[:-1] + " " + a[-1:], a.upper())] + ["plain words"]
+    assert added and any(set(fresh.encode(t, add_special_tokens=False).ids) & set(fresh.get_added_tokens_decoder()) for t in texts)
+    got = token_files.Encoder(FILE).encode(texts)
+    assert [x.tolist() for x in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
