@@ -104,6 +104,8 @@ def _searched(k: int):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(rows) and len(queries):
+            # A query's first width comes from those before it, and a shuffle's order is not fixed.
+            rows, queries = rows.sort_by("vec_id"), queries.sort_by("vec_id")
             index = Index(np.asarray(rows.column("vec_id")), _matrix(rows))
             for query_id, query in zip(queries.column("vec_id").to_pylist(), _matrix(queries)):
                 out.append((query_id, *index.search(query_id, query, k)))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortfold.llm import ann, queries
@@ -50,3 +51,16 @@ def test_edges(spark):
     out = ann.nearest(spark.createDataFrame([*rows, rows[1], (None, [1.0, 1.0], "x", 1, "y")], schema), F.expr(EVERY_20))
     assert out.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, out.collect())) == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -2.0), (20, 3, 2, -2.0)]
+
+
+def test_order_of_arrival_does_not_matter():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 64)) * rng.lognormal(0, 0.5, (2000, 1))
+    table = pa.table({"vec_id": np.arange(2000), "vector": pa.FixedSizeListArray.from_arrays(x.ravel(), 64)})
+    asked = table.slice(0, 200)
+    search = ann._searched(20)
+    want = search(table, asked).sort_by([("query_id", "ascending"), ("vec_id", "ascending")])
+    for seed in range(3):
+        order = np.random.default_rng(seed)
+        got = search(table.take(order.permutation(2000)), asked.take(order.permutation(200)))
+        assert got.sort_by([("query_id", "ascending"), ("vec_id", "ascending")]).equals(want)
