@@ -75,12 +75,14 @@ def _values(text: Column) -> Column:
 
 
 def _cut(df: DataFrame, text: str, *others: str) -> DataFrame:
-    """For each template word: words, the same with all that may be names as such (named), and values."""
+    """For each template word: words, the same with all that may be names as such (named), values, and
+    kinds (0: placeholder, 2: may be a name, 1: others)."""
     marked = F.filter(F.split(template(F.col(text)), rf"{_SPACE}+"), lambda w: w != "")
     df = df.select(*others, marked.alias("marked"), _values(F.col(text)).alias("values"))
     return df.select(
         *others, "values", F.expr("transform(marked, w -> IF(startswith(w, '>'), substring(w, 2), w))").alias("words"),
         F.expr("transform(marked, w -> IF(startswith(w, '>'), '<name>', w))").alias("named"),
+        F.expr("transform(marked, w -> IF(startswith(w, '<'), '0', IF(startswith(w, '>'), '2', '1')))").alias("kinds"),
     )
 
 
@@ -88,32 +90,32 @@ def _literals(words: str) -> str:
     return f"size(filter({words}, w -> NOT startswith(w, '<')))"
 
 
-def _windows(places: str, told: str, words: str = "words", length: int = WINDOW) -> str:
-    """(at, hash) for the places at which ``told`` holds of the words ``w``, whose plain template words are ``t``."""
-    at = f"filter({places}, i -> exists(array(struct(slice({words}, i + 1, {length}) AS w, slice(words, i + 1, {length}) AS t)), x -> {told}))"
-    return f"transform({at}, i -> struct(i AS at, xxhash64(slice({words}, i + 1, {length})) AS hash))"
+def _grid(places: str, length: int = WINDOW) -> str:
+    """(i, k) for each place: its window's kinds in one string."""
+    return f"transform({places}, i -> struct(i, array_join(slice(kinds, i + 1, {length}), '') AS k))"
+
+
+def _windows(grid: str, told: str, words: str = "words", length: int = WINDOW) -> str:
+    """(at, hash) for the places of a grid for which ``told`` holds."""
+    return f"transform(filter({grid}, x -> {told}), x -> struct(x.i AS at, xxhash64(slice({words}, x.i + 1, {length})) AS hash))"
 
 
 def _places(step: int, length: int = WINDOW) -> str:
     return f"IF(size(words) < {length}, array(), sequence(0, size(words) - {length}, {step}))"
 
 
-#: Enough words are literal: copies with other values are found.
-_TOLD = f"{_literals('x.w')} >= {MIN_LITERAL}"
-#: And some word may be a name.
-_NAMED = f"x.w <> x.t AND {_TOLD}"
+_FEW = {"words": f"length(replace(x.k, '0', '')) < {MIN_LITERAL}", "named": f"length(replace(replace(x.k, '0', ''), '2', '')) < {MIN_LITERAL}"}
+#: Enough words are literal: copies with other values are found. With names, where some word may be one.
+_TOLD = {"words": f"NOT {_FEW['words']}", "named": f"instr(x.k, '2') > 0 AND NOT {_FEW['named']}"}
 #: The window of values is another than that of template words: copies with the same values are found, in any case.
-_SLOTS = "x.w <> x.t"
-
-
+_SLOTS = "instr(x.k, '0') > 0"
 #: Every run that is told of has so many words or more.
 _LONG = WINDOW + STRIDE - 1
 
 
-def _near(words: str = "words") -> str:
-    """Places of long windows: up to ``STRIDE - 1`` before each ``STRIDE``-th place with few literal words."""
-    few = f"filter({_places(STRIDE)}, i -> {_literals(f'slice({words}, i + 1, {WINDOW})')} < {MIN_LITERAL})"
-    near = f"transform({few}, i -> filter(sequence(greatest(i - {STRIDE - 1}, 0), i), k -> k + {_LONG} <= size({words})))"
+def _near(grid: str, words: str) -> str:
+    """Places of long windows: up to ``STRIDE - 1`` before each place of the grid with few literal words."""
+    near = f"transform(filter({grid}, x -> {_FEW[words]}), x -> filter(sequence(greatest(x.i - {STRIDE - 1}, 0), x.i), k -> k + {_LONG} <= size(words)))"
     return f"flatten({near})"
 
 
@@ -176,22 +178,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
     items = scratch.write(items.filter(F.size("words") > 0), "items")
     told = f"{_literals('words')} >= {MIN_LITERAL}"
     whole = f"transform(IF({told}, array(words, named, values), array(values)), w -> struct(0 AS at, xxhash64(w) AS hash))"
-    windows = [_windows(_places(1, n), _TOLD, words, n) for words in ("words", "named") for n in (WINDOW, least)]
-    windows.append(_windows(_places(1), _SLOTS, "values"))
+    windows = [_windows(_grid(_places(1, n), n), _TOLD[words], words, n) for words in ("words", "named") for n in (WINDOW, least)]
+    windows.append(_windows(_grid(_places(1)), _SLOTS, "values"))
     item_windows = F.expr(f"IF(size(words) <= {least}, {whole}, concat({', '.join(windows)}))")
     item_windows = scratch.write(
         items.select("item_id", F.explode(item_windows).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
         "item_windows",
     )
-    cuts = [_windows(_places(STRIDE), _SLOTS, "values")]
-    for words, which in (("words", _TOLD), ("named", _NAMED)):
-        cuts += [_windows(_places(STRIDE), which, words), _windows(_near(words), which, words, least)]
+    cuts = [_windows("grid", _SLOTS, "values")]
+    for words in ("words", "named"):
+        cuts += [_windows("grid", _TOLD[words], words), _windows(_grid(_near("grid", words), least), _TOLD[words], words, least)]
     short = items.filter(F.size("words") <= least).groupBy(F.size("words").alias("n")).agg(F.max(F.expr(told)).alias("told"))
     for r in short.collect():  # a row for each length
-        cuts.append(_windows(_places(1, r.n), "true", "values", r.n))
+        every = _grid(_places(1, r.n), r.n)
+        cuts.append(_windows(every, "true", "values", r.n))
         if r.told:
-            cuts += [_windows(_places(1, r.n), _TOLD, "words", r.n), _windows(_places(1, r.n), _NAMED, "named", r.n)]
-    cut = _cut(docs, "text", "doc_id")
+            cuts += [_windows(every, _TOLD[words], words, r.n) for words in ("words", "named")]
+    cut = _cut(docs, "text", "doc_id").select("*", F.expr(_grid(_places(STRIDE))).alias("grid"))
     cut = cut.select("doc_id", F.explode(F.expr(f"concat({', '.join(cuts)})")).alias("w")).select("w.hash", "doc_id", F.col("w.at").alias("doc_at"))
     hits = cut.join(item_windows, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = scratch.write(hits, "hits")
