@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortfold.llm import ann, html_crf, language, mixing, near_dup, quality, repeats, templates, token_files, url_rules
+from cohortfold.llm import ann, html_crf, language, mixing, near_dup, quality, repeats, templates, token_files, url_rules, warc, whitening
 from cohortfold.llm.shared import Scratch
 
 
@@ -106,6 +106,21 @@ def op10_decontamination(spark, sf_dir):
     return templates.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+#: Bytes of a record's block; about one page in ten is longer.
+WARC_SEGMENT_BYTES = 8192
+
+
+def op13_warc(spark, sf_dir):
+    path = Scratch(spark).path("archives")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path, segment_bytes=WARC_SEGMENT_BYTES)
+    found = warc.resolved(warc.read_archives(spark, path))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_near_dup": op2_near_dup,
@@ -117,6 +132,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
 
 
