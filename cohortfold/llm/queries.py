@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortfold.llm import ann, html_crf, language, mixing, near_dup, quality, repeats, templates, token_files, url_rules, warc, whitening
+from cohortfold.llm import ann, collocations, html_crf, language, mixing, near_dup, quality, repeats, templates, token_files, url_rules, warc, whitening
 from cohortfold.llm.shared import Scratch
 
 
@@ -106,6 +106,10 @@ def op10_decontamination(spark, sf_dir):
     return templates.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
@@ -132,6 +136,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
     "op13_warc": op13_warc,
 }
