@@ -23,6 +23,8 @@ import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortfold.llm.shared import Scratch, map_arrow, parallelism
+from cohortfold.llm.words import slices
 
 SEGMENT_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 13
@@ -40,9 +43,26 @@ _CUT = "\r\n" + _MARK.decode()
 _END = "\r\n\r\n"
 #: Field that carries the row's page_id; the format lets readers skip fields they do not know.
 _PAGE = "Page-ID"
+_BATCH_BYTES = 2 << 20
 _SAFE = "!#$%&'()*+,/:;=?@[]~"
 
 
+def _batches(rows: Iterator[dict], schema: str, bulk: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size; the bytes are in column ``bulk``."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [c.split() for c in schema.split(", ")]
+    batch = lambda held: pa.record_batch([pa.array([r.get(n) for r in held], kinds[t]) for n, t in columns], names=[n for n, _ in columns])
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get(bulk) or b"") + 500
+        if size > _BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 def _chunked(payload: bytes, chunk_bytes: int) -> bytes:
     """Chunked framing; chunks also end inside each ``_MARK``."""
     cuts = {m.start() + 2 for m in re.finditer(re.escape(_MARK), payload)}
@@ -120,10 +140,8 @@ def _writing(date: str, segment_bytes: int, chunk_bytes: int):
             ], part)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                yield pa.record_batch([pa.array(list(records(row)), pa.binary())], names=["value"])
+        rows = (row for batch in batches for piece in slices(batch, "html", _BATCH_BYTES) for row in piece.to_pylist())
+        yield from _batches(({"value": record} for row in rows for record in records(row)), "value binary", "value")
 
     return write
 
@@ -150,6 +168,7 @@ def write_archives(
         F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("copies")
     )
     same = same.filter("copies > 1").select("digest", F.col("kept.page_id").cast("string").alias("kept_page"), F.col("kept.row").alias("kept_row"))
+    same = scratch.write(same, "same")  # its size is known then: few copies need no shuffle of payloads
     rows = rows.join(same, "digest", "left")
     revisits = F.col("kept_row").isNotNull() & (F.col("kept_row") != F.col("row"))
     rows = rows.select(
@@ -159,7 +178,7 @@ def write_archives(
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     records = map_arrow(rows, _writing(date, segment_bytes, chunk_bytes), "value binary")
     records.select(F.col("value").cast("string")).write.option("lineSep", _END).option("compression", "gzip").text(path)
-    scratch.drop("rows")
+    scratch.drop("rows", "same")
 
 
 _FIELDS = {
@@ -186,8 +205,8 @@ def _hex_digest(text: str | None) -> str | None:
 def _parsed(piece: bytes) -> tuple[dict, int | None] | None:
     """A record's fields and block, and how many bytes of it are missing; None if it is none."""
     head, _, block = piece.partition(b"\r\n\r\n")
-    first, *lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
-    named = dict(line.decode("utf-8", "replace").split(":", 1) for line in lines if b":" in line)
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    named = dict(line.split(":", 1) for line in lines if ":" in line)
     named = {k.strip().lower(): v.strip() for k, v in named.items()}
     length = _number(named.get("content-length"))
     if not first.strip().isdigit() or length is None:
@@ -237,22 +256,14 @@ def _decoded(fields: dict) -> dict:
     return out
 
 
-def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    columns = [c.split() for c in schema.split(", ")]
-    return pa.record_batch([pa.array([r.get(n) for r in rows], kinds[t]) for n, t in columns], names=[n for n, _ in columns])
-
-
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for fields in _records_of(batches):
-        if fields.get("segment") is None:
-            yield _batch([_decoded(fields)], _RECORDS)
+    whole = (fields for fields in _records_of(batches) if fields.get("segment") is None)
+    yield from _batches(map(_decoded, whole), _RECORDS, "payload")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for fields in _records_of(batches):
-        if fields.get("segment") is not None:
-            yield _batch([fields | {"origin_id": fields["origin_id"] or fields["record_id"]}], _PARTS)
+    parts = (fields for fields in _records_of(batches) if fields.get("segment") is not None)
+    yield from _batches((fields | {"origin_id": fields["origin_id"] or fields["record_id"]} for fields in parts), _PARTS, "block")
 
 
 def _reassembled(segments: list[dict]) -> dict:
@@ -273,15 +284,9 @@ def _reassembled(segments: list[dict]) -> dict:
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for batch in batches:
-        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-            if held and row["origin_id"] != held[0]["origin_id"]:
-                yield _batch([_reassembled(held)], _RECORDS)
-                held = []
-            held.append(row)
-    if held:
-        yield _batch([_reassembled(held)], _RECORDS)
+    rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
+    records = (_reassembled(list(group)) for _, group in groupby(rows, key=itemgetter("origin_id")))
+    yield from _batches(records, _RECORDS, "payload")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
