@@ -1,10 +1,9 @@
 """Record-versus-criteria matching (inventory P4, P5, E2).
 
-All leaves of one entity type are tested in a single projection: each leaf
-contributes its index to an array when its test holds, and the array is
-exploded. A record that matches nothing yields no match row; a NULL test
-counts as no match. Code leaves (P5: lists or tables) are answered by one left
-join against a ``code -> [leaf indexes]`` table, so a record matches each
+Predicate leaves are looked up in an index over the record's columns (see
+``predicates``); a record that matches nothing yields no match row, and a NULL
+test counts as no match. Code leaves (P5: lists or tables) are answered by one
+left join against a ``code -> [leaf codes]`` table, so a record matches each
 criterion at most once however many of its codes are listed.
 """
 
@@ -18,18 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortfold.functions.ids import normalize_uid_col
+from cohortfold.operators.predicates import Patterns, constant
 from cohortfold.operators.records import PATIENT, RECORD
 from cohortfold.plans.criteria import Leaf
 
 CRITERION = "criterion_uid"
-MATCHES = "_matched_criteria"
+#: A leaf's number, in place of its id, in all tables before the output.
+LEAF = "leaf"
+KIND = "kind"
 
 #: Places that records without a code are spread over in a join on codes.
 NULL_CODE_SPREAD = 1024
 
 
 def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[int, Leaf]]) -> DataFrame:
-    """(code, criteria ARRAY<INT>) for the given code leaves (leaf indexes).
+    """(code, criteria ARRAY<INT>) for the given code leaves (leaf codes, sorted).
 
     Code lists come from the driver, code tables stay in Spark; either way the
     join's strategy is Spark's choice by measured size.
@@ -42,7 +44,7 @@ def _code_lookup(spark: SparkSession, leaves: Sequence[tuple[int, Leaf]]) -> Dat
             column = leaf.code_table.columns[0]
             parts.append(leaf.code_table.select(F.col(f"`{column}`").cast("string").alias("code"), F.lit(i).alias("_leaf")))
     pairs = reduce(lambda a, b: a.unionByName(b), parts)
-    return pairs.where(F.col("code").isNotNull()).groupBy("code").agg(F.collect_set("_leaf").alias("criteria"))
+    return pairs.where(F.col("code").isNotNull()).groupBy("code").agg(F.sort_array(F.collect_set("_leaf")).alias("criteria"))
 
 
 def _join_codes(df: DataFrame, code_column: str, lookup: DataFrame, how: str) -> DataFrame:
@@ -56,49 +58,49 @@ def _join_codes(df: DataFrame, code_column: str, lookup: DataFrame, how: str) ->
 
 
 def decode_criterion(idx: Column, keys: Sequence[str]) -> Column:
-    """Leaf index -> criterion id (a lookup in a literal array; NULL stays NULL).
+    """Leaf code -> criterion id (a lookup in a constant array; NULL stays NULL).
 
-    The NULL test is explicit: ``element_at`` over a literal array was seen to
-    return the last element for a NULL index.
+    ``get`` is NULL for a NULL or absent place; ``element_at`` was seen to
+    return the last element for a NULL one.
     """
-    return F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(k) for k in keys]), idx + F.lit(1)))
+    return F.get(constant(list(keys), "array<string>"), idx)
 
 
-def with_match_array(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
-    """Add ``_matched_criteria ARRAY<INT>``: indexes (into ``list(leaves)``) of every leaf the record meets.
+class LeafMatcher:
+    """All leaves of a type, ready to be matched with its records.
 
-    Leaves are carried as small integers through the shuffles and decoded to
-    their ids afterwards: a 4-byte key instead of a 36-character one.
+    ``codes`` are the numbers the leaves go by in every table up to the
+    output (default: their places in ``leaves``).
     """
-    indexed = list(enumerate(leaves.values()))
-    predicate_leaves = [(i, l) for i, l in indexed if not l.by_code]
-    code_leaves = [(i, l) for i, l in indexed if l.by_code]
-
-    empty = F.array().cast("array<int>")
-    # One small array per leaf, empty when the test fails or is NULL, joined
-    # with concat: unlike array_compact (a lambda filter), every piece here is
-    # code-generated.
-    parts: list[Column] = [
-        F.when(l.condition(), F.array(F.lit(i))).otherwise(empty) for i, l in predicate_leaves
-    ]
-
-    df = records
-    by_column: dict[str, list[tuple[int, Leaf]]] = {}
-    for i, l in code_leaves:
-        by_column.setdefault(l.code_column, []).append((i, l))
-    for j, (code_col, group) in enumerate(by_column.items()):
-        hits = f"_code_hits_{j}"
-        lookup = _code_lookup(records.sparkSession, group).withColumnRenamed("criteria", hits)
-        df = _join_codes(df, code_col, lookup, "left")
-        parts.append(F.coalesce(F.col(hits), empty))
-
-    if not parts:
-        matched = empty
-    elif len(parts) == 1:
-        matched = parts[0]
-    else:
-        matched = F.concat(*parts)
-    return df.withColumn(MATCHES, matched)
+
+    def __init__(self, records: DataFrame, leaves: Mapping[str, Leaf], codes: Sequence[int] | None = None):
+        coded = list(zip(codes if codes is not None else range(len(leaves)), leaves.values()))
+        self.records = records
+        self.patterns = Patterns(records.schema, [(i, l) for i, l in coded if not l.by_code])
+        self._by_column: dict[str, list[tuple[int, Leaf]]] = {}
+        for i, l in coded:
+            if l.by_code:
+                self._by_column.setdefault(l.code_column, []).append((i, l))
+        self._hits = [f"_code_hits_{j}" for j in range(len(self._by_column))]
+        #: Columns of a record's pattern: equal patterns hold the same leaves.
+        self.columns = [*self.patterns.columns, *self._hits]
+
+    def with_patterns(self) -> DataFrame:
+        df = self.records
+        for hits, (code_col, group) in zip(self._hits, self._by_column.items()):
+            lookup = _code_lookup(df.sparkSession, group).withColumnRenamed("criteria", hits)
+            df = _join_codes(df, code_col, lookup, "left").withColumn(hits, F.coalesce(hits, F.array().cast("array<int>")))
+        return self.patterns.add(df)
+
+    def matched(self) -> Column:
+        """Whether some leaf holds, of a row with its pattern."""
+        tests = [*self.patterns.any(), *(F.size(h) > 0 for h in self._hits)]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    def leaves(self) -> Column:
+        """Codes of the leaves that hold (ARRAY<INT>), of a row with its pattern."""
+        parts = [*self.patterns.leaves(), *(F.col(h) for h in self._hits)]
+        return F.concat(*parts) if parts else F.array().cast("array<int>")
 
 
 def criteria_matches(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
@@ -106,10 +108,9 @@ def criteria_matches(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFram
 
     Repeated record ids stay repeated; that is what term frequency counts.
     """
-    df = with_match_array(records, leaves)
-    keys = list(leaves)
-    exploded = df.select(F.explode(MATCHES).alias("_idx"), PATIENT, RECORD)
-    return exploded.select(decode_criterion(F.col("_idx"), keys).alias(CRITERION), PATIENT, RECORD)
+    matcher = LeafMatcher(records, leaves)
+    exploded = matcher.with_patterns().select(F.explode(matcher.leaves()).alias(LEAF), PATIENT, RECORD)
+    return exploded.select(decode_criterion(F.col(LEAF), list(leaves)).alias(CRITERION), PATIENT, RECORD)
 
 
 def match_codes(records: DataFrame, codes: DataFrame, code_column: str = "code") -> DataFrame:
@@ -125,40 +126,47 @@ def match_codes(records: DataFrame, codes: DataFrame, code_column: str = "code")
     return found.select(F.explode("_criteria").alias(CRITERION), PATIENT, RECORD)
 
 
-def tagged_counts(
-    records: DataFrame, leaves: Mapping[str, Leaf], keep_records: bool = True
+def coded_counts(
+    records: DataFrame, leaves: Mapping[str, Leaf], keep_records: bool = True, codes: Sequence[int] | None = None
 ) -> DataFrame:
-    """The one aggregate everything else is derived from; one scan, one shuffle.
+    """(patient_uid, leaf, record_uid, n, kind): what everything else is derived from; one scan.
+
+    * ``kind = 'length'``: one row per patient, ``n`` = its record count
+      (document length); ``leaf`` and ``record_uid`` are NULL.
+    * ``kind = 'match'``: ``n`` = how many records of the patient hold the leaf
+      (by ``record_uid``, if records are kept: repeats of an id count in tf).
+
+    ``keep_records=True`` gives each record a length tag and a tag per leaf
+    that holds and counts tags, with one shuffle; a hot patient's tags collapse
+    to one length row per map task, and its match rows stay spread over
+    partitions by record id.
+
+    ``keep_records=False`` (scores without evidence) counts records per (patient,
+    pattern) first, so what is shuffled follows the patterns a patient has, not
+    the leaves that its records hold; patterns become leaves after that, and
+    all of a patient's rows are in one partition (at most one for each of its
+    patterns).
+    """
+    matcher = LeafMatcher(records, leaves, codes)
+    df = matcher.with_patterns()
+    tags = F.concat(F.array(F.lit(None).cast("int")), matcher.leaves())
+    if keep_records:
+        exploded = df.select(PATIENT, RECORD, F.explode(tags).alias(LEAF))
+        exploded = exploded.withColumn(RECORD, F.when(F.col(LEAF).isNotNull(), F.col(RECORD)))
+        counted = exploded.groupBy(PATIENT, LEAF, RECORD).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = df.groupBy(PATIENT, *matcher.columns).agg(F.count(F.lit(1)).alias("_n"))
+        counted = counted.repartition(_partitions(records), PATIENT)
+        counted = counted.select(PATIENT, "_n", F.explode(tags).alias(LEAF)).groupBy(PATIENT, LEAF).agg(F.sum("_n").alias("n"))
+        counted = counted.withColumn(RECORD, F.lit(None).cast("string"))
+    return counted.select(PATIENT, LEAF, RECORD, "n", F.when(F.col(LEAF).isNull(), "length").otherwise("match").alias(KIND))
 
-    Each record is exploded into a *length tag* (criterion NULL) plus one tag
-    per matching leaf, then counted per (patient, criterion, record) with
-    map-side partial aggregation:
 
-    * ``criterion_uid IS NULL``: one row per patient, ``n`` = its record count
-      (document length); ``record_uid`` is NULL.
-    * otherwise: one row per distinct matching (criterion, patient, record),
-      ``n`` = how many times that record id matched (repeats count in tf).
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    A hot patient collapses to one length row per map task before the shuffle;
-    its match rows stay spread over partitions by record id.
 
-    ``keep_records=False`` (scores without evidence) counts per (patient,
-    criterion) instead: ``record_uid`` is always NULL and ``n`` of a match row
-    is already the patient's tf, so the shuffle carries one row per matched
-    pair rather than one per matching record.
-    """
-    df = with_match_array(records, leaves)
-    tags = F.concat(F.array(F.lit(None).cast("int")), F.col(MATCHES))
-    exploded = df.select(PATIENT, RECORD, F.explode(tags).alias("_idx")).select(
-        PATIENT,
-        "_idx",
-        (
-            F.when(F.col("_idx").isNotNull(), F.col(RECORD))
-            if keep_records
-            else F.lit(None).cast("string")
-        ).alias(RECORD),
-    )
-    counted = exploded.groupBy(PATIENT, "_idx", RECORD).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        PATIENT, decode_criterion(F.col("_idx"), list(leaves)).alias(CRITERION), RECORD, "n"
-    )
+def tagged_counts(records: DataFrame, leaves: Mapping[str, Leaf], keep_records: bool = True) -> DataFrame:
+    """``coded_counts`` with criterion ids: patient_uid, criterion_uid, record_uid, n."""
+    counted = coded_counts(records, leaves, keep_records)
+    return counted.select(PATIENT, decode_criterion(F.col(LEAF), list(leaves)).alias(CRITERION), RECORD, "n")

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortfold.operators.matching import CRITERION
+from cohortfold.operators.matching import CRITERION, LEAF
 from cohortfold.operators.records import PATIENT
+from cohortfold.operators.statistics import leaf_key
 from cohortfold.plans.criteria import Criterion, FoldLevel, fold_levels
 
 LEAF_SCORE_SCHEMA = T.StructType(
@@ -33,6 +34,8 @@ LEAF_SCORE_SCHEMA = T.StructType(
         T.StructField("data_source_count", T.LongType(), False),
     ]
 )
+#: The same with leaf codes in place of criterion ids.
+CODED_SCORE_SCHEMA = T.StructType([T.StructField(LEAF, T.IntegerType(), True) if f.name == CRITERION else f for f in LEAF_SCORE_SCHEMA])
 
 
 def union_all(spark: SparkSession, frames: Sequence[DataFrame], schema: T.StructType) -> DataFrame:
@@ -44,7 +47,7 @@ def union_all(spark: SparkSession, frames: Sequence[DataFrame], schema: T.Struct
 
 def cross_source_merge(leaf_scores: DataFrame) -> DataFrame:
     """Per (patient, criterion): summed score and summed source count."""
-    return leaf_scores.groupBy(PATIENT, CRITERION).agg(
+    return leaf_scores.groupBy(PATIENT, leaf_key(leaf_scores)).agg(
         F.sum("score").alias("score_sum"),
         F.sum("data_source_count").cast("bigint").alias("data_source_count"),
     )
@@ -79,19 +82,24 @@ def _fold(rows: DataFrame, level: FoldLevel) -> DataFrame:
 
 
 def cohort_scores(
-    leaf_scores: DataFrame, tree: Criterion, leaf_value: str = "mean"
+    leaf_scores: DataFrame, tree: Criterion, leaf_value: str = "mean", keys: Sequence[str] | None = None
 ) -> DataFrame:
     """(person_uid, score): one row per patient with at least one leaf score.
 
     ``leaf_value="mean"`` divides a leaf's summed score by the number of
     sources that scored it; ``"sum"`` keeps the plain sum. Rows of criteria
-    outside the tree still make their patient a cohort row.
+    outside the tree still make their patient a cohort row. With ``keys``, rows
+    name their leaf by its place in them (``leaf``), else by ``criterion_uid``.
     """
     places, levels = fold_levels(tree)
-    leaves = leaf_scores.sparkSession.createDataFrame(places, f"{CRITERION} string, node int")
+    key = leaf_key(leaf_scores)
+    if keys is not None:
+        code = {k: i for i, k in enumerate(keys)}
+        places = [(code[k], node) for k, node in places]
+    leaves = leaf_scores.sparkSession.createDataFrame(places, f"{key} {'int' if key == LEAF else 'string'}, node int")
     value = _leaf_value(F.col("score_sum"), F.col("data_source_count"), leaf_value)
     merged = cross_source_merge(leaf_scores.repartition(F.col(PATIENT)))
-    rows = merged.join(F.broadcast(leaves), CRITERION, "left")  # a row for each leaf of the tree
+    rows = merged.join(F.broadcast(leaves), key, "left")  # a row for each leaf of the tree
     inside = F.col("node").isNotNull() & value.isNotNull()
     rows = rows.select(
         PATIENT,

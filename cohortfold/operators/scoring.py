@@ -5,9 +5,11 @@ match, statistics, joins, score, evidence. Two physical plans give equal
 results:
 
 ``long`` (default)
-    One scan: ``tagged_counts`` aggregates length tags and match tags in a
-    single shuffle. tf, df, N and the average come from that table; evidence
-    rows too. Any number of leaves.
+    One scan: ``coded_counts`` aggregates lengths and matches in a single
+    shuffle. tf, df, N and the average come from that table; evidence rows too.
+    Any number of leaves. Written intermediates are bucketed by patient, with
+    lengths and matches in partitions of their own, so tf and lengths are joined
+    where they lie; leaves go by number until the output.
 
 ``wide``
     One aggregate row per patient: ``count(*)`` and one ``count_if(test_k)``
@@ -26,7 +28,7 @@ filters pushed into each branch keep Spark from reusing the exchange).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,10 +38,11 @@ from pyspark.sql import functions as F
 
 from cohortfold.functions.bm25 import BM25, TermStats
 from cohortfold.operators import statistics as st
-from cohortfold.operators.matching import CRITERION, criteria_matches, tagged_counts
+from cohortfold.operators.matching import CRITERION, KIND, LEAF, coded_counts, criteria_matches, decode_criterion
+from cohortfold.operators.predicates import constant
 from cohortfold.operators.records import PATIENT, RECORD
 from cohortfold.plans.criteria import Leaf
-from cohortfold.session import delete_path, write_intermediate
+from cohortfold.session import delete_path, write_bucketed, write_intermediate
 
 Scorer = Callable[[TermStats], Column]
 
@@ -57,26 +60,48 @@ SCORE_COLUMNS = [
 
 @dataclass(eq=False)
 class LeafScores:
-    """Result of scoring one (source, type)."""
+    """Result of scoring one (source, type). ``coded`` frames name leaves by
+    their number in ``keys``; the properties name them by criterion id."""
 
     source_id: str
     entity_type: str
-    scores: DataFrame  # SCORE_COLUMNS
-    evidence_rows: DataFrame | None  # source_id, entity_type, criterion_uid, patient_uid, record_uid
+    keys: Sequence[str]
+    coded_scores: DataFrame  # SCORE_COLUMNS, with leaf in place of criterion_uid
+    coded_evidence_rows: DataFrame | None  # source_id, entity_type, leaf, patient_uid, record_uid
     doc_len: DataFrame  # patient_uid, doc_len
     stats: DataFrame  # one row: n_docs, avg_doc_len
-    tf: DataFrame  # criterion_uid, patient_uid, tf
-    doc_freq: DataFrame  # criterion_uid, doc_freq
+    coded_tf: DataFrame  # leaf, patient_uid, tf
+    coded_doc_freq: DataFrame  # leaf, doc_freq
     _release: list[Callable[[], None]] = field(default_factory=list)
     _evidence: DataFrame | None = None
 
+    @property
+    def scores(self) -> DataFrame:
+        """``SCORE_COLUMNS``."""
+        return decoded(self.coded_scores, self.keys)
+
+    @property
+    def tf(self) -> DataFrame:
+        """criterion_uid, patient_uid, tf."""
+        return decoded(self.coded_tf, self.keys)
+
+    @property
+    def doc_freq(self) -> DataFrame:
+        """criterion_uid, doc_freq."""
+        return decoded(self.coded_doc_freq, self.keys)
+
+    @property
+    def evidence_rows(self) -> DataFrame | None:
+        """source_id, entity_type, criterion_uid, patient_uid, record_uid."""
+        return None if self.coded_evidence_rows is None else decoded(self.coded_evidence_rows, self.keys)
+
     @property
     def evidence(self) -> DataFrame:
         """Evidence rows with their score; built on first use."""
-        if self.evidence_rows is None:
+        if self.coded_evidence_rows is None:
             raise ValueError("scored with evidence=False: no record ids were kept")
         if self._evidence is None:
-            self._evidence = attach_evidence(self.evidence_rows, self.scores)
+            self._evidence = decoded(attach_evidence(self.coded_evidence_rows, self.coded_scores), self.keys)
         return self._evidence
 
     def release(self) -> None:
@@ -85,7 +110,12 @@ class LeafScores:
             self._release.pop()()
 
 
-def share(df: DataFrame, materialize: str | None, name: str, release: list) -> DataFrame:
+def decoded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Criterion ids in place of leaf codes."""
+    return df.select(*[decode_criterion(F.col(LEAF), keys).alias(CRITERION) if c == LEAF else F.col(c) for c in df.columns])
+
+
+def share(df: DataFrame, materialize: str | None, name: str, release: list, split: str | None = None) -> DataFrame:
     """Share ``df`` between several consumers as ``materialize`` says."""
     if materialize is None:
         return df
@@ -94,12 +124,21 @@ def share(df: DataFrame, materialize: str | None, name: str, release: list) -> D
         release.append(df.unpersist)
         return df
     if materialize == "write":
-        out, path = write_intermediate(df, name)
+        out, path = write_intermediate(df, name, split)
         release.append(lambda: delete_path(df.sparkSession, path))
         return out
     raise ValueError("materialize must be 'write', 'persist' or None")
 
 
+def share_terms(terms: DataFrame, materialize: str | None, release: list) -> DataFrame:
+    """``share`` for rows of (patient, leaf): written, they are bucketed by patient."""
+    if materialize != "write":
+        return share(terms, materialize, "terms", release)
+    out, delete = write_bucketed(terms, "terms", PATIENT, KIND)
+    release.append(delete)
+    return out
+
+
 def join_term_stats(
     tf: DataFrame, doc_freq: DataFrame, doc_len: DataFrame, stats: DataFrame
 ) -> DataFrame:
@@ -109,7 +148,7 @@ def join_term_stats(
     ``doc_len`` grows with the patients: the join strategy is left to AQE,
     which broadcasts a side only when its measured size allows.
     """
-    joined = tf.join(F.broadcast(doc_freq), CRITERION).join(doc_len, PATIENT)
+    joined = tf.join(F.broadcast(doc_freq), st.leaf_key(tf)).join(doc_len, PATIENT)
     return st.attach_scalars(joined, stats)
 
 
@@ -126,7 +165,7 @@ def _score_frame(
     return joined.select(
         F.lit(source_id).alias("source_id"),
         F.lit(entity_type).alias("entity_type"),
-        CRITERION,
+        LEAF,
         PATIENT,
         "tf",
         "doc_len",
@@ -141,7 +180,8 @@ def _score_frame(
 # hot-pair table is broadcast.
 
 
-EVIDENCE_KEYS = ["source_id", "entity_type", CRITERION, PATIENT]
+def _evidence_keys(df: DataFrame) -> list[str]:
+    return ["source_id", "entity_type", st.leaf_key(df), PATIENT]
 
 
 def salt_hot_pairs(
@@ -156,7 +196,7 @@ def salt_hot_pairs(
     (default: the session's shuffle partitions).
     """
     partitions = partitions or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = EVIDENCE_KEYS
+    keys = _evidence_keys(scores)
     total = scores.agg(F.sum("tf").cast("double").alias("_total"))
     per_split = F.greatest(F.col("_total") / F.lit(partitions), F.lit(1.0))
     # Key columns are never NULL; saying so keeps both uses of ``hot`` equal,
@@ -196,22 +236,10 @@ def attach_evidence(evidence: DataFrame, scores: DataFrame, partitions: int | No
     are split first (``salt_hot_pairs``).
     """
     salted_evidence, salted_scores = salt_hot_pairs(evidence, scores, partitions)
-    return salted_evidence.join(salted_scores, [*EVIDENCE_KEYS, "_salt"]).drop("_salt")
-
+    return salted_evidence.join(salted_scores, [*_evidence_keys(scores), "_salt"]).drop("_salt")
 
-def leaf_base(
-    records: DataFrame, leaves: Mapping[str, Leaf], plan: str = "long", evidence: bool = True
-) -> DataFrame:
-    """The lazy intermediate table of one (source, type); see the module notes."""
-    if plan == "long":
-        return tagged_counts(records, leaves, keep_records=evidence)
-    if plan == "wide":
-        return _wide_patient_counts(records, leaves)
-    raise ValueError("plan must be 'long' or 'wide'")
 
-
-def score_from_base(
-    base: DataFrame,
+def score_source(
     records: DataFrame,
     leaves: Mapping[str, Leaf],
     *,
@@ -219,46 +247,56 @@ def score_from_base(
     entity_type: str = "",
     scorer: Scorer | None = None,
     plan: str = "long",
-    release: list[Callable[[], None]] | None = None,
+    materialize: str | None = "write",
     evidence: bool = True,
+    keys: Sequence[str] | None = None,
+    release: list[Callable[[], None]] | None = None,
 ) -> LeafScores:
-    """Scores and evidence from an (already shared) intermediate table."""
+    """``score_leaves``, with leaves numbered as in ``keys`` (default: their order)."""
     scorer = scorer or BM25()
+    keys = list(keys if keys is not None else leaves)
+    place = {k: i for i, k in enumerate(keys)}
+    codes = [place[k] for k in leaves]
+    release = release if release is not None else []
     if plan == "long":
-        doc_len = st.doc_lengths(base)
+        base = coded_counts(records, leaves, evidence, codes)
+        evidence_rows = None
+        if evidence:
+            # Split by kind: evidence reads the matches alone.
+            base = share(base, materialize, "records", release, split=KIND)
+            evidence_rows = st.evidence_rows(base)
+            base = base.groupBy(KIND, LEAF, PATIENT).agg(F.sum("n").alias("n"))
+            if materialize == "write":
+                base = base.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), PATIENT)
+        terms = share_terms(base.select(PATIENT, LEAF, "n", KIND), materialize, release)
+        doc_len = st.doc_lengths(terms)
+        tf = st.match_rows(terms).select(LEAF, PATIENT, F.col("n").cast("bigint").alias("tf"))
+    elif plan == "wide":
+        doc_len, tf = _wide_to_long(share(_wide_patient_counts(records, leaves), materialize, "wide", release), codes)
+        evidence_rows = None
         if evidence:
-            tf = st.term_frequencies(base)
-            evidence_long = st.evidence_rows(base)
-        else:
-            # Counted per (patient, criterion) already: match rows are tf rows.
-            tf = st.match_rows(base).select(CRITERION, PATIENT, F.col("n").cast("bigint").alias("tf"))
-            evidence_long = None
+            code_of = F.get(constant(codes, "array<int>"), F.array_position(constant(list(leaves), "array<string>"), F.col(CRITERION)).cast("int") - F.lit(1))
+            evidence_rows = criteria_matches(records, leaves).dropDuplicates().select(code_of.alias(LEAF), PATIENT, RECORD)
+        terms = None
     else:
-        doc_len, tf = _wide_to_long(base, list(leaves))
-        evidence_long = criteria_matches(records, leaves).dropDuplicates() if evidence else None
-    stats = st.collection_stats(doc_len)
-    doc_freq = st.doc_frequencies(tf)
+        raise ValueError("plan must be 'long' or 'wide'")
+    if terms is not None and materialize == "write":
+        # A row for each leaf and one for the lengths: both joins below are broadcasts of it.
+        summary = share(st.term_summary(terms), materialize, "summary", release)
+        stats = summary.where(F.col(LEAF).isNull()).agg(F.coalesce(F.max("docs"), F.lit(0)).alias("n_docs"), F.max("avg_n").alias("avg_doc_len"))
+        doc_freq = summary.where(F.col(LEAF).isNotNull()).select(LEAF, F.col("docs").alias("doc_freq"))
+    else:
+        stats, doc_freq = st.collection_stats(doc_len), st.doc_frequencies(tf)
     scores = _score_frame(join_term_stats(tf, doc_freq, doc_len, stats), scorer, source_id, entity_type)
-    tagged_evidence = (
-        evidence_long.select(
-            F.lit(source_id).alias("source_id"),
-            F.lit(entity_type).alias("entity_type"),
-            CRITERION,
-            PATIENT,
-            RECORD,
-        )
-        if evidence_long is not None
-        else None
-    )
-    return LeafScores(
-        source_id, entity_type, scores, tagged_evidence, doc_len, stats, tf, doc_freq,
-        release if release is not None else [],
-    )
+    if evidence_rows is not None:
+        named = [F.lit(source_id).alias("source_id"), F.lit(entity_type).alias("entity_type")]
+        evidence_rows = evidence_rows.select(*named, LEAF, PATIENT, RECORD)
+    return LeafScores(source_id, entity_type, keys, scores, evidence_rows, doc_len, stats, tf, doc_freq, release)
 
 
 def with_shared_scores(part: LeafScores, scores: DataFrame) -> LeafScores:
-    """Point a part at a materialised copy of its scores (evidence joins it too)."""
-    part.scores = scores
+    """Point a part at a materialised copy of its (coded) scores (evidence joins it too)."""
+    part.coded_scores = scores
     part._evidence = None
     return part
 
@@ -276,17 +314,14 @@ def score_leaves(
 ) -> LeafScores:
     """Score every leaf of one entity type against one source's records.
 
-    The intermediate table is written to the shared folder by default (call
-    ``release()`` after use). ``evidence=False`` keeps no record ids: the
-    shuffle then carries one row per matched (criterion, patient) instead of
-    one per matching record, and ``.evidence`` is unavailable.
+    Intermediate tables are written to the shared folder by default (call
+    ``release()`` after use). ``evidence=False`` keeps no record ids: records
+    are counted by patient and pattern, and ``.evidence`` is unavailable.
     ``plan="wide"`` is the caller's choice for a handful of predicate leaves.
     """
-    release: list[Callable[[], None]] = []
-    base = share(leaf_base(records, leaves, plan, evidence), materialize, f"{plan}_base", release)
-    return score_from_base(
-        base, records, leaves, source_id=source_id, entity_type=entity_type,
-        scorer=scorer, plan=plan, release=release, evidence=evidence,
+    return score_source(
+        records, leaves, source_id=source_id, entity_type=entity_type, scorer=scorer, plan=plan,
+        materialize=materialize, evidence=evidence,
     )
 
 
@@ -301,22 +336,10 @@ def _wide_patient_counts(records: DataFrame, leaves: Mapping[str, Leaf]) -> Data
     return records.groupBy(PATIENT).agg(F.count(F.lit(1)).alias("doc_len"), *counts)
 
 
-def _wide_to_long(per_patient: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _wide_to_long(per_patient: DataFrame, codes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     doc_len = per_patient.select(PATIENT, "doc_len")
-    if not keys:
-        empty = per_patient.select(
-            F.lit(None).cast("string").alias(CRITERION), PATIENT, F.lit(0).cast("bigint").alias("tf")
-        ).where(F.lit(False))
-        return doc_len, empty
-    pairs = F.array(
-        *[
-            F.struct(F.lit(k).alias(CRITERION), F.col(f"_tf{i}").alias("tf"))
-            for i, k in enumerate(keys)
-        ]
-    )
-    tf = (
-        per_patient.select(PATIENT, F.inline(pairs))
-        .where(F.col("tf") > 0)
-        .select(CRITERION, PATIENT, F.col("tf").cast("bigint").alias("tf"))
-    )
-    return doc_len, tf
+    if not codes:
+        return doc_len, per_patient.select(F.lit(None).cast("int").alias(LEAF), PATIENT, F.lit(0).cast("bigint").alias("tf")).where(F.lit(False))
+    pairs = F.array(*[F.struct(F.lit(code).alias(LEAF), F.col(f"_tf{i}").alias("tf")) for i, code in enumerate(codes)])
+    tf = per_patient.select(PATIENT, F.inline(pairs)).where(F.col("tf") > 0)
+    return doc_len, tf.select(LEAF, PATIENT, F.col("tf").cast("bigint").alias("tf"))

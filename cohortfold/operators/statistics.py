@@ -20,19 +20,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortfold.operators.matching import CRITERION
+from cohortfold.operators.matching import CRITERION, KIND, LEAF
 from cohortfold.operators.records import PATIENT, RECORD
 
 
+def leaf_key(df: DataFrame) -> str:
+    """The column that names leaves: their code, or their id once decoded."""
+    return LEAF if LEAF in df.columns else CRITERION
+
+
 def length_rows(base: DataFrame) -> DataFrame:
-    return base.where(F.col(CRITERION).isNull() & F.col(PATIENT).isNotNull())
+    # A written base holds its kinds in partitions of their own: only one is read.
+    kind = F.col(KIND) == "length" if KIND in base.columns else F.col(leaf_key(base)).isNull()
+    return base.where(kind & F.col(PATIENT).isNotNull())
 
 
 def match_rows(base: DataFrame) -> DataFrame:
     # The patient test is implied (ids are validated) but spelled out: joins
     # on the patient would infer it on one branch only, and the tf exchange
     # used by both the join and the df count would then not be reused.
-    return base.where(F.col(CRITERION).isNotNull() & F.col(PATIENT).isNotNull())
+    kind = F.col(KIND) == "match" if KIND in base.columns else F.col(leaf_key(base)).isNotNull()
+    return base.where(kind & F.col(PATIENT).isNotNull())
 
 
 def doc_lengths(base: DataFrame) -> DataFrame:
@@ -50,14 +58,14 @@ def collection_stats(doc_len: DataFrame) -> DataFrame:
 
 def distinct_pairs(base: DataFrame) -> DataFrame:
     """Distinct (criterion_uid, patient_uid) with at least one match (A4)."""
-    return match_rows(base).select(CRITERION, PATIENT).dropDuplicates()
+    return match_rows(base).select(leaf_key(base), PATIENT).dropDuplicates()
 
 
 def term_frequencies(base: DataFrame) -> DataFrame:
     """(criterion_uid, patient_uid, tf BIGINT)."""
     return (
         match_rows(base)
-        .groupBy(CRITERION, PATIENT)
+        .groupBy(leaf_key(base), PATIENT)
         .agg(F.sum("n").cast("bigint").alias("tf"))
     )
 
@@ -67,7 +75,7 @@ def doc_frequencies(tf: DataFrame) -> DataFrame:
 
     At most one row per leaf of the type, so its size is bounded by the query.
     """
-    return tf.groupBy(CRITERION).agg(F.count(F.lit(1)).alias("doc_freq"))
+    return tf.groupBy(leaf_key(tf)).agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def evidence_rows(base: DataFrame) -> DataFrame:
@@ -76,7 +84,13 @@ def evidence_rows(base: DataFrame) -> DataFrame:
     Long rows, never one array per patient: a heavy patient's evidence stays
     spread over many partitions.
     """
-    return match_rows(base).select(CRITERION, PATIENT, RECORD)
+    return match_rows(base).select(leaf_key(base), PATIENT, RECORD)
+
+
+def term_summary(terms: DataFrame) -> DataFrame:
+    """(leaf, docs BIGINT, avg_n DOUBLE) in one pass over length and tf rows: of
+    a leaf, its document frequency; of the NULL leaf, N and the average length."""
+    return terms.groupBy(LEAF).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.col("n").cast("double")).alias("avg_n"))
 
 
 def attach_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:

@@ -29,17 +29,17 @@ from pyspark.sql import types as T
 
 from cohortfold.functions.ids import normalize_uid
 from cohortfold.operators.matching import CRITERION
-from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cohort_scores, union_all
+from cohortfold.operators.merge import CODED_SCORE_SCHEMA, cohort_scores, union_all
 from cohortfold.operators.records import PATIENT, RECORD, RecordSource, select_sources
 from cohortfold.operators.scoring import (
     LeafScores,
     attach_evidence,
-    leaf_base,
-    score_from_base,
+    decoded,
+    score_source,
     share,
     with_shared_scores,
 )
-from cohortfold.plans.criteria import Criterion, leaves_by_type
+from cohortfold.plans.criteria import Criterion, leaf_keys, leaves_by_type
 
 COHORT_SCHEMA = T.StructType(
     [
@@ -146,6 +146,7 @@ def run_cohort_job(
     the jobs of the others are cancelled.
     """
     chosen = select_sources(sources, enabled_sources)
+    keys = leaf_keys(tree)  # leaves go by their place here until the outputs
     specs = [
         (src, entity_type, leaves)
         for entity_type, leaves in leaves_by_type(tree).items()
@@ -154,18 +155,17 @@ def run_cohort_job(
     ]
 
     def build(spec: tuple[RecordSource, str, dict]) -> LeafScores:
-        # One source's whole pipeline: its intermediate table, then its
-        # scores, both shared (both outputs read the scores).
+        # One source's whole pipeline: its intermediate tables, then its
+        # scores, all shared (both outputs read the scores).
         src, entity_type, leaves = spec
         release: list = []
         try:
-            base = share(leaf_base(src.records, leaves, plan, evidence), materialize, f"{plan}_base", release)
-            part = score_from_base(
-                base, src.records, leaves, source_id=src.source_id, entity_type=entity_type,
-                scorer=scorer, plan=plan, release=release, evidence=evidence,
+            part = score_source(
+                src.records, leaves, source_id=src.source_id, entity_type=entity_type, scorer=scorer,
+                plan=plan, materialize=materialize, evidence=evidence, keys=keys, release=release,
             )
             if materialize is not None:
-                part = with_shared_scores(part, share(part.scores, materialize, "scores", release))
+                part = with_shared_scores(part, share(part.coded_scores, materialize, "scores", release))
             return part
         except BaseException:
             for undo in reversed(release):
@@ -200,16 +200,17 @@ def run_cohort_job(
         parts: list[LeafScores] = [f.result() for f in futures]
     else:
         parts = [build(spec) for spec in specs]
-    leaf_scores = union_all(spark, [p.scores for p in parts], LEAF_SCORE_SCHEMA)
+    leaf_scores = union_all(spark, [p.coded_scores for p in parts], CODED_SCORE_SCHEMA)
     # One evidence join for all sources (the keys carry source and type): one
     # hot-pair table and one shuffle instead of one per source.
     evidence_long = None
     if parts and evidence:
         evidence_long = attach_evidence(
-            reduce(lambda a, b: a.unionByName(b), [p.evidence_rows for p in parts]), leaf_scores
+            reduce(lambda a, b: a.unionByName(b), [p.coded_evidence_rows for p in parts]), leaf_scores
         )
+        evidence_long = decoded(evidence_long, keys)
     elif evidence:
         evidence_long = spark.createDataFrame([], EVIDENCE_LONG_SCHEMA)
-    cohort = cohort_output(cohort_scores(leaf_scores, tree, leaf_value), job_uid)
+    cohort = cohort_output(cohort_scores(leaf_scores, tree, leaf_value, keys), job_uid)
     found = evidence_output(evidence_long, job_uid) if evidence else None
-    return CohortResult(normalize_uid(job_uid), leaf_scores, cohort, found, parts)
+    return CohortResult(normalize_uid(job_uid), decoded(leaf_scores, keys), cohort, found, parts)

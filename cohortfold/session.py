@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,17 +67,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def write_intermediate(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_intermediate(df: DataFrame, name: str, split: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
+    ``split`` names a column whose values become partitions of the files.
     This cuts lineage: later actions read the written table instead of
     recomputing the plan (and rescanning the sources) after a lost executor.
     Returns the re-read DataFrame and the path, so callers can delete it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cohortfold/{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), path
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(split) if split else writer).parquet(path)
+    # The written schema, not one read back: no file has to say it.
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, split: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` bucketed by ``key`` and partitioned by ``split`` under the
+    checkpoint folder, and read it back as a catalog table.
+
+    Joins and aggregates on ``key`` over the result need no shuffle; a filter on
+    ``split`` reads that partition alone. ``df`` is best partitioned by ``key``
+    into as many partitions as the session shuffles into: then a task writes one
+    bucket. Returns the table's rows and how to delete it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cohortfold/{uuid.uuid4().hex}/{name}"
+    table = f"cohortfold_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).partitionBy(split).bucketBy(buckets, key).saveAsTable(table)
+
+    def delete() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_path(spark, path)
+
+    return spark.table(table), delete
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
