@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 
 from cohortfold.functions.bm25 import BM25, TfIdf
 from cohortfold.operators import statistics as st
+from cohortfold.operators.hierarchy import CodeHierarchy
 from cohortfold.operators.matching import criteria_matches
 from cohortfold.operators.merge import LEAF_SCORE_SCHEMA, cross_source_merge, union_all
 from cohortfold.operators.records import (
+    RecordMapping,
+    map_records,
     patient_keys,
     rebalance,
     select_sources,
@@ -172,6 +175,62 @@ def q_bm25_code_table_scores(spark, sf_dir):
     return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
 
 
+# Codes below a root: region -> nation -> customer, with edges that run back up.
+UNDER = {"c0de7ee0-0001-4bbb-8ccc-ddddeeeeffff": ["R1"], "c0de7ee0-0002-4bbb-8ccc-ddddeeeeffff": ["N3", "N7", "no such code"]}
+
+
+def q_code_hierarchy_scores(spark, sf_dir):
+    # Suppliers scored by their lines for customers at or below the roots.
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("concat('R', n_regionkey) AS parent", "concat('N', n_nationkey) AS child")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('N', c_nationkey) AS parent", "concat('C', c_custkey) AS child")
+    back = nation.where("child = 'N3'").selectExpr("child AS parent", "child").unionByName(
+        customer.where("child LIKE 'C%9'").selectExpr("child AS parent", "parent AS child")
+    )
+    edges = nation.unionByName(customer).unionByName(back)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(
+        spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    records = map_records(lines, RecordMapping("l_suppkey", "concat_ws('-', l_orderkey, l_linenumber)", {"code": "concat('C', o_custkey)"}))
+    leaves = CodeHierarchy(edges).leaves(spark, "line", UNDER)
+    part = score_leaves(records, _leaves(*leaves), source_id="lines", entity_type="line", evidence=False)
+    return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
+
+
+# A leaf of each comparison that is looked up in the index over its column, and one that is not.
+INDEXED = [
+    "value > 150000", "value >= 901", "value < 20000.5", "value <= 901", "value = 901", "value <> 901", "value BETWEEN 1000 AND 90000.25",
+    "value IN (901, 902.01, 5000)", "code = '1-URGENT'", "code <> '5-LOW'", "code >= '3-MEDIUM'", "code IN ('2-HIGH', 'none')",
+    "status != 'F'", "value > 100000 AND status = 'O'",
+]
+INDEX_LEAVES = [Leaf(f"1dec5000-0000-4000-8000-{k:012d}", "order", p) for k, p in enumerate(INDEXED)]
+
+
+def q_criteria_match_index(spark, sf_dir):
+    return criteria_matches(order_records_a(spark, sf_dir), _leaves(*INDEX_LEAVES))
+
+
+def q_nested_projection(spark, sf_dir):
+    # S2 at depth: fields declared in another order, type and case than they come in, some not at all.
+    flagged = F.struct("l_returnflag", "l_linestatus", F.col("l_quantity").alias("q.ty"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", F.array(F.struct("l_linenumber", flagged.alias("l_flags"))).alias("lines"),
+        F.create_map("l_linenumber", F.struct(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("off"))).alias("prices"),
+    )
+    flags = T.StructType([T.StructField("q.ty", T.IntegerType()), T.StructField("L_LINESTATUS", T.StringType()), T.StructField("l_returnflag", T.StringType())])
+    line = T.StructType([T.StructField("l_flags", flags), T.StructField("l_linenumber", T.StringType())])
+    price = T.StructType([T.StructField("off", T.DoubleType()), T.StructField("price", T.DoubleType())])
+    declared = T.StructType([
+        T.StructField("prices", T.MapType(T.StringType(), price)), T.StructField("lines", T.ArrayType(line)), T.StructField("l_orderkey", T.StringType()),
+    ])
+    shaped = typed_projection(lines, declared).select("l_orderkey", F.explode("lines").alias("line"), "prices")
+    entry_of = F.element_at("prices", F.col("line.l_linenumber"))
+    return shaped.select(
+        "l_orderkey", F.col("line.l_linenumber").alias("line_number"), F.col("line.l_flags.`q.ty`").alias("quantity"),
+        F.col("line.l_flags.L_LINESTATUS").alias("status"), F.col("line.l_flags.l_returnflag").alias("flag"),
+        entry_of.getField("price").alias("price"), entry_of.getField("off").alias("off"),
+    )
+
+
 SCAN_SQL = """
 SELECT o_custkey, count(*) AS n_orders, max(o_orderkey) AS last_key, count(DISTINCT o_orderpriority) AS n_priorities
 FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
@@ -477,6 +536,9 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rebalance": q_rebalance,
         "criteria_match": q_criteria_match,
         "criteria_match_codes": q_criteria_match_codes,
+        "criteria_match_index": q_criteria_match_index,
+        "code_hierarchy_scores": q_code_hierarchy_scores,
+        "nested_projection": q_nested_projection,
         "source_filter": q_source_filter,
         "collection_size": q_collection_size,
         "doc_length": q_doc_length,
@@ -664,6 +726,28 @@ SELECT CAST(user_id AS VARCHAR) AS patient_uid, CAST(event_id AS VARCHAR) AS rec
 SELECT p AS patient_uid, r AS record_uid, code, status, val AS value FROM rec WHERE src = 'a' AND t = 'order'""",
         "criteria_match": b_with
         + "SELECT c AS criterion_uid, p AS patient_uid, r AS record_uid FROM m WHERE src = 'b'",
+        "criteria_match_index": "WITH " + _REC.strip() + "\n" + "\nUNION ALL ".join(
+            f"SELECT '{leaf.key}' AS criterion_uid, p AS patient_uid, r AS record_uid FROM rec WHERE src = 'a' AND t = 'order' AND ({leaf.predicate.replace('value', 'val')})"
+            for leaf in INDEX_LEAVES
+        ),
+        "code_hierarchy_scores": f"""
+WITH RECURSIVE edges AS (
+  SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation
+  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
+  UNION ALL SELECT 'N3', 'N3' FROM nation WHERE n_nationkey = 3
+  UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer WHERE ('C' || c_custkey) LIKE 'C%9'),
+below(c, code) AS (
+  SELECT * FROM (VALUES {', '.join(f"('{uid.upper()}', '{code}')" for uid, codes in UNDER.items() for code in codes)}) v(c, code)
+  UNION SELECT c, child FROM below JOIN edges ON code = parent),
+rec AS (
+  SELECT 'lines' AS src, 'line' AS t, CAST(l_suppkey AS VARCHAR) AS p, 'C' || o_custkey AS code
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT rec.*, c FROM rec JOIN below USING (code)),{_stats_ctes()}
+SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score FROM s""",
+        "nested_projection": """
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS line_number, CAST(trunc(l_quantity) AS INTEGER) AS quantity,
+  l_linestatus AS status, l_returnflag AS flag, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_discount AS DOUBLE) AS off
+FROM lineitem""",
         "criteria_match_codes": _with([CODES_1, CODES_2])
         + "SELECT c AS criterion_uid, p AS patient_uid, r AS record_uid FROM m WHERE src = 'b'",
         "source_filter": "WITH " + _REC.strip() + """

@@ -96,26 +96,65 @@ def patient_keys(records: DataFrame) -> DataFrame:
     return records.select(PATIENT, RECORD)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _field(fields: Sequence[T.StructField], name: str, path: str) -> T.StructField:
+    """The one field of that name, in whatever case."""
+    found = [f for f in fields if f.name.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"columns {'missing from' if not found else 'ambiguous in'} source: {[path + name]}")
+    return found[0]
+
+
+def _shaped(value: Column, have: T.DataType, want: T.DataType, path: str) -> Column:
+    """``value`` as type ``want``; structs by field name at every depth."""
+    if have == want:
+        return value
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        parts = []
+        for f in want.fields:
+            found = _field(have.fields, f.name, path)
+            parts.append(_shaped(value.getField(found.name), found.dataType, f.dataType, f"{path}{f.name}.").alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(value, lambda x: _shaped(x, have.elementType, want.elementType, path))
+    if isinstance(want, T.MapType) and isinstance(have, T.MapType):
+        entry = lambda e: F.struct(
+            _shaped(e.getField("key"), have.keyType, want.keyType, path).alias("key"),
+            _shaped(e.getField("value"), have.valueType, want.valueType, path).alias("value"),
+        )
+        return F.map_from_entries(F.transform(F.map_entries(value), entry))
+    return value.cast(want)
+
+
 def typed_projection(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast to a declared schema (S2); fail on missing columns.
 
-    Unlike the original row mapper, DECIMAL stays exact and SQL NULL stays
-    NULL (it read primitives without checking ``wasNull``).
+    Columns go by name, and so do the fields of structs, however deep and
+    inside arrays and maps too: order does not matter, undeclared fields are
+    not read, one that is missing or there twice is named by its path. Names are
+    not case-sensitive. Unlike the original row mapper, DECIMAL stays
+    exact and SQL NULL stays NULL (it read primitives without checking
+    ``wasNull``).
     """
-    have = {f.name.lower(): f.name for f in df.schema.fields}
-    missing = [f.name for f in schema.fields if f.name.lower() not in have]
+    missing = [f.name for f in schema.fields if f.name.lower() not in {g.name.lower() for g in df.schema.fields}]
     if missing:
         raise ValueError(f"columns missing from source: {missing}")
-    return df.select(
-        *[F.col(have[f.name.lower()]).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+    out = []
+    for f in schema.fields:
+        found = _field(df.schema.fields, f.name, "")
+        out.append(_shaped(F.col(quoted(found.name)), found.dataType, f.dataType, f"{f.name}.").alias(f.name))
+    return df.select(*out)
 
 
 def parsed_projection(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``typed_projection`` of text cells: one that does not parse fails its task."""
 
     def parsed(f: T.StructField) -> Column:
-        cell = F.col(f"`{f.name}`")
+        cell = F.col(quoted(f.name))
         value = cell.try_cast(f.dataType)
         bad = F.raise_error(F.concat(F.lit(f"cohortfold: {f.name} does not parse: "), cell)).cast(f.dataType)
         return F.when(cell.isNotNull() & value.isNull(), bad).otherwise(value).alias(f.name)

@@ -120,6 +120,12 @@ class CohortResult:
             done = sorted(set(jobs) - set(failed))
             raise RuntimeError(f"not written: {sorted(failed)}; written: {done}") from next(iter(failed.values()))
 
+    def publish(self, connection, cohort_table: str = "cohort", evidence_table: str = "evidence") -> None:
+        """Make both tables' rows of this job appear together, and once, however
+        often this is called or dies on the way (``publish`` of the connection)."""
+        tables = {cohort_table: self.cohort, evidence_table: self.evidence}
+        connection.publish(self.cohort.sparkSession, self.job_uid, {t: df for t, df in tables.items() if df is not None})
+
     def release(self) -> None:
         for part in self.parts:
             part.release()
