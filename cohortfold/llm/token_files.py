@@ -23,17 +23,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortfold.llm.shared import map_arrow, parallelism
-from cohortfold.llm.words import slices
+from cohortfold.llm.words import mix, slices, utf8
 
 END_ID = 0
-#: Distinct words, and pieces of them, whose ids a Python worker remembers.
-REMEMBERED = 800_000
+#: Bytes, about, of the strings and ids that a Python worker remembers.
+REMEMBERED = 96 << 20
+#: Bytes of text that are split at a time, inside a text too, and strings that are encoded in one call.
+_CHUNK = 2 << 20
+_CALL = 1 << 14
+#: What a remembered string takes besides its characters.
+_ENTRY = 180
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 _FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -44,34 +48,87 @@ _FILE_OPTIONS = {
     "parquet.enable.dictionary#ids.list.element": "true",
     "compression": "zstd",
 }
-# Fixed value: how byte-level BPE splits a text into pieces.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-#: A word of letters with one of these behind it is two pieces.
-_STOPS = frozenset(".,;:!?")
-#: White space, a space, and white space or the end: there a word's ids depend on its neighbours.
-_JOINED_SPACE = re.compile(r"\s (?:\s|$)")
-
-
-class _Codes(dict):
-    """Numbers words as they are met."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        self.new.append(word)
-        return code
+# Fixed value: how byte-level BPE splits a text into pieces. Of one that is
+# letters, with a space or without, or one of these stops, there is nothing to split.
+_STOPS = ".,;:!?"
+_IS_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_STOP[[ord(c) for c in _STOPS]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+# White space beyond ASCII, by its two or three bytes of UTF-8.
+_WIDE_SPACE = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))))
+_rng = np.random.default_rng(0x70CE)
+_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_POWERS = np.cumprod(np.full(1 << 8, np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _is_wide_space(b0: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Whether the bytes end (b1 b2, or b0 b1 b2) with wide white space."""
+    two = (b1.astype(np.int64) << 8) | b2
+    return np.isin(two, _WIDE_SPACE) | np.isin((b0.astype(np.int64) << 16) | two, _WIDE_SPACE)
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where strings begin that the tokenizer never joins: at each text, at a
+    space or line feed between two characters that are not white space, after
+    such a line feed, and at one of ``_STOPS`` after a letter of ASCII."""
+    ends = np.zeros(len(data) + 1, bool)
+    ends[offsets] = True
+    padded = np.concatenate([np.full(3, 0x20, np.uint8), data, np.full(3, 0x20, np.uint8)])
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    # Neighbours in the same text only.
+    at = at[~_SPACE[padded[at + 2]] & ~_SPACE[padded[at + 4]] & ~ends[at] & ~ends[at + 1]]
+    high = (padded[at + 2] >= 0x80) | (padded[at + 4] >= 0x80)
+    wide = at[high] + 3
+    zero = np.zeros(len(wide), np.uint8)
+    odd = _is_wide_space(padded[wide - 3], padded[wide - 2], padded[wide - 1])
+    odd |= _is_wide_space(zero, padded[wide + 1], padded[wide + 2]) | _is_wide_space(padded[wide + 1], padded[wide + 2], padded[wide + 3])
+    high[high] = odd
+    at = at[~high]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets[:-1]] = True
+    begins[at] = True
+    begins[at[data[at] == 0x0A] + 1] = True
+    begins[1:-1] |= _IS_STOP[data[1:]] & _LETTER[data[:-1]]
+    return np.flatnonzero(begins[:-1])
+
+
+def _equal_strings(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings that follow one another and fill ``data``: one place of each
+    that differs, and for every string which of these it is."""
+    size = np.diff(np.append(start, len(data)))
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(start.astype(np.int32), size)
+    codes = _BYTE_CODE[data] * _POWERS[place & 0xFF]
+    if size.max() > 256:
+        codes *= mix((place >> 8).astype(np.uint64)) | np.uint64(1)
+    _, first, which = np.unique(mix(np.add.reduceat(codes, start) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    # Equal hashes: the same bytes? Those that are not stand for themselves.
+    like = first[which]
+    place += np.repeat(start[like].astype(np.int32), size)
+    np.minimum(place, len(data) - 1, out=place)
+    unlike = np.flatnonzero(data != data[place])
+    differs = size != size[like]
+    differs[np.searchsorted(start, unlike, side="right") - 1] = True
+    if differs.any():
+        alone = np.flatnonzero(differs)
+        which[alone] = len(first) + np.arange(len(alone))
+        first = np.append(first, alone)
+    return first, which
 
 
 class _Ids:
-    """Ids of numbered strings, one after another."""
+    """Ids of strings: of each its number, and all ids in a row by number."""
 
     def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.size, self.flat, self.at = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def add(self, size: np.ndarray, flat: np.ndarray) -> None:
+    def add(self, strings: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
+        self.bytes += sum(map(len, strings)) + _ENTRY * len(strings) + 4 * len(flat)
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         self.at = np.cumsum(self.size) - self.size
 
@@ -86,63 +143,85 @@ class _Ids:
 class Encoder:
     """Ids of texts, as the tokenizer gives them, with each word encoded once.
 
-    A byte-level BPE splits a text before it merges, and always before a single
-    space that a word follows; so a text's ids are those of its words (each
-    with its space) in turn, and a word's those of its pieces. Texts with runs
-    of white space that defy this are encoded whole, and so are texts that hold
-    an added token, which the tokenizer cuts out before it splits.
+    A byte-level BPE splits a text before it merges, always at certain places
+    (``_starts``); so a text's ids are those of its strings between them. Equal
+    strings of a chunk are found by a hash of their bytes and compared byte by
+    byte; each is encoded once, and remembered within ``REMEMBERED`` bytes. A
+    text is never encoded in one piece, unless an added token has white space
+    in it or takes some from its neighbours: then texts that hold it are.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, remembered: int = REMEMBERED, chunk: int = _CHUNK):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        #: Texts that hold one of these are not split at words.
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        #: The same merges for pieces that are split already.
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        #: Tokens that reach beyond a string, and whether one could be cut by ``_starts`` or hold letters only.
+        self._reaching = [t.content for t in added if t.lstrip or t.rstrip or t.single_word or re.search(rf"\s|[A-Za-z][{_STOPS}]", t.content)]
+        self._plain_added = {t.content for t in added if t.content.strip().isalpha()}
+        #: The same merges for strings that are pieces already.
         self._merger = Tokenizer(self.tokenizer.model)
         self._merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.codes, self.word_ids = _Codes(), _Ids()
-        self.pieces, self.piece_ids = _Codes(), _Ids()
-
-    def _learn(self) -> None:
-        """Encode the words, and of them the pieces, that are new."""
-        split = [(" " + w,) if w.isalpha() else (" " + w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else _PIECES(" " + w) for w in self.codes.new]
-        self.codes.new.clear()
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
-        if self.pieces.new:
-            found = self._merger.encode(self.pieces.new, is_pretokenized=True, add_special_tokens=False)
-            size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(self.pieces.new))
-            self.piece_ids.add(size, np.array(found.ids, np.int32))
-            self.pieces.new.clear()
-        size, flat = self.piece_ids.of(numbers)
-        self.word_ids.add(np.add.reduceat(size, np.cumsum(count) - count), flat)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        self._remembered, self._chunk = remembered, chunk
+        self._known = _Ids()
+
+    def _learn(self, strings: list[bytes]) -> None:
+        """Encode strings that are new."""
+        text = [s.decode() for s in strings]
+        simple = [t in _STOPS or (t[1:] if t[:1] == " " else t).isalpha() for t in text]
+        if self._plain_added:
+            simple = [s and not any(a in t for a in self._plain_added) for s, t in zip(simple, text)]
+        for lo in range(0, len(text), _CALL):
+            some, are = text[lo:lo + _CALL], simple[lo:lo + _CALL]
+            size = np.zeros(len(some), np.int64)
+            flat: list[list[int]] = []
+            one = [t for t, s in zip(some, are) if s]
+            if one:
+                found = self._merger.encode(one, is_pretokenized=True, add_special_tokens=False)
+                size[are] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(one))
+                flat.append(found.ids)
+            rest = self.tokenizer.encode_batch([t for t, s in zip(some, are) if not s], add_special_tokens=False)
+            size[~np.array(are)] = [len(e.ids) for e in rest]
+            flat += [e.ids for e in rest]
+            order = [strings[lo + i] for w in (True, False) for i, s in enumerate(are) if s is w]
+            self._known.add(order, np.concatenate([size[are], size[~np.array(are)]]), np.array(list(chain.from_iterable(flat)), np.int32))
+
+    def _chunk_ids(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes, and all ids in a row, of the strings that fill ``data``."""
+        if self._known.bytes > self._remembered:
+            self._known = _Ids()
+        first, which = _equal_strings(data, start)
+        raw, end = data.tobytes(), np.append(start[1:], len(data))
+        strings = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        if new := [s for s in dict.fromkeys(strings) if s not in self._known.number]:
+            self._learn(new)
+        return self._known.of(np.fromiter(map(self._known.number.__getitem__, strings), np.int64, len(strings))[which])
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids in a row. A null is an empty text."""
+        data, offsets = utf8(column)
+        size, ids = np.zeros(len(offsets) - 1, np.int64), []
+        start = _starts(data, offsets)
+        cuts = np.searchsorted(start, np.arange(self._chunk, len(data), self._chunk))
+        bounds = np.unique(np.concatenate([[0], cuts, [len(start)]]))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            a, b = start[lo], start[hi] if hi < len(start) else len(data)
+            sizes, flat = self._chunk_ids(data[a:b], start[lo:hi] - a)
+            size += np.bincount(np.searchsorted(offsets, start[lo:hi], side="right") - 1, sizes, len(size)).astype(np.int64)
+            ids.append(flat)
+        ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        for token in self._reaching:
+            for i in [k for k, text in enumerate(column.to_pylist()) if text and token in text]:
+                own = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.int32)
+                at = int(size[:i].sum())
+                ids = np.concatenate([ids[:at], own, ids[at + size[i]:]])
+                size[i] = len(own)
+        return size, ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > REMEMBERED:
-            self.codes, self.word_ids = _Codes(), _Ids()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces, self.piece_ids = _Codes(), _Ids()
-        whole = lambda t: _JOINED_SPACE.search(t) or self._added and self._added.search(t)
-        split = [None if whole(t) else t.split(" ") for t in texts]
-        number = self.codes.__getitem__
-        codes = [None if s is None else np.fromiter(map(number, s[1:]), np.int64, len(s) - 1) for s in split]
-        if self.codes.new:
-            self._learn()
-        out = []
-        for text, words, c in zip(texts, split, codes):
-            if words is None:
-                out.append(self._whole(text))
-            else:
-                rest = self.word_ids.of(c)[1]
-                out.append(np.concatenate([self._whole(words[0]), rest]) if words[0] else rest)
-        return out
+        size, ids = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(size)[:-1]) if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -155,13 +234,13 @@ def _encoding(file: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = _encoder(file), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                ids = encoder.encode(piece.column("text").fill_null("").to_pylist())
-                size = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
-                flat = np.concatenate([y for x in ids for y in (x, np.array([END_ID], np.int32))])
+            for piece in slices(batch, "text", _CHUNK):
+                size, ids = encoder.encode_column(piece.column("text"))
+                flat = np.insert(ids, np.cumsum(size), np.int32(END_ID))
+                size += 1
                 upto = np.cumsum(size)
                 yield pa.record_batch([
-                    piece.column("doc_id").cast(pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + upto - size),
+                    piece.column("doc_id").cast(pa.int64()), pa.array(np.full(len(size), part, np.int32)), pa.array(start + upto - size),
                     pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(np.append(0, upto).astype(np.int32), flat),
                 ], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 start += int(upto[-1])

@@ -13,18 +13,40 @@ FILE = queries.tokenizer_file()
 SF = "/root/testdata/sf0.001"
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab'sé1!日 \n\t\x0b\x1c\x85\u00a0\u2003😀")), max_size=30), max_size=6))
-def test_encoder_equals_the_tokenizer(texts):
-    encoder = token_files._encoder(FILE)
-    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-def test_encoder_forgets(monkeypatch):
-    encoder = token_files.Encoder(FILE)
-    monkeypatch.setattr(token_files, "REMEMBERED", 3)
-    for text in ("a b c d e f", "a b <|endoftext|> c", "it's they'll 12 x  y"):
-        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab's.,!é1!日 \n\t\x0b\x1c\x85\u00a0\u2003\u2028😀")), max_size=30), max_size=6), st.sampled_from([1, 7, 1 << 20]))
+def test_encoder_equals_the_tokenizer(texts, chunk):
+    encoder = token_files.Encoder.__new__(token_files.Encoder)
+    encoder.__dict__ |= token_files._encoder(FILE).__dict__ | {"_chunk": chunk}
+    fresh = tokenizers.Tokenizer.from_file(FILE)
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("remembered", [0, 2000, 1 << 20])
+def test_encoder_forgets(remembered):
+    encoder = token_files.Encoder(FILE, remembered=remembered, chunk=50)
+    fresh = tokenizers.Tokenizer.from_file(FILE)
+    words = [f"w{i}x" for i in range(3000)]
+    for text in ("a b c d e f", "a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|>\n\n<|endoftext|>", "it's they'll 12 x  y", " ".join(words), "Zoë. " * 50):
+        assert encoder.encode([text, None, text])[0].tolist() == fresh.encode(text, add_special_tokens=False).ids
+        if remembered < 1 << 20:
+            assert encoder._known.bytes <= remembered + 50 * (token_files._ENTRY + 20)  # that of one chunk more
+
+
+def test_equal_hashes_are_compared_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "_BYTE_CODE", np.ones(256, np.uint64))
+    fresh = tokenizers.Tokenizer.from_file(FILE)
+    text = "ab ba cab abc ab bb\nab ba. ab, é ab"
+    assert token_files.Encoder(FILE).encode([text, text[::-1]])[0].tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_that_reach_their_neighbours_or_hold_letters_only(tmp_path):
+    own = tokenizers.Tokenizer.from_file(FILE)
+    own.add_tokens([tokenizers.AddedToken("ponies", normalized=False), tokenizers.AddedToken("a. b", normalized=False), tokenizers.AddedToken("[x]", lstrip=True, rstrip=True, normalized=False)])
+    file = str(tmp_path / "own.json")
+    own.save(file)
+    texts = ["my ponies run. ponies", "xa. b and a. b", "go [x] on [x]", "plain text", "", "a.  b"]
+    assert [x.tolist() for x in token_files.Encoder(file).encode(texts)] == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def want(docs):
