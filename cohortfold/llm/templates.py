@@ -90,14 +90,19 @@ def _literals(words: str) -> str:
     return f"size(filter({words}, w -> NOT startswith(w, '<')))"
 
 
+def _window(words: str, place: str, length: int) -> str:
+    """The words from a place on, one by one: to slice an array in a lambda function copies all of it."""
+    return ", ".join(f"{words}[{place} + {k}]" for k in range(length))
+
+
 def _grid(places: str, length: int = WINDOW) -> str:
     """(i, k) for each place: its window's kinds in one string."""
-    return f"transform({places}, i -> struct(i, array_join(slice(kinds, i + 1, {length}), '') AS k))"
+    return f"transform({places}, i -> struct(i, concat({_window('kinds', 'i', length)}) AS k))"
 
 
 def _windows(grid: str, told: str, words: str = "words", length: int = WINDOW) -> str:
     """(at, hash) for the places of a grid for which ``told`` holds."""
-    return f"transform(filter({grid}, x -> {told}), x -> struct(x.i AS at, xxhash64(slice({words}, x.i + 1, {length})) AS hash))"
+    return f"transform(filter({grid}, x -> {told}), x -> struct(x.i AS at, xxhash64({_window(words, 'x.i', length)}) AS hash))"
 
 
 def _places(step: int, length: int = WINDOW) -> str:

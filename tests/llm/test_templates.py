@@ -32,11 +32,11 @@ def test_query_equals_sql(spark):
 
 def test_reparameterised_questions(spark):
     other = ITEM.replace("12", "40").replace("5 ", "7 ").replace("Anna", "Boris").replace("30 dollars", "25 euros")
-    mixed = ITEM.replace("12 sheep", "40 sheep")  # 12 stands for 40 once and for 12 once
+    mixed = ITEM.replace("12 sheep", "40 sheep")  # 12 stands for 40 once and for 12 once: told by the stretch between
     docs = [(1, f"some words before it. {ITEM} and after"), (2, f"Before. {other} After."), (3, mixed), (4, "A farmer has sheep and sells them"), (5, ITEM.upper())]
     found = leaks(spark, docs, [(9, ITEM)])
     assert found[1, 9][2] is True and found[2, 9][2] is False and found[2, 9][1] >= 5
-    assert (3, 9) not in found and (4, 9) not in found
+    assert found[3, 9] == (26, 5, False) and (4, 9) not in found
 
 
 def test_every_offset_is_found(spark):
