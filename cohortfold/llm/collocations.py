@@ -41,6 +41,8 @@ RUN_PHRASES = 256
 PREFIXES = 8
 _SLICE_BYTES = 4 << 20
 _ROW_WORDS = 4096
+#: Rows that are worked on at a time: of ids, and of runs.
+_ID_ROWS, _RUN_ROWS = 64, 256
 # A-Z in lower case; what ends a piece becomes a line feed.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -125,6 +127,13 @@ def _sequences(seed: int, frequent: Broadcast):
     return sequences
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _runs(entries: hat_trie.Entries, prefixes: int) -> pa.RecordBatch:
     """A sorted run for each prefix partition, in rows of bounded size."""
     hashes, rows, n = entries
@@ -147,7 +156,7 @@ def _count_phrases(size: int, parts: Broadcast | None, prefixes: int, burst: int
 
     def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie(burst, most)
-        for batch in batches:
+        for batch in _cut(batches, _ID_ROWS):
             flat = np.asarray(batch.column("ids").flatten()).view(np.uint64)
             if len(flat) < size:
                 continue
@@ -156,12 +165,9 @@ def _count_phrases(size: int, parts: Broadcast | None, prefixes: int, burst: int
             if parts is not None:
                 passed = Frequent.holds(parts.value, gram_hashes(flat, size - 1))
                 told &= passed[:-1] & passed[1:]
-            at = np.flatnonzero(told)
-            for lo in range(0, len(at), most):
-                some = at[lo:lo + most]
-                rows = flat[some[:, None] + np.arange(size)]
-                for entries in trie.add(*counted(phrase_hashes(rows), rows)):
-                    yield _runs(entries, prefixes)
+            rows = flat[np.flatnonzero(told)[:, None] + np.arange(size)]
+            for entries in trie.add(*counted(phrase_hashes(rows), rows)):
+                yield _runs(entries, prefixes)
         for entries in trie.drain():
             yield _runs(entries, prefixes)
 
@@ -182,9 +188,7 @@ def _merge(size: int, least: int):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int32), np.zeros((0, size), np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _cut(batches, _RUN_ROWS):
             rows = np.asarray(batch.column("words").flatten()).view(np.uint64).reshape(-1, size)
             lengths = np.diff(np.asarray(batch.column("n").offsets))
             part = np.repeat(np.asarray(batch.column("part")), lengths)
