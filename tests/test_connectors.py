@@ -159,7 +159,7 @@ def test_release_deletes_intermediates(spark):
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
     res = run_cohort_job(spark, [RecordSource("ehr", "x", records)], Leaf("A", "x", "code = 'A'"), "job")
     created = set(os.listdir(root)) - before
-    assert len(created) == 4  # records, terms, summary, scores  # the tagged counts and the scores
+    assert len(created) == 4  # records, terms, summary, scores
     assert res.cohort.count() == 7
     res.release()
     assert not created & set(os.listdir(root))
