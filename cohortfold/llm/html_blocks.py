@@ -13,7 +13,10 @@ BLOCK_TAGS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head".split())
+#: No text; without an end they go on to the end of the page.
+RAW_TAGS = frozenset("script style template textarea title".split())
+#: No text either, unless their end is missing.
+SKIPPED_TAGS = frozenset("head noscript iframe svg canvas audio video annotation annotation-xml".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these just above it.
 ENDS = {
@@ -51,13 +54,16 @@ def _element_features(tag: str, attributes: str) -> list[str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text in page order. Inline elements do not end a block;
-    scripts, styles, the head, comments and other raw elements have no text."""
+    """Blocks with text in page order. Inline elements (formulas and the content
+    of objects too) do not end a block; scripts, styles, the head, comments and
+    the like have no text. Where the end of a head, drawing, video and the like is
+    missing, its content is read as if it had not begun."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links = linked = 0
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -90,12 +96,15 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in RAW_TAGS:
-            if not slash and not attributes.endswith("/"):
+        if tag in RAW_TAGS or tag in SKIPPED_TAGS:
+            if not slash and not attributes.endswith("/") and tag not in endless:
                 after = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-                if after is None and tag == "head":
-                    continue
-                at = end if after is None else after.end()
+                if after is not None:
+                    at = after.end()
+                elif tag in RAW_TAGS:
+                    at = end
+                else:
+                    endless.add(tag)
         elif tag == "br":
             add(" ")
         elif tag == "a":

@@ -60,6 +60,19 @@ def test_edges(spark, model):
     assert none.main_text("<article><p>Some text of an article.</p></article>") == "Some text of an article."
 
 
+def test_elements_without_text_and_without_end():
+    read = lambda page: [b.text for b in blocks(page)]
+    for tag in ("svg", "canvas", "audio", "video", "noscript", "iframe", "object", "math"):
+        assert read(f"<p>Before.</p><{tag}><p>After</p><{tag}>it.") == ["Before.", "After", "it."]
+    for tag in ("svg", "canvas", "audio", "video", "noscript", "iframe"):
+        assert read(f"<p>Before <{tag} class=a>none<b>of</b></{tag.upper()} >it.") == ["Before it."]
+    for tag in ("script", "style", "textarea", "title", "template"):
+        assert read(f"<p>Before.<{tag}>rest <p>of the page") == ["Before."]
+    assert read("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>x=2</annotation></math> holds.") == ["As x=2 holds."]
+    assert read("<p>See <object data=f>the <i>file</i></object>.") == ["See the file."]
+    assert len(read("<svg><p>a" * 20_000)) == 20_000
+
+
 def test_viterbi_is_the_best_sequence():
     from itertools import product
 
