@@ -4,7 +4,7 @@ A window is ``size`` consecutive words of one document. Words covered by a
 window that also starts earlier are removed.
 
 1. Documents with equal words form a class; only its smallest doc_id goes on
-   (in the others every window starts earlier).
+   (in the others every window starts earlier), under a number in their order.
 2. Each window has an anchor, its run of ``ANCHOR`` words of least hash; equal
    windows have equal anchors. One word in eight begins an anchor, so counting
    anchors costs an eighth of counting windows. Documents with an anchor that
@@ -103,16 +103,16 @@ def _outlined(size: int):
                 new[1:] = (np.diff(x.anchor) != 0) | (np.diff(x.of) != 0)
                 n = piece.num_rows
                 yield pa.record_batch([
-                    piece.column("doc_id"), pa.array(np.diff(x.words.first)),
+                    piece.column("doc_id"), piece.column("version"), pa.array(np.diff(x.words.first)),
                     pa.array([hashlib.sha256(x.words.joined(i)).hexdigest() for i in range(n)]),
                     _lists(x.grams[x.anchor[new]], x.of[new], n, pa.int64()),
-                ], names=["doc_id", "n_words", "sha", "anchors"])
+                ], names=["doc_id", "version", "n_words", "sha", "anchors"])
 
     return outline
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, _Windows, np.ndarray]]:
-    """Pieces of candidate documents (doc_id, text, anchors) with the windows whose anchor is listed."""
+    """Pieces of candidate documents (doc, text, anchors) with the windows whose anchor is listed."""
     for batch in batches:
         for piece in slices(batch, "text", _PIECE):
             x = _Windows(piece.column("text"), size)
@@ -132,14 +132,14 @@ def _hashed(size: int):
             at = np.flatnonzero(new)
             chosen, of = chosen[at], of[at]
             yield pa.record_batch([
-                pa.array(value[at]), pa.array(x.grams[x.anchor[chosen]]), piece.column("doc_id").take(pa.array(of)),
+                pa.array(value[at]), pa.array(x.grams[x.anchor[chosen]]), piece.column("doc").take(pa.array(of)),
                 pa.array(x.first[chosen] - x.words.first[of]), pa.array(np.diff(np.append(at, len(value)))),
-            ], names=["window", "anchor", "doc_id", "start", "n"])
+            ], names=["window", "anchor", "doc", "start", "n"])
 
     return hashed
 
 
-_STRETCH = "anchor long, doc_id {id}, start long, n int, words binary"
+_STRETCH = "anchor long, doc long, start long, n int, words binary"
 
 
 def _stretch_batch(piece: pa.RecordBatch, x: _Windows, chosen: np.ndarray) -> pa.RecordBatch:
@@ -147,10 +147,10 @@ def _stretch_batch(piece: pa.RecordBatch, x: _Windows, chosen: np.ndarray) -> pa
     at = chosen[[a for a, _ in runs]] if runs else chosen[:0]
     of = x.of[at]
     return pa.record_batch([
-        pa.array(x.grams[x.anchor[at]]), piece.column("doc_id").take(pa.array(of)), pa.array(x.first[at] - x.words.first[of]),
+        pa.array(x.grams[x.anchor[at]]), piece.column("doc").take(pa.array(of)), pa.array(x.first[at] - x.words.first[of]),
         pa.array([n for _, n in runs], pa.int32()),
         pa.array([x.text(f, n + x.size - 1) for f, (_, n) in zip(x.first[at].tolist(), runs)], pa.binary()),
-    ], names=["anchor", "doc_id", "start", "n", "words"])
+    ], names=["anchor", "doc", "start", "n", "words"])
 
 
 def _stretches(size: int):
@@ -176,16 +176,16 @@ def _passages(size: int):
     return passages
 
 
-def _located(size: int, id_type: pa.DataType):
+def _located(size: int):
     import ahocorasick
 
-    names = ["doc_id", "start", "n"]
+    names = ["doc", "start", "n"]
 
     def locate(passages: pa.Table, stretches: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         home, at = [], []
-        for doc, start, n, text in zip(*(passages.column(c).to_pylist() for c in ("doc_id", "start", "n", "words"))):
+        for doc, start, n, text in zip(*(passages.column(c).to_pylist() for c in ("doc", "start", "n", "words"))):
             sequence = tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split(b" ")])
             for k in range(n):
                 automaton.add_word(sequence[k:k + size], len(home))
@@ -195,7 +195,7 @@ def _located(size: int, id_type: pa.DataType):
         if home:
             automaton.make_automaton()
             number = numbers.get
-            for doc, start, text in zip(*(stretches.column(c).to_pylist() for c in ("doc_id", "start", "words"))):
+            for doc, start, text in zip(*(stretches.column(c).to_pylist() for c in ("doc", "start", "words"))):
                 begin = end = -1
                 for last, which in automaton.iter(tuple([number(w, 0) for w in text.split(b" ")])):
                     place = start + last - size + 1
@@ -209,7 +209,7 @@ def _located(size: int, id_type: pa.DataType):
                 if end > begin:
                     found.append((doc, begin, end - begin))
         columns = list(zip(*found)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int64(), pa.int64()))], names=names)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return locate
 
@@ -231,8 +231,8 @@ def _kept(size: int):
                     removed.append(int(out.sum()))
                     shas.append(hashlib.sha256(text).hexdigest())
                     texts.append(text)
-                yield pa.record_batch([piece.column("doc_id"), pa.array(removed, pa.int64()), pa.array(shas), pa.array(texts, pa.binary()).cast(pa.string())],
-                                      names=["doc_id", "n_removed", "kept_sha256", "kept"])
+                yield pa.record_batch([piece.column("doc"), pa.array(removed, pa.int64()), pa.array(shas), pa.array(texts, pa.binary()).cast(pa.string())],
+                                      names=["doc", "n_removed", "kept_sha256", "kept"])
 
     return keep
 
@@ -245,84 +245,84 @@ def remove_repeats(docs: DataFrame, size: int = 20, with_text: bool = False) ->
     A word is removed if a window over it has its word sequence starting
     earlier too: in a smaller doc_id, or earlier in the same document. Windows
     are judged on the input. Rows that repeat a doc_id with the same words are
-    one document told twice; a doc_id should not come with different words (if
-    so, one of these texts stands for it in comparisons). Rows with a null
-    doc_id are kept whole and not compared. Other columns are not read. No
-    documents: no rows.
+    one document told twice; with other words, they are documents of their own
+    that follow one another in the order of ``xxhash64`` of their texts. A
+    doc_id may have any type that has an order. Rows with a null doc_id are kept
+    whole and not compared. Other columns are not read. No documents: no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    id_type = docs.dtypes[0][1]
-    outline = map_arrow(docs, _outlined(size), f"doc_id {id_type}, n_words long, sha string, anchors array<long>")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    id_type, key = docs.dtypes[0][1], ["doc_id", "version"]
+    outline = map_arrow(docs, _outlined(size), f"doc_id {id_type}, version long, n_words long, sha string, anchors array<long>")
     outline = scratch.write(outline, "outline")
-    classes = scratch.write(outline.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "classes")
-    stands = outline.filter(f"n_words >= {size}").join(classes, ["sha", "doc_id"]).dropDuplicates(["doc_id"])
-    stands = scratch.write(stands.select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
-    counts = stands.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    classes = outline.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min(F.struct(*key)).alias("stand"))
+    classes = scratch.write(classes.select("sha", "stand.*"), "classes")
+    stands = outline.filter(f"n_words >= {size}").join(classes, ["sha", *key]).dropDuplicates(["sha", *key])
+    # From here on a document is a number, which rises in the order of the documents.
+    stands = stands.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("doc", F.monotonically_increasing_id())
+    stands = scratch.write(stands.select("doc", *key, "anchors"), "stands")
+    anchors = stands.select("doc", F.explode("anchors").alias("anchor"))
+    counts = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = scratch.write(counts, "counts")
-    listed = stands.join(counts.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    listed = scratch.write(listed, "listed")
-    scratch.drop("anchors")
+    listed = anchors.join(counts.select("anchor"), "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    listed = scratch.write(listed.join(stands.drop("anchors"), "doc"), "listed")
+    scratch.drop("stands")
     scratch.tidy()
-    candidates = scratch.write(docs.join(listed, "doc_id").dropDuplicates(["doc_id"]), "candidates")
-    scratch.drop("listed")
+    candidates = scratch.write(docs.join(listed, key).dropDuplicates([*key, "doc"]), "candidates")
     scratch.tidy()
 
-    hashed = map_arrow(candidates, _hashed(size), f"window long, anchor long, doc_id {id_type}, start long, n long")
+    hashed = map_arrow(candidates, _hashed(size), "window long, anchor long, doc long, start long, n long")
     confirmed = hashed.groupBy("window").agg(
-        F.min("anchor").alias("anchor"), F.min_by("start", "doc_id").alias("start"), F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")
+        F.min("anchor").alias("anchor"), F.min_by("start", "doc").alias("start"), F.min("doc").alias("doc"), F.sum("n").alias("n")
     )
     confirmed = scratch.write(confirmed.filter("n > 1").drop("n"), "confirmed")
     scratch.tidy()
-    starts = confirmed.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    passages = map_arrow(candidates.select("doc_id", "text").join(starts, "doc_id"), _passages(size), _STRETCH.format(id=id_type))
+    starts = confirmed.groupBy("doc").agg(F.collect_list("start").alias("starts"))
+    passages = map_arrow(candidates.select("doc", "text").join(starts, "doc"), _passages(size), _STRETCH)
     passages = scratch.write(passages, "passages")
-    stretches = map_arrow(candidates, _stretches(size), _STRETCH.format(id=id_type))
+    stretches = map_arrow(candidates, _stretches(size), _STRETCH)
 
     shards = max(1, -(-confirmed.count() // SHARD_WINDOWS))
     shard = F.pmod(F.col("anchor"), F.lit(shards)).cast("int").alias("shard")
     parts = confirmed.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / SHARD_WINDOWS / 2).cast("int").alias("parts"))
     copies = counts.groupBy(shard).agg(F.ceil(F.sum("n") / SHARD_STRETCHES).cast("int").alias("copies"))
     plan = scratch.write(parts.join(copies, "shard"), "shards")
-    deal = lambda n: F.pmod(F.xxhash64("doc_id", "start"), F.col(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("doc", "start"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     passages = passages.withColumn("shard", shard).join(plan, "shard")
     passages = passages.withColumn("part", deal("parts")).withColumn("copy", each("copies"))
     stretches = stretches.withColumn("shard", shard).join(plan, "shard")
     stretches = stretches.withColumn("copy", deal("copies")).withColumn("part", each("parts"))
-    key, columns = ["shard", "part", "copy"], ["doc_id", "start", "n", "words"]
-    arrow_id = map_id(id_type)
-    located = passages.select(*key, *columns).groupBy(*key).cogroup(stretches.select(*key, *columns).groupBy(*key)).applyInArrow(
-        _located(size, arrow_id), f"doc_id {id_type}, start long, n long"
+    place, columns = ["shard", "part", "copy"], ["doc", "start", "n", "words"]
+    located = passages.select(*place, *columns).groupBy(*place).cogroup(stretches.select(*place, *columns).groupBy(*place)).applyInArrow(
+        _located(size), "doc long, start long, n long"
     )
     located = scratch.write(located, "located")
     scratch.drop("passages", "confirmed", "counts")
     scratch.tidy()
 
-    runs = located.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    changed = map_arrow(candidates.select("doc_id", "text").join(runs, "doc_id"), _kept(size), f"doc_id {id_type}, n_removed long, kept_sha256 string, kept string")
+    runs = located.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    changed = map_arrow(candidates.select("doc", "text").join(runs, "doc"), _kept(size), "doc long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         changed = changed.drop("kept")
-    changed = scratch.write(changed, "changed")
-    scratch.drop("candidates", "located")
+    changed = scratch.write(changed.join(listed.drop("anchors"), "doc").drop("doc"), "changed")
+    scratch.drop("candidates", "located", "listed")
     scratch.tidy()
 
-    again = classes.withColumnRenamed("doc_id", "stand")
-    found = outline.drop("anchors").join(again, "sha", "left").join(changed, "doc_id", "left")
-    copy = (F.col("doc_id") > F.col("stand")) & (F.col("n_words") >= size)
+    of_class = classes.select("sha", F.col("doc_id").alias("stand"), "version").join(changed.withColumnRenamed("doc_id", "stand"), ["stand", "version"], "left")
+    found = outline.drop("anchors").join(of_class.withColumnRenamed("version", "stand_version"), "sha", "left")
+    here = F.col("doc_id").isNotNull()
+    copy = here & (F.col("doc_id") > F.col("stand")) & (F.col("n_words") >= size)
     none = hashlib.sha256(b"").hexdigest()
     out = found.select(
-        "doc_id", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([F.when(copy, "").otherwise(F.col("kept")).alias("kept_text")] if with_text else []),
+        *key, "n_words",
+        F.when(copy, F.col("n_words")).when(here, F.coalesce("n_removed", F.lit(0))).otherwise(0).alias("n_removed"),
+        F.when(copy, none).when(here, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        *([F.when(copy, "").when(here, F.col("kept")).alias("kept_text")] if with_text else []),
     )
     if with_text:
-        whole = docs.select("doc_id", F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)")), " ").alias("whole"))
-        out = out.join(whole.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("kept_text", F.coalesce("kept_text", "whole")).drop("whole")
-    return out
-
-
-def map_id(id_type: str) -> pa.DataType:
-    """Arrow's type for a doc_id column."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+        whole = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)")), " ")
+        whole = docs.select(F.col("doc_id").alias("whole_id"), F.col("version").alias("whole_version"), whole.alias("whole")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("whole_id")) & (F.col("version") == F.col("whole_version"))
+        out = out.join(whole, same, "left").withColumn("kept_text", F.coalesce("kept_text", "whole")).drop("whole_id", "whole_version", "whole")
+    return out.drop("version")

@@ -49,7 +49,31 @@ def test_no_rows_null_ids_and_clashing_columns(spark):
     out = repeats.remove_repeats(spark.createDataFrame(rows, schema), with_text=True)
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
     assert {r.doc_id: (r.n_removed, r.kept_text) for r in out.collect() if r.doc_id} == {1: (0, text), 2: (25, "")}
-    assert [r.n_removed for r in out.collect() if r.doc_id is None] == [0]
+    assert [(r.n_removed, r.kept_text) for r in out.collect() if r.doc_id is None] == [(0, text)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "smallint", "decimal(9,0)"])
+def test_repeated_ids_with_other_words(spark, kind):
+    rng = random.Random(8)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(6)]
+    rows = [(rng.randint(10, 30), " ".join([rng.choice(passages), rng.choice("xyz"), rng.choice(passages)])) for _ in range(80)]
+    rows += [(10, rows[0][1].replace(" ", "  ")), (9, "tail " + passages[0]), (9, passages[0] + " " + passages[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    order = [tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").distinct().orderBy("doc_id", "xxhash64(text)").collect()]
+    first, want = {}, {}
+    for at, (_, _, text) in enumerate(order):
+        first.setdefault(" ".join(text.split()), at)
+    told = brute.repeats([(at, order[at][2]) for at in first.values()])
+    for at, (doc, _, text) in enumerate(order):
+        stand = first[" ".join(text.split())]
+        n = len(text.split())
+        own = told[stand] if order[stand][0] == doc else (n, n, hashlib.sha256(b"").hexdigest())
+        want.setdefault((doc, n), []).append(own)
+    times = {(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+    assert times == {(str(doc), *own) for (doc, _), all_ in want.items() for own in all_}
+    texts = repeats.remove_repeats(docs, with_text=True).collect()
+    assert len(texts) == len(rows)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in texts)
 
 
 def test_least_at():
