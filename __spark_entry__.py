@@ -35,6 +35,7 @@ from cohortfold.plans.criteria import AllOf, AnyOf, AtLeast, Leaf, Not, leaves_b
 from cohortfold.plans.job import run_cohort_job
 from cohortfold.session import checkpoint_dir
 from cohortfold.sources.files import CatalogConnection, FileConnection
+from cohortfold.sources.provider import ParquetRowGroups, ProviderConnection, register
 from cohortfold.sources.tables import (
     clinical_sources,
     event_records_a,
@@ -231,6 +232,30 @@ def q_nested_projection(spark, sf_dir):
     )
 
 
+# E2 on nested records: sentences of a turn are its entries; a test holds of one entry as a whole.
+NESTED = [
+    ("entry.n_chars > 80 AND entry.place < 3", 1), ("entry.n_chars BETWEEN 1 AND 14 AND entry.place >= 5", 1),
+    ("entry.n_chars > 60 AND entry.place > turn AND role = 'user'", 1), ("entry.n_chars > 50", 3), ("entry.n_chars > 1000000", 1),
+]
+NESTED_LEAVES = [Leaf(f"5e17e9ce-0000-4000-8000-{k:012d}", "turn", p, entry="sentences", entries=n) for k, (p, n) in enumerate(NESTED)]
+
+
+def q_nested_entry_scores(spark, sf_dir):
+    sentences = "transform(split(text, '[.!?\\n]'), (s, i) -> struct(i AS place, length(s) AS n_chars))"
+    mapping = RecordMapping("conv_id", "concat_ws('-', conv_id, turn)", {"turn": "turn", "role": "role", "sentences": sentences})
+    records = map_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"), mapping)
+    part = score_leaves(records, _leaves(*NESTED_LEAVES), source_id="chat", entity_type="turn", evidence=False)
+    return part.scores.select("criterion_uid", "patient_uid", "tf", "doc_len", _r6("score"))
+
+
+def q_scan_provider(spark, sf_dir):
+    # A provider behind spark.read.format, one task a row group, columns by the schema.
+    register(spark, "row_groups", ParquetRowGroups(f"{sf_dir}/"))
+    schema = T.StructType([T.StructField("l_suppkey", T.StringType()), T.StructField("l_quantity", T.DoubleType()), T.StructField("l_returnflag", T.StringType())])
+    lines = ProviderConnection("row_groups").read(spark, "lineitem.parquet", schema)
+    return lines.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+
+
 SCAN_SQL = """
 SELECT o_custkey, count(*) AS n_orders, max(o_orderkey) AS last_key, count(DISTINCT o_orderpriority) AS n_priorities
 FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey"""
@@ -539,6 +564,7 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "criteria_match_index": q_criteria_match_index,
         "code_hierarchy_scores": q_code_hierarchy_scores,
         "nested_projection": q_nested_projection,
+        "nested_entry_scores": q_nested_entry_scores,
         "source_filter": q_source_filter,
         "collection_size": q_collection_size,
         "doc_length": q_doc_length,
@@ -562,6 +588,7 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_code_leaf_scores": q_bm25_code_leaf_scores,
         "bm25_code_table_scores": q_bm25_code_table_scores,
         "scan_sql": q_scan_sql,
+        "scan_provider": q_scan_provider,
         "csv_round_trip": q_csv_round_trip,
         "custom_scorer": q_custom_scorer,
         "cohort_scores": q_cohort_scores,
@@ -744,6 +771,19 @@ rec AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT rec.*, c FROM rec JOIN below USING (code)),{_stats_ctes()}
 SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score FROM s""",
+        "nested_entry_scores": f"""
+WITH turns AS (
+  SELECT 'chat' AS src, 'turn' AS t, CAST(conv_id AS VARCHAR) AS p, conv_id, turn, role, string_split_regex(text, '[.!?\\n]') AS parts
+  FROM conversations),
+rec AS (SELECT * FROM turns),
+entries AS (SELECT src, t, p, conv_id, turn, role, unnest(range(len(parts))) AS place, length(unnest(parts)) AS n_chars FROM turns),
+m AS ({" UNION ALL ".join(
+    f"SELECT src, t, p, '{leaf.key}' AS c FROM entries WHERE {leaf.predicate.replace('entry.', '')} "
+    f"GROUP BY src, t, p, conv_id, turn HAVING count(*) >= {leaf.entries}" for leaf in NESTED_LEAVES)}),{_stats_ctes()}
+SELECT c AS criterion_uid, p AS patient_uid, tf, dl AS doc_len, round(s, 6) AS score FROM s""",
+        "scan_provider": """
+SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, l_returnflag, count(*) AS n_lines, round(sum(CAST(l_quantity AS DOUBLE)), 6) AS quantity
+FROM lineitem GROUP BY ALL""",
         "nested_projection": """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS line_number, CAST(trunc(l_quantity) AS INTEGER) AS quantity,
   l_linestatus AS status, l_returnflag AS flag, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_discount AS DOUBLE) AS off

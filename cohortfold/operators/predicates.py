@@ -12,6 +12,8 @@ afterwards.
 A comparison is ``column op constant`` with ``=``, ``<>``, ``!=``, ``<``,
 ``<=``, ``>``, ``>=``, ``BETWEEN`` or ``IN``, of a number column with numbers
 or a text column with texts. Everything else counts as another predicate.
+Leaves on the entries of an array column are bits, too, and all of a column's are
+set in one pass over a record's entries.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortfold.plans.criteria import Leaf
+from cohortfold.plans.criteria import Leaf, entry_bits
 
 #: Other predicates per number of bits.
 BITS = 62
@@ -152,8 +154,12 @@ class Patterns:
             named.setdefault(field.name.lower(), []).append(field)
         by_column: dict[str, list[tuple[int, Comparison, Leaf]]] = {}
         self.others: list[tuple[int, Leaf]] = []
+        on_entries: dict[str, list[tuple[int, Leaf]]] = {}
         for code, leaf in leaves:
-            c = comparison(leaf.predicate)
+            if leaf.entry is not None and leaf.entries == 1:
+                on_entries.setdefault(leaf.entry.lower(), []).append((code, leaf))
+                continue
+            c = comparison(leaf.predicate) if leaf.entry is None else None
             if c is None or len(named.get(c.column.lower(), ())) != 1 or _key_of(named[c.column.lower()][0].dataType, c.texts) is None:
                 self.others.append((code, leaf))
             else:
@@ -166,7 +172,10 @@ class Patterns:
                 self.others += [(code, leaf) for code, _, leaf in found]
             else:
                 self.indexes.append(ColumnIndex(field.name, field.dataType, [(code, c) for code, c, _ in found], key))
-        self._chunks = [self.others[i:i + BITS] for i in range(0, len(self.others), BITS)]
+        chunked = lambda of: [of[i:i + BITS] for i in range(0, len(of), BITS)]
+        self._chunks = chunked(self.others)
+        self._plain = len(self._chunks)
+        self._chunks += [chunk for of in on_entries.values() for chunk in chunked(of)]
         self.columns = [f"_class_{i}" for i in range(len(self.indexes))] + [f"_bits_{i}" for i in range(len(self._chunks))]
 
     def add(self, df: DataFrame) -> DataFrame:
@@ -174,6 +183,9 @@ class Patterns:
         for i, index in enumerate(self.indexes):
             df = index.add(df, f"_class_{i}")
         for i, chunk in enumerate(self._chunks):
+            if i >= self._plain:
+                df = df.withColumn(f"_bits_{i}", entry_bits([leaf for _, leaf in chunk]))
+                continue
             bits = [F.when(leaf.condition(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, leaf) in enumerate(chunk)]
             while len(bits) > 1:
                 bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])] + bits[len(bits) & ~1:]

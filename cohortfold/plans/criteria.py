@@ -48,6 +48,12 @@ class Leaf(Criterion):
     NULL counts as no match. ``codes``: alternatively, a code list; a record
     matches when its ``code_column`` value is in the list. ``code_table``: the
     same with a DataFrame, whose first column holds the codes.
+
+    ``entry`` names a column of arrays of structs (the codings, results or lines
+    of a record). The predicate, SQL text, is then a test of one entry, whose
+    fields it names ``entry.code``, beside the record's own columns; a record
+    matches when at least ``entries`` of its entries pass, each by all of the
+    test. An entry that is NULL, and an array that is, passes none.
     """
 
     def __init__(
@@ -59,15 +65,23 @@ class Leaf(Criterion):
         codes: Iterable[str] | None = None,
         code_table: DataFrame | None = None,
         code_column: str = "code",
+        entry: str | None = None,
+        entries: int = 1,
     ) -> None:
         if sum(x is not None for x in (predicate, codes, code_table)) != 1:
             raise ValueError("a leaf needs exactly one of predicate, codes or code_table")
+        if entry is not None and not isinstance(predicate, str):
+            raise ValueError("a leaf on entries needs a predicate as SQL text")
+        if entries < 1 or (entry is None and entries != 1):
+            raise ValueError("a leaf needs entries >= 1, and an entry column for more than one")
         self.uid = str(uid)
         self.entity_type = entity_type
         self.predicate = predicate
         self.codes = tuple(dict.fromkeys(codes)) if codes is not None else None
         self.code_table = code_table
         self.code_column = code_column
+        self.entry = entry
+        self.entries = entries
 
     @property
     def by_code(self) -> bool:
@@ -77,6 +91,9 @@ class Leaf(Criterion):
         """Boolean Column for a predicate leaf."""
         if self.predicate is None:
             raise ValueError(f"leaf {self.uid} is a code-list leaf")
+        if self.entry is not None:
+            passes = f"IF(entry IS NOT NULL AND coalesce(({self.predicate}), false), 1, 0)"
+            return F.expr(f"aggregate(`{self.entry}`, 0, (held, entry) -> least(held + {passes}, {self.entries})) >= {self.entries}")
         if isinstance(self.predicate, str):
             return F.expr(self.predicate)
         return self.predicate
@@ -86,6 +103,16 @@ class Leaf(Criterion):
         return f"Leaf({self.uid!r}, {self.entity_type!r}, {test!r})"
 
 
+def entry_bits(leaves: Sequence[Leaf]) -> Column:
+    """Bit i tells whether some entry passes leaf i: all ``leaves``, on one column and
+    content with one entry, in one pass over the entries."""
+    bits = [f"IF(coalesce(({leaf.predicate}), false), {1 << i}L, 0L)" for i, leaf in enumerate(leaves)]
+    while len(bits) > 1:
+        bits = [f"({a} | {b})" for a, b in zip(bits[::2], bits[1::2])] + bits[len(bits) & ~1:]
+    passed = f"aggregate(`{leaves[0].entry}`, 0L, (held, entry) -> IF(entry IS NULL, held, held | {bits[0]}))"
+    return F.expr(f"coalesce({passed}, 0L)")
+
+
 class _Logical(Criterion):
     def __init__(self, *children: Criterion, uid: str | None = None) -> None:
         if len(children) == 1 and isinstance(children[0], (list, tuple)):

@@ -2,8 +2,9 @@
 
 A connection reads a query into a DataFrame with a declared schema and writes
 a DataFrame to a named table. Implementations: ``JdbcConnection`` (S1, S5),
-``FileConnection`` (S3 generic reads, S4 delimited text sink) and
-``CatalogConnection`` (query text over the session's tables).
+``FileConnection`` (S3 generic reads, S4 delimited text sink),
+``CatalogConnection`` (query text over the session's tables) and
+``ProviderConnection`` (stores without a Spark connector, read by Arrow batches).
 """
 
 from __future__ import annotations
