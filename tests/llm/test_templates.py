@@ -1,3 +1,5 @@
+import random
+
 import brute
 import duckdb
 
@@ -109,3 +111,61 @@ def test_names_that_begin_sentences_and_other_case(spark):
     found = leaks(spark, docs, [(1, ann), (2, german), (3, "Where does Anna live?")])
     assert set(found) == {(d, 1) for d in (1, 2, 3, 4)} | {(5, 2), (6, 2)}
     assert found[1, 1][::2] == (20, False) and found[4, 1][::2] == (20, True) and found[5, 2][::2] == (17, True)
+
+
+def test_query_equals_brute_force(spark):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").collect()
+    docs, items = [(r.doc_id, r.text) for r in read("documents")], [(r.item_id, r.text) for r in read("benchmark")]
+    near = {d for d, _ in brute.shared_runs(docs, items, 8)}  # others share no 8 words with any item
+    want = brute.leaks([(d, t) for d, t in docs if d in near], items)
+    assert want and leaks(spark, docs, items) == want
+
+
+def test_template_words_equal_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["Anna", "the", "5", "12.5,", "days", "Days.", "km)", "\u201cGus", "(Hal)", "A", "b", "USA", "$30", "-", "...", "12th", "\u00c9t\u00e9,", "one;", "<num>", "x:", "50%", "\u00bd", "1/2"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\n", "\t "]) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    rows = templates._cut(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "i").collect()
+    for r in rows:
+        assert list(zip(r.words, r.named, r.values)) == brute.template_words(texts[r.i]), texts[r.i]
+
+
+def test_made_questions_equal_brute_force(spark):
+    rng = random.Random(12)
+    names, units, verbs = ["Ann", "Bob", "Carl", "Dora", "Emil"], ["km", "days", "kg", "dollars"], ["has", "buys", "sells", "eats"]
+    things = "apples pears boxes trains books sheep".split()
+    number = lambda: str(rng.randint(2, 60))
+
+    def sentence():
+        return rng.choice([
+            lambda: f"{rng.choice(names)} {rng.choice(verbs)} {number()} {rng.choice(things)}.",
+            lambda: f"Then {rng.choice(names)} {rng.choice(verbs)} {number()} {rng.choice(units)} of {rng.choice(things)} for {rng.choice(names)};",
+            lambda: f"What is {number()} plus {number()} minus {number()}?",
+            lambda: f"How many {rng.choice(things)} does {rng.choice(names)} keep after {number()} {rng.choice(units)}?",
+        ])()
+
+    def changed(text):
+        how = rng.randint(0, 5)
+        words = text.split()
+        if how == 1:  # other numbers, each for one
+            other = {w: number() for w in words}
+            words = [other[w] if w.isdigit() else w for w in words]
+        elif how == 2:  # other names
+            other = dict(zip(names, rng.sample(["Gus", "Hal", "Ida", "Jon", "Kim"], 5)))
+            words = [other.get(w.strip(".;?"), w) if w.strip(".;?") in other else w for w in words]
+        elif how == 3:  # any number at any place
+            words = [number() if w.isdigit() and rng.random() < 0.5 else w for w in words]
+        elif how == 4:
+            words = [w.lower() for w in words]
+        elif how == 5 and len(words) > 3:  # a word lost
+            words.pop(rng.randrange(len(words)))
+        return " ".join(words)
+
+    items = [(i, " ".join(sentence() for _ in range(rng.randint(1, 5)))) for i in range(25)]
+    pad = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(rng.randint(0, 6)))
+    docs = [(d, f"{pad()} {changed(rng.choice(items)[1])} {pad()} {changed(rng.choice(items)[1])}") for d in range(150)]
+    found, sure, most = leaks(spark, docs, items), brute.leaks(docs, items), brute.leaks(docs, items, pure=8)
+    assert len(sure) > 150 and set(sure) <= set(found) <= set(most)
+    for key, (tokens, _, _) in found.items():
+        assert sure.get(key, (0,))[0] <= tokens <= most[key][0]
+    assert sum(found[k] == sure.get(k) for k in found) >= 0.95 * len(found)
