@@ -129,8 +129,10 @@ class Mix:
 
     def _in_prefix(self, doc_id: Column) -> Column:
         key = order_key(self.seed, F.col("full_epochs"), doc_id)
-        at = F.struct(key.alias("k"), F.coalesce(doc_id, F.lit(-1)).alias("i"))
-        return F.coalesce(at <= F.struct(F.col("cut_key").alias("k"), F.coalesce("cut_id", F.lit(-1)).alias("i")), F.lit(False)) & F.col("cut_key").isNotNull()
+        cut = F.col("cut_key")
+        # A null id comes first, as in the order that found the cut.
+        upto = doc_id.isNull() | F.coalesce(doc_id <= F.col("cut_id"), F.lit(False))
+        return cut.isNotNull() & ((key < cut) | ((key == cut) & upto))
 
     def selection(self) -> DataFrame:
         """doc_id, levels, epoch (from 0) and tokens taken, for each epoch of each selected document."""

@@ -56,6 +56,15 @@ def test_epochs_and_prefixes(spark):
     assert len(rows_out) == sum(len(x) for x in taken.values())
 
 
+def test_text_ids_and_an_id_of_minus_one(spark):
+    docs = [(f"d{i}", "w " * (i % 5 + 1), "en", "a") for i in range(50)] + [(None, "w w", "en", "a")]
+    rows, m = mix(spark, docs, budget_ratio=(1, 2), max_epochs=1, schema="doc_id string, text string, lang string, source string")
+    taken = m.selection().collect()
+    assert sum(r.n_taken for r in taken) == sum(r.alloc for r in m.plan.collect()) and len(m.apply(rows).collect()) == len(taken)
+    rows, m = mix(spark, [(None, "w " * 5, "en", "a"), (-1, "w " * 5, "en", "a")], budget_ratio=(1, 2), max_epochs=1)
+    assert [r.n_taken for r in m.selection().collect()] == [5] and m.apply(rows).count() == 1
+
+
 def test_edges(spark):
     schema = SCHEMA + ", tokens int, alloc string, n_tokens string, range int, key string, _mix_x int"
     docs, m = mix(spark, [], schema=schema)
