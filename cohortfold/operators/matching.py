@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,11 +97,43 @@ class LeafMatcher:
         tests = [*self.patterns.any(), *(F.size(h) > 0 for h in self._hits)]
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    def leaves(self) -> Column:
+    def leaves(self, nested: bool = True) -> Column:
         """Codes of the leaves that hold (ARRAY<INT>), of a row with its pattern."""
-        parts = [*self.patterns.leaves(), *(F.col(h) for h in self._hits)]
+        parts = [*self.patterns.leaves(nested), *(F.col(h) for h in self._hits)]
         return F.concat(*parts) if parts else F.array().cast("array<int>")
 
+    def leaf_counts(self, counted: DataFrame) -> DataFrame:
+        """(patient, leaf, n) from ``_n`` records by (patient, pattern); the NULL leaf
+        counts all. A patient's rows are in one partition, and stay there.
+
+        A leaf of a nested index holds from the class where it comes up to where
+        it goes, so it counts the patient's records from the first on, less those from
+        the other on: a row for each change between two classes that the
+        patient has, not for each leaf that a class holds.
+        """
+        tags = F.concat(F.array(F.lit(None).cast("int")), self.leaves(nested=False))
+        nested = self.patterns.nested
+        if not nested:
+            rows = counted.select(PATIENT, F.col("_n").alias("n"), F.explode(tags).alias(LEAF))
+            return rows.groupBy(PATIENT, LEAF).agg(F.sum("n").alias("n"))
+        # Of a nested index (its place) a class, else a leaf.
+        one = lambda index, place: F.struct(F.lit(index).alias("_index"), place.alias("_place"))
+        parts = F.concat(F.array(*[one(i, F.col(f"_class_{i}")) for i in nested]), F.transform(tags, lambda t: one(-1, t)))
+        rows = counted.select(PATIENT, "_n", F.explode(parts).alias("_part")).select(PATIENT, "_n", "_part.*")
+        rows = rows.groupBy(PATIENT, "_index", "_place").agg(F.sum("_n").alias("_n"))
+        falling = Window.partitionBy(PATIENT, "_index").orderBy(F.desc("_place"))
+        onwards = F.sum("_n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.select(PATIENT, "_index", "_place", "_n", onwards.alias("_onwards"), F.lead("_place", 1, 0).over(falling).alias("_below"))
+        changes = F.array("_place")
+        for i in nested:
+            changes = F.when(F.col("_index") == i, self.patterns.changes(i, F.col("_below"), F.col("_place"))).otherwise(changes)
+        rows = rows.select(PATIENT, F.when(F.col("_index") < 0, F.col("_n")).otherwise(F.col("_onwards")).alias("n"), "_index", F.explode(changes).alias("_change"))
+        goes = (F.col("_index") >= 0) & (F.col("_change") < 0)
+        rows = rows.select(
+            PATIENT, F.when(goes, F.bitwise_not("_change")).otherwise(F.col("_change")).alias(LEAF), F.when(goes, -F.col("n")).otherwise(F.col("n")).alias("n")
+        )
+        return rows.groupBy(PATIENT, LEAF).agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
 
 def criteria_matches(records: DataFrame, leaves: Mapping[str, Leaf]) -> DataFrame:
     """(criterion_uid, patient_uid, record_uid): one row per (record, matched leaf).
@@ -143,21 +175,20 @@ def coded_counts(
 
     ``keep_records=False`` (scores without evidence) counts records per (patient,
     pattern) first, so what is shuffled follows the patterns a patient has, not
-    the leaves that its records hold; patterns become leaves after that, and
-    all of a patient's rows are in one partition (at most one for each of its
-    patterns).
+    the leaves that its records hold; patterns become leaves after that
+    (``LeafMatcher.leaf_counts``), and all of a patient's rows are in one partition
+    (at most one for each of its patterns).
     """
     matcher = LeafMatcher(records, leaves, codes)
     df = matcher.with_patterns()
-    tags = F.concat(F.array(F.lit(None).cast("int")), matcher.leaves())
     if keep_records:
+        tags = F.concat(F.array(F.lit(None).cast("int")), matcher.leaves())
         exploded = df.select(PATIENT, RECORD, F.explode(tags).alias(LEAF))
         exploded = exploded.withColumn(RECORD, F.when(F.col(LEAF).isNotNull(), F.col(RECORD)))
         counted = exploded.groupBy(PATIENT, LEAF, RECORD).agg(F.count(F.lit(1)).alias("n"))
     else:
         counted = df.groupBy(PATIENT, *matcher.columns).agg(F.count(F.lit(1)).alias("_n"))
-        counted = counted.repartition(_partitions(records), PATIENT)
-        counted = counted.select(PATIENT, "_n", F.explode(tags).alias(LEAF)).groupBy(PATIENT, LEAF).agg(F.sum("_n").alias("n"))
+        counted = matcher.leaf_counts(counted.repartition(_partitions(records), PATIENT))
         counted = counted.withColumn(RECORD, F.lit(None).cast("string"))
     return counted.select(PATIENT, LEAF, RECORD, "n", F.when(F.col(LEAF).isNull(), "length").otherwise("match").alias(KIND))
 

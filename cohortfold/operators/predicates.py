@@ -7,7 +7,9 @@ at which the same leaves hold are one *class*, so a record comes down to a
 small integer per column, however many leaves there are. Other predicates are
 bits of a number. Classes, bits and code hits together are the record's
 *pattern*: records are counted by pattern, and patterns become leaves
-afterwards.
+afterwards. Where the leaves of a column are nested, as thresholds are, a class
+differs from the next by a leaf or two: what changes from class to class is
+kept, too, and its size does not pass the leaves.
 
 A comparison is ``column op constant`` with ``=``, ``<>``, ``!=``, ``<``,
 ``<=``, ``>``, ``>=``, ``BETWEEN`` or ``IN``, of a number column with numbers
@@ -23,6 +25,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,10 +121,17 @@ class ColumnIndex:
             for place in c.places(order, key, last):
                 held[place].append(code)
         sets = [tuple(sorted(codes)) for codes in held]
-        #: Leaf codes of each class; class 0 holds none.
-        self.classes = [(), *sorted(set(sets) - {()})]
+        #: Leaf codes of each class, in the order of their first places; class 0 holds none.
+        self.classes = list(dict.fromkeys([(), *sets]))
         number = {codes: i for i, codes in enumerate(self.classes)}
         self.class_at = [number[codes] for codes in sets]
+        #: What changes from one class to the next: a leaf that comes, or ``~leaf`` for one that goes.
+        self.changes = [
+            [*sorted(set(now) - set(before)), *(~c for c in sorted(set(before) - set(now)))]
+            for before, now in zip(self.classes, self.classes[1:])
+        ]
+        #: Fewer changes than leaves held, as of thresholds: records are better counted by what changes.
+        self.nested = sum(map(len, self.changes)) < sum(map(len, self.classes))
 
     def add(self, df: DataFrame, out: str) -> DataFrame:
         """Add the class of each row's value; NULL is in class 0.
@@ -196,11 +206,26 @@ class Patterns:
         """Conditions, one a pattern column, that some leaf holds."""
         return [F.col(name) != F.lit(0) for name in self.columns]
 
-    def leaves(self) -> list[Column]:
-        """Arrays of leaf codes, one a pattern column."""
-        out = [F.get(constant([list(c) for c in index.classes], "array<array<int>>"), F.col(f"_class_{i}")) for i, index in enumerate(self.indexes)]
+    @property
+    def nested(self) -> list[int]:
+        """Places of the nested indexes among the pattern columns."""
+        return [i for i, index in enumerate(self.indexes) if index.nested]
+
+    def leaves(self, nested: bool = True) -> list[Column]:
+        """Arrays of leaf codes, one a pattern column (the nested ones among them or not)."""
+        out = [
+            F.get(constant([list(c) for c in index.classes], "array<array<int>>"), F.col(f"_class_{i}"))
+            for i, index in enumerate(self.indexes) if nested or not index.nested
+        ]
         for i, chunk in enumerate(self._chunks):
             codes = constant([code for code, _ in chunk], "array<int>")
             bits = F.col(f"_bits_{i}")
             out.append(F.filter(codes, lambda _, k: F.getbit(bits, k) == 1))  # noqa: B023 - called at once
         return out
+
+    def changes(self, i: int, below: Column, upto: Column) -> Column:
+        """What changes in a nested index after one class up to another (array of codes)."""
+        of = self.indexes[i].changes
+        ends = constant([0, *accumulate(map(len, of))], "array<int>")
+        begin = F.get(ends, below)
+        return F.slice(constant([c for change in of for c in change], "array<int>"), begin + F.lit(1), F.get(ends, upto) - begin)

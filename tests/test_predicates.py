@@ -140,3 +140,30 @@ def test_leaf_ids_are_numbers_until_the_output(spark):
     assert {r[0] for r in res.evidence.select("node_uid").distinct().collect()} == {"ZZ", "AA"}
     assert {r[0] for r in res.leaf_scores.select("criterion_uid").distinct().collect()} == {"ZZ", "AA"}
     res.release()
+
+
+def generated_rows(plan):
+    """Rows out of each explode of an executed plan."""
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+    children = plan.children()
+    return own + [n for i in range(children.size()) for n in generated_rows(children.apply(i))]
+
+
+def test_nested_leaves_are_counted_by_what_changes(spark):
+    df = spark.createDataFrame([(f"p{i % 2}", f"r{i}", i // 2, "ab"[i % 3 % 2]) for i in range(240)], "patient_uid string, record_uid string, n int, s string")
+    df = df.union(spark.createDataFrame([("p0", "null", None, "a"), ("p2", "low", -1, None)], df.schema))
+    tests = [f"n > {k}" for k in range(100)] + [f"n BETWEEN {k} AND {k + 60}" for k in range(0, 40, 2)] + ["n <= 70", "n <> 5", "s = 'a'", "s <> 'b'", "n % 2 = 0"]
+    leaves = {f"L{i}": Leaf(f"L{i}", "x", t) for i, t in enumerate(tests)}
+    assert LeafMatcher(df, leaves).patterns.nested == [0, 1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted = coded_counts(df, leaves, False)
+        got = {(r.patient_uid, r.leaf): r.n for r in counted.collect()}
+        assert max(generated_rows(counted._jdf.queryExecution().executedPlan())) < 1000  # 17,000 leaves hold
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for patient, rows in [(p, df.where(F.col("patient_uid") == p)) for p in ("p0", "p1", "p2")]:
+        found = rows.select(F.count(F.lit(1)), *[F.count_if(F.expr(t)) for t in tests]).first()
+        want.update({(patient, i - 1 if i else None): n for i, n in enumerate(found) if n})
+    assert got == want
