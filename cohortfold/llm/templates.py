@@ -32,6 +32,8 @@ STRIDE = 4
 MIN_RUN = 13
 #: A window needs so many words that are no placeholder.
 MIN_LITERAL = 5
+#: The kind of a word that may be a name: more than the words of any window, so kinds can be summed up.
+_NAMED = 16
 
 # The units that become a placeholder after a number.
 UNITS = (
@@ -76,13 +78,13 @@ def _values(text: Column) -> Column:
 
 def _cut(df: DataFrame, text: str, *others: str) -> DataFrame:
     """For each template word: words, the same with all that may be names as such (named), values, and
-    kinds (0: placeholder, 2: may be a name, 1: others)."""
+    kinds (0: placeholder, ``_NAMED``: may be a name, 1: others)."""
     marked = F.filter(F.split(template(F.col(text)), rf"{_SPACE}+"), lambda w: w != "")
     df = df.select(*others, marked.alias("marked"), _values(F.col(text)).alias("values"))
     return df.select(
         *others, "values", F.expr("transform(marked, w -> IF(startswith(w, '>'), substring(w, 2), w))").alias("words"),
         F.expr("transform(marked, w -> IF(startswith(w, '>'), '<name>', w))").alias("named"),
-        F.expr("transform(marked, w -> IF(startswith(w, '<'), '0', IF(startswith(w, '>'), '2', '1')))").alias("kinds"),
+        F.expr(f"transform(marked, w -> IF(startswith(w, '<'), 0, IF(startswith(w, '>'), {_NAMED}, 1)))").alias("kinds"),
     )
 
 
@@ -95,9 +97,14 @@ def _window(words: str, place: str, length: int) -> str:
     return ", ".join(f"{words}[{place} + {k}]" for k in range(length))
 
 
+def _kinds(place: str, length: int) -> str:
+    """What a window's words are (``_TELLS``), from the sum of their kinds; NULL beyond the end."""
+    return f"get({_OF_SUM}, {' + '.join(f'get(kinds, {place} + {k})' for k in range(length))})"
+
+
 def _grid(places: str, length: int = WINDOW) -> str:
-    """(i, k) for each place: its window's kinds in one string."""
-    return f"transform({places}, i -> struct(i, concat({_window('kinds', 'i', length)}) AS k))"
+    """(i, k) for each place: what its window's words are."""
+    return f"transform({places}, i -> struct(i, {_kinds('i', length)} AS k))"
 
 
 def _windows(grid: str, told: str, words: str = "words", length: int = WINDOW) -> str:
@@ -109,19 +116,59 @@ def _places(step: int, length: int = WINDOW) -> str:
     return f"IF(size(words) < {length}, array(), sequence(0, size(words) - {length}, {step}))"
 
 
-_FEW = {"words": f"length(replace(x.k, '0', '')) < {MIN_LITERAL}", "named": f"length(replace(replace(x.k, '0', ''), '2', '')) < {MIN_LITERAL}"}
-#: Enough words are literal: copies with other values are found. With names, where some word may be one.
-_TOLD = {"words": f"NOT {_FEW['words']}", "named": f"instr(x.k, '2') > 0 AND NOT {_FEW['named']}"}
-#: The window of values is another than that of template words: copies with the same values are found, in any case.
-_SLOTS = "instr(x.k, '0') > 0"
 #: Every run that is told of has so many words or more.
 _LONG = WINDOW + STRIDE - 1
 
 
-def _near(grid: str, words: str) -> str:
-    """Places of long windows: up to ``STRIDE - 1`` before each place of the grid with few literal words."""
-    near = f"transform(filter({grid}, x -> {_FEW[words]}), x -> filter(sequence(greatest(x.i - {STRIDE - 1}, 0), x.i), k -> k + {_LONG} <= size(words)))"
-    return f"flatten({near})"
+def _tells(plain: int, names: int) -> int:
+    """Bits by the number of literal words and of those that may be names:
+    1: the window of ``WINDOW`` values is another than that of template words (copies with the same values are found, in any case);
+    2, 8: enough words are literal, so that copies with other values are found, without and with names; 4, 16: too few are."""
+    few, few_named = plain + names < MIN_LITERAL, plain < MIN_LITERAL
+    return (plain + names < WINDOW) + 2 * (not few) + 4 * few + 8 * (names > 0 and not few_named) + 16 * few_named
+
+
+_OF_SUM = f"array({', '.join(str(_tells(k % _NAMED, k // _NAMED)) for k in range(_LONG * _NAMED + 1))})"
+_SLOTS = "x.k & 1 > 0"
+_TOLD = {"words": "x.k & 2 > 0", "named": "x.k & 8 > 0"}
+_FEW = {"words": "x.k & 4 > 0", "named": "x.k & 16 > 0"}
+_READINGS = ("values", "words", "named")
+
+
+def _doc_windows(docs: DataFrame, short: list[tuple[int, bool]]) -> DataFrame:
+    """(hash, doc_id, doc_at) of a document's windows, from its cut.
+
+    At each place of the grid its windows of ``WINDOW`` words; where one has few
+    literal words, those of ``_LONG`` words up to ``STRIDE - 1`` places before. At each
+    place windows of the length of ``short`` items (length, whether some has enough
+    literal words). Places and windows are rows, not entries that lambda functions
+    walk: Spark compiles what is done with rows, and interprets lambda functions. A
+    window is one number: place, reading, whether it is such a near one, and length.
+    """
+    places = "IF(size(words) = 0, array(), sequence(0, size(words) - 1))" if short else _places(STRIDE)
+    at = docs.select("doc_id", *_READINGS, "kinds", F.explode(F.expr(places)).alias("i"))
+    at = at.withColumn("i", F.col("i").cast("long"))
+    at = at.select("*", F.expr(f"IF(i % {STRIDE} = 0 AND i + {WINDOW} <= size(words), {_kinds('i', WINDOW)}, NULL)").alias("k"))
+
+    def window(reading: str, length: int, place: str = "i", near: bool = False) -> str:
+        return f"({place}) * 128 + {32 * _READINGS.index(reading) + 16 * near + length}"
+
+    def on_grid(told: str, windows: str) -> str:
+        return f"IF({told.replace('x.k', 'k')}, {windows}, array())"
+
+    found = [on_grid(_SLOTS, f"array({window('values', WINDOW)})")]
+    for words in ("words", "named"):
+        near = [f"IF(i >= {b} AND i - {b} + {_LONG} <= size(words), {window(words, _LONG, f'i - {b}', True)}, NULL)" for b in range(STRIDE)]
+        found += [on_grid(_TOLD[words], f"array({window(words, WINDOW)})"), on_grid(_FEW[words], f"array({', '.join(near)})")]
+    for n, told in short:
+        some = [window(words, n) for words in (_READINGS if told else _READINGS[:1])]
+        found.append(f"IF(i + {n} <= size(words), array({', '.join(some)}), array())")
+    rows = at.select("doc_id", *_READINGS, "kinds", F.explode(F.expr(f"concat({', '.join(found)})")).alias("w"))
+    rows = rows.select("doc_id", *_READINGS, "kinds", "w", F.expr("CAST(shiftright(w, 7) AS INT) AS at"), F.expr("CAST(shiftright(w, 5) & 3 AS INT) AS reading"))
+    told = f"{_kinds('at', _LONG)} & IF(reading = {_READINGS.index('words')}, 2, 8) > 0"
+    rows = rows.filter(f"w IS NOT NULL AND (w & 16 = 0 OR {told})")
+    of = F.expr("CASE reading " + " ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_READINGS)) + " END")
+    return rows.select(F.xxhash64(F.slice(of, F.col("at") + 1, F.expr("CAST(w & 15 AS INT)"))).alias("hash"), "doc_id", F.col("at").alias("doc_at"))
 
 
 def _judged(aligned: DataFrame) -> DataFrame:
@@ -190,17 +237,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, text:
         items.select("item_id", F.explode(item_windows).alias("w")).select("w.hash", "item_id", F.col("w.at").alias("item_at")).distinct(),
         "item_windows",
     )
-    cuts = [_windows("grid", _SLOTS, "values")]
-    for words in ("words", "named"):
-        cuts += [_windows("grid", _TOLD[words], words), _windows(_grid(_near("grid", words), least), _TOLD[words], words, least)]
     short = items.filter(F.size("words") <= least).groupBy(F.size("words").alias("n")).agg(F.max(F.expr(told)).alias("told"))
-    for r in short.collect():  # a row for each length
-        every = _grid(_places(1, r.n), r.n)
-        cuts.append(_windows(every, "true", "values", r.n))
-        if r.told:
-            cuts += [_windows(every, _TOLD[words], words, r.n) for words in ("words", "named")]
-    cut = _cut(docs, "text", "doc_id").select("*", F.expr(_grid(_places(STRIDE))).alias("grid"))
-    cut = cut.select("doc_id", F.explode(F.expr(f"concat({', '.join(cuts)})")).alias("w")).select("w.hash", "doc_id", F.col("w.at").alias("doc_at"))
+    short = [(r.n, r.told) for r in short.collect()]  # a row for each length
+    cut = _doc_windows(_cut(docs, "text", "doc_id"), short)
     hits = cut.join(item_windows, "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = scratch.write(hits, "hits")
     found = scratch.write(docs.join(hits.select("doc_id").distinct(), "doc_id").distinct(), "found_docs")

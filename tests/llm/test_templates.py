@@ -169,3 +169,18 @@ def test_made_questions_equal_brute_force(spark):
     for key, (tokens, _, _) in found.items():
         assert sure.get(key, (0,))[0] <= tokens <= most[key][0]
     assert sum(found[k] == sure.get(k) for k in found) >= 0.95 * len(found)
+
+
+@pytest.mark.parametrize("short", [[], [(5, True), (11, False)]])
+def test_document_windows_are_hashed_by_compiled_code(spark, short):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = templates._doc_windows(templates._cut(docs, "text", "doc_id"), short)._jdf.queryExecution().executedPlan()
+        lines = [line for line in plan.toString().splitlines() if "xxhash64" in line]
+        assert lines and all("*(" in line and "lambda" not in line for line in lines)
+        package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        stages = getattr(package, "MODULE$").codegenStringSeq(plan)
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000  # beyond, the JVM interprets
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
