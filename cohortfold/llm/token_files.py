@@ -36,8 +36,8 @@ REMEMBERED = 96 << 20
 #: Bytes of text that are split at a time, inside a text too, and strings that are encoded in one call.
 _CHUNK = 2 << 20
 _CALL = 1 << 14
-#: What a remembered string takes besides its characters.
-_ENTRY = 180
+#: What a remembered string takes besides its bytes and ids: hash, number, place and size of both.
+_ENTRY = 48
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 _FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -94,16 +94,17 @@ def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
-def _equal_strings(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _equal_strings(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of strings that follow one another and fill ``data``: one place of each
-    that differs, and for every string which of these it is."""
+    that differs, its hash, and for every string which of these it is."""
     size = np.diff(np.append(start, len(data)))
     place = np.arange(len(data), dtype=np.int32)
     place -= np.repeat(start.astype(np.int32), size)
     codes = _BYTE_CODE[data] * _POWERS[place & 0xFF]
     if size.max() > 256:
         codes *= mix((place >> 8).astype(np.uint64)) | np.uint64(1)
-    _, first, which = np.unique(mix(np.add.reduceat(codes, start) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    codes = mix(np.add.reduceat(codes, start) + size.astype(np.uint64))
+    _, first, which = np.unique(codes, return_index=True, return_inverse=True)
     # Equal hashes: the same bytes? Those that are not stand for themselves.
     like = first[which]
     place += np.repeat(start[like].astype(np.int32), size)
@@ -115,29 +116,63 @@ def _equal_strings(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
         alone = np.flatnonzero(differs)
         which[alone] = len(first) + np.arange(len(alone))
         first = np.append(first, alone)
-    return first, which
+    return first, codes[first], which
+
+
+def _runs(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs, one after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(at - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 class _Ids:
-    """Ids of strings: of each its number, and all ids in a row by number."""
+    """Ids of strings: of each its number, and all ids in a row by number.
 
-    def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.bytes = 0
-        self.size, self.flat, self.at = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    Strings are found by hash and compared by their bytes. All is kept in a few
+    arrays, a fraction of what Python's objects would take; one of strings that
+    share a hash is found, the others are learned again where they occur.
+    """
 
-    def add(self, strings: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
-        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
-        self.bytes += sum(map(len, strings)) + _ENTRY * len(strings) + 4 * len(flat)
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        self.at = np.cumsum(self.size) - self.size
+    def __init__(self):
+        self.codes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in order of the hashes
+        self.data, self.length, self.begin = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.size, self.flat, self.at = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    @property
+    def bytes(self) -> int:
+        return _ENTRY * len(self.size) + len(self.data) + 4 * len(self.flat)
+
+    def find(self, codes: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of the strings at some places of ``data``; -1: not known."""
+        out = np.full(len(codes), -1, np.int64)
+        place = np.searchsorted(self.codes, codes)
+        found = np.flatnonzero(place < len(self.codes))
+        found = found[self.codes[place[found]] == codes[found]]
+        number = self.number[place[found]]
+        alike = self.length[number] == length[found]
+        found, number = found[alike], number[alike]
+        size = length[found]
+        same = data[_runs(start[found], size)] == self.data[_runs(self.begin[number], size)]
+        alike = np.logical_and.reduceat(same, np.cumsum(size) - size) if len(found) else np.zeros(0, bool)
+        out[found[alike]] = number[alike]
+        return out
+
+    def add(self, codes: np.ndarray, data: np.ndarray, length: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Remember strings that follow one another in ``data``; their numbers."""
+        number = len(self.size) + np.arange(len(codes))
+        order = np.argsort(codes)
+        place = np.searchsorted(self.codes, codes[order])
+        self.codes, self.number = np.insert(self.codes, place, codes[order]), np.insert(self.number, place, number[order])
+        self.begin = np.concatenate([self.begin, len(self.data) + np.cumsum(length) - length])
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.data, self.length = np.concatenate([self.data, data]), np.concatenate([self.length, length.astype(np.int32)])
+        self.size, self.flat = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.flat, flat])
+        return number
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes, and all ids in a row, of strings by number."""
-        size = self.size[numbers]
-        upto = np.cumsum(size)
-        total = int(upto[-1]) if len(upto) else 0
-        return size, self.flat[np.repeat(self.at[numbers] - upto + size, size) + np.arange(total)]
+        size = self.size[numbers].astype(np.int64)
+        return size, self.flat[_runs(self.at[numbers], size)]
 
 
 class Encoder:
@@ -166,37 +201,43 @@ class Encoder:
         self._remembered, self._chunk = remembered, chunk
         self._known = _Ids()
 
-    def _learn(self, strings: list[bytes]) -> None:
-        """Encode strings that are new."""
-        text = [s.decode() for s in strings]
+    def _learn(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes, and all ids in a row, of strings that follow one another in ``data``."""
+        raw, ends = data.tobytes(), np.cumsum(length).tolist()
+        text = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
         simple = [t in _STOPS or (t[1:] if t[:1] == " " else t).isalpha() for t in text]
         if self._plain_added:
             simple = [s and not any(a in t for a in self._plain_added) for s, t in zip(simple, text)]
+        size = np.zeros(len(text), np.int64)
+        where, flat = [], []
         for lo in range(0, len(text), _CALL):
-            some, are = text[lo:lo + _CALL], simple[lo:lo + _CALL]
-            size = np.zeros(len(some), np.int64)
-            flat: list[list[int]] = []
-            one = [t for t, s in zip(some, are) if s]
-            if one:
-                found = self._merger.encode(one, is_pretokenized=True, add_special_tokens=False)
-                size[are] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(one))
-                flat.append(found.ids)
-            rest = self.tokenizer.encode_batch([t for t, s in zip(some, are) if not s], add_special_tokens=False)
-            size[~np.array(are)] = [len(e.ids) for e in rest]
-            flat += [e.ids for e in rest]
-            order = [strings[lo + i] for w in (True, False) for i, s in enumerate(are) if s is w]
-            self._known.add(order, np.concatenate([size[are], size[~np.array(are)]]), np.array(list(chain.from_iterable(flat)), np.int32))
+            are = np.array(simple[lo:lo + _CALL])
+            if len(one := lo + np.flatnonzero(are)):
+                found = self._merger.encode([text[i] for i in one.tolist()], is_pretokenized=True, add_special_tokens=False)
+                size[one] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(one))
+                flat.append(np.array(found.ids, np.int32))
+            rest = lo + np.flatnonzero(~are)
+            found = self.tokenizer.encode_batch_fast([text[i] for i in rest.tolist()], add_special_tokens=False)
+            size[rest] = [len(e.ids) for e in found]
+            flat.append(np.array(list(chain.from_iterable(e.ids for e in found)), np.int32))
+            where += [one, rest]
+        where = np.concatenate(where)
+        ids = np.concatenate(flat)
+        out = np.empty_like(ids)
+        out[_runs((np.cumsum(size) - size)[where], size[where])] = ids
+        return size, out
 
     def _chunk_ids(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes, and all ids in a row, of the strings that fill ``data``."""
         if self._known.bytes > self._remembered:
             self._known = _Ids()
-        first, which = _equal_strings(data, start)
-        raw, end = data.tobytes(), np.append(start[1:], len(data))
-        strings = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-        if new := [s for s in dict.fromkeys(strings) if s not in self._known.number]:
-            self._learn(new)
-        return self._known.of(np.fromiter(map(self._known.number.__getitem__, strings), np.int64, len(strings))[which])
+        first, codes, which = _equal_strings(data, start)
+        begin, length = start[first], np.append(start[1:], len(data))[first] - start[first]
+        numbers = self._known.find(codes, data, begin, length)
+        if len(new := np.flatnonzero(numbers < 0)):
+            strings = data[_runs(begin[new], length[new])]
+            numbers[new] = self._known.add(codes[new], strings, length[new], *self._learn(strings, length[new]))
+        return self._known.of(numbers[which])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in a row. A null is an empty text."""

@@ -97,3 +97,13 @@ def test_added_tokens_are_encoded_as_the_unchanged_tokenizer_does():
     assert added and any(set(fresh.encode(t, add_special_tokens=False).ids) & set(fresh.get_added_tokens_decoder()) for t in texts)
     got = token_files.Encoder(FILE).encode(texts)
     assert [x.tolist() for x in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_strings_are_remembered_in_little_space():
+    encoder, learned = token_files.Encoder(FILE, remembered=1 << 20), []
+    learn = encoder._learn
+    encoder._learn = lambda *a: learned.append(len(a[0])) or learn(*a)
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(9000))
+    first = encoder.encode([text])[0]
+    assert len(learned) == 1 and encoder.encode([text])[0].tolist() == first.tolist()
+    assert len(learned) == 1
