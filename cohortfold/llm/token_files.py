@@ -32,7 +32,7 @@ from cohortfold.llm.words import mix, slices, utf8
 
 END_ID = 0
 #: Bytes, about, of the strings and ids that a Python worker remembers.
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
 #: Bytes of text that are split at a time, inside a text too, and strings that are encoded in one call.
 _CHUNK = 2 << 20
 _CALL = 1 << 14

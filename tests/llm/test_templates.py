@@ -2,6 +2,7 @@ import random
 
 import brute
 import duckdb
+import pytest
 
 from cohortfold.llm import queries, templates
 
